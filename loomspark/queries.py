@@ -1,0 +1,9 @@
+"""The library's registered queries: name to function of (spark, sf_dir), and DuckDB SQL for the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loomspark.registry import ORACLES, QUERIES, query  # noqa: F401
