@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Space, and tab to carriage return.
@@ -106,7 +107,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     for b in batches:
         if not b.num_rows:
             continue
-        size = np.cumsum(np.nan_to_num(pa.compute.binary_length(b.column(column).fill_null("")).to_numpy(zero_copy_only=False)))
+        size = np.cumsum(np.nan_to_num(pc.binary_length(b.column(column).fill_null("")).to_numpy(zero_copy_only=False)))
         at = 0
         while at < b.num_rows:
             to = int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right"))

@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from loomspark.llm import secret_scan
-from loomspark.llm.common import documents
+from loomspark.llm import secret_scan, token_output
+from loomspark.llm.common import documents, shared_dir
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_output(spark, sf_dir):
+    path = shared_dir(spark, "token-ids")
+    parts = token_output.write(documents(spark, sf_dir), path, tokenizer_file("byte_bpe_50k.json"), end_id=0)
+    return token_output.read(spark, path, parts)
 
 
 def op8_secret_scan(spark, sf_dir):
     return secret_scan.secrets_digest(spark, documents(spark, sf_dir))
 
 
-QUERIES = {"op8_secret_scan": op8_secret_scan}
+QUERIES = {"op2_token_output": op2_token_output, "op8_secret_scan": op8_secret_scan}
 ORACLES: dict[str, str] = {}
