@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.llm import secret_scan, token_output
+from pyspark.sql import functions as F
+
+from loomspark.llm import secret_scan, token_output, toxicity
 from loomspark.llm.common import documents, shared_dir
 
 
@@ -22,5 +24,13 @@ def op8_secret_scan(spark, sf_dir):
     return secret_scan.secrets_digest(spark, documents(spark, sf_dir))
 
 
-QUERIES = {"op2_token_output": op2_token_output, "op8_secret_scan": op8_secret_scan}
+def op10_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels, toxicity.fold(F.col("doc_id"), 3) != 1)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (toxicity.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+
+
+QUERIES = {"op10_toxicity": op10_toxicity, "op2_token_output": op2_token_output, "op8_secret_scan": op8_secret_scan}
 ORACLES: dict[str, str] = {}
