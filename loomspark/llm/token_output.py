@@ -36,10 +36,9 @@ LENGTH, BATCH = 1024, 256
 #: Entries that a worker's memo of encoded words may hold; it starts anew beyond.
 MEMO = 1_500_000
 _MEMO: dict[str, dict[str, bytes]] = {}
-#: A text is cut before a space that stands between two other characters than white space: byte-level
-#: pre-tokens never reach across such a place, so the parts' ids joined are the text's ids.
+#: A text is cut before each space if each stands between two other characters than white space: byte-level
+#: pre-tokens never reach across such a place, so the parts' ids joined are the text's ids. Other texts are encoded in one piece.
 _UNSAFE = re.compile(" [\\s᠎]|[\\s᠎] ")
-_CUT = re.compile("(?<=[^\\s᠎]) (?=[^\\s᠎])")
 
 
 class Encoder:
@@ -52,42 +51,36 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = special_as_text
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        self.leads = np.zeros(self.tok.get_vocab_size(), bool)
+        self.leads[[i for t, i in self.tok.get_vocab().items() if t.startswith("Ġ")]] = True
         self.memo = _MEMO.setdefault(f"{path} {special_as_text}", {})
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        """Ids of each part, of which all but the first begin with a cutting space."""
-        e = self.tok.encode("".join(parts), add_special_tokens=False)
-        ids = np.array(e.ids, self.dtype)
-        begin = np.cumsum([0, *map(len, parts)])
-        at = np.searchsorted(np.fromiter((o[0] for o in e.offsets), np.int64, len(ids)), begin) * self.dtype.itemsize
-        raw, at = ids.tobytes(), at.tolist()
+        """Ids of each part: parts hold no space, and each is encoded with one before it, so its first id is of a token that begins with one."""
+        ids = np.array(self.tok.encode_batch_fast([" " + " ".join(parts)], add_special_tokens=False)[0].ids, self.dtype)
+        begin = np.flatnonzero(self.leads[ids])
+        if len(begin) != len(parts):
+            return [np.array(self.tok.encode(" " + p, add_special_tokens=False).ids, self.dtype).tobytes() for p in parts]
+        raw, at = ids.tobytes(), (np.append(begin, len(ids)) * self.dtype.itemsize).tolist()
         return [raw[i:j] for i, j in zip(at, at[1:])]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text, as little-endian bytes."""
-        split = [_CUT.split(t) if _UNSAFE.search(t) else t.split(" ") for t in (x or "" for x in texts)]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo, new = self.memo, set()
-        whole = []
-        for i, p in enumerate(split):
-            if _UNSAFE.search(texts[i] or "") or not p[0] or p[-1:] == [""]:
-                whole.append(None)
-            else:
-                new.update(p[1:])
-                whole.append(p)
+        memo, new, cut = self.memo, set(), []
+        for t in texts:
+            parts = t.split(" ") if t and not _UNSAFE.search(t) and t[0] != " " != t[-1] else None
+            cut.append(parts)
+            if parts:
+                new.update(parts[1:])
         new = [w for w in new if w not in memo]
-        for i in range(0, len(new), 2000):
-            some = new[i : i + 2000]
-            memo.update(zip(some, self._encode([" " + w for w in some])))
-        out = []
-        for t, p in zip(texts, whole):
-            if p is None:
-                out.append(np.array(self.tok.encode(t or "", add_special_tokens=False).ids, self.dtype).tobytes())
-            else:
-                first = np.array(self.tok.encode(p[0], add_special_tokens=False).ids, self.dtype).tobytes()
-                out.append(first + b"".join(map(memo.__getitem__, p[1:])))
-        return out
+        for i in range(0, len(new), 5000):
+            some = new[i : i + 5000]
+            memo.update(zip(some, self._encode(some)))
+        rest = [p[0] if p else t or "" for t, p in zip(texts, cut)]
+        heads = [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
+        return [h + b"".join(map(memo.__getitem__, p[1:])) if p else h for h, p in zip(heads, cut)]
 
 
 class _Writer:
