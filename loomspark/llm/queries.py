@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspark.llm import secret_scan, token_output, toxicity
+from loomspark.llm import decontaminate, secret_scan, token_output, toxicity
 from loomspark.llm.common import documents, shared_dir
 
 
@@ -32,5 +32,11 @@ def op10_toxicity(spark, sf_dir):
     return scored.select("doc_id", (toxicity.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
 
 
-QUERIES = {"op10_toxicity": op10_toxicity, "op2_token_output": op2_token_output, "op8_secret_scan": op8_secret_scan}
+def op5_decontaminate(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.leaks(documents(spark, sf_dir).select("doc_id", "text"), items)
+    return found.select("doc_id", (F.size("leaked_items") > 0).alias("contaminated"), F.col("leaked_items.item_id").alias("item_ids"), F.col("leaked_items.share").alias("shares"))
+
+
+QUERIES = {"op5_decontaminate": op5_decontaminate, "op10_toxicity": op10_toxicity, "op2_token_output": op2_token_output, "op8_secret_scan": op8_secret_scan}
 ORACLES: dict[str, str] = {}
