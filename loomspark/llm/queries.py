@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspark.llm import decontaminate, secret_scan, token_output, toxicity
+from loomspark.llm import decontaminate, secret_scan, sentencepiece_codec, token_output, toxicity
 from loomspark.llm.common import documents, shared_dir
 
 
@@ -38,5 +38,13 @@ def op5_decontaminate(spark, sf_dir):
     return found.select("doc_id", (F.size("leaked_items") > 0).alias("contaminated"), F.col("leaked_items.item_id").alias("item_ids"), F.col("leaked_items.share").alias("shares"))
 
 
-QUERIES = {"op5_decontaminate": op5_decontaminate, "op10_toxicity": op10_toxicity, "op2_token_output": op2_token_output, "op8_secret_scan": op8_secret_scan}
+def op7_sentencepiece(spark, sf_dir):
+    return sentencepiece_codec.encode(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model")).drop("text")
+
+
+def op9_token_counts(spark, sf_dir):
+    return sentencepiece_codec.token_counts(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+
+
+QUERIES = {"op7_sentencepiece": op7_sentencepiece, "op9_token_counts": op9_token_counts, "op5_decontaminate": op5_decontaminate, "op10_toxicity": op10_toxicity, "op2_token_output": op2_token_output, "op8_secret_scan": op8_secret_scan}
 ORACLES: dict[str, str] = {}
