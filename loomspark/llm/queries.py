@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspark.llm import decontaminate, secret_scan, sentencepiece_codec, token_output, toxicity
+from loomspark.llm import decontaminate, exact_topk, secret_scan, sentencepiece_codec, token_output, toxicity
 from loomspark.llm.common import documents, shared_dir
 
 
@@ -46,5 +46,24 @@ def op9_token_counts(spark, sf_dir):
     return sentencepiece_codec.token_counts(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
-QUERIES = {"op7_sentencepiece": op7_sentencepiece, "op9_token_counts": op9_token_counts, "op5_decontaminate": op5_decontaminate, "op10_toxicity": op10_toxicity, "op2_token_output": op2_token_output, "op8_secret_scan": op8_secret_scan}
-ORACLES: dict[str, str] = {}
+def op4_exact_topk(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return exact_topk.search(vectors, F.col("vec_id") % 20 == 0, k=20, vector="embedding", scale=64.0)
+
+
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+QUERIES = {"op4_exact_topk": op4_exact_topk, "op7_sentencepiece": op7_sentencepiece, "op9_token_counts": op9_token_counts, "op5_decontaminate": op5_decontaminate, "op10_toxicity": op10_toxicity, "op2_token_output": op2_token_output, "op8_secret_scan": op8_secret_scan}
+ORACLES: dict[str, str] = {"op4_exact_topk": TOPK_SQL}
