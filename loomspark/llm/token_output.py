@@ -18,7 +18,6 @@ rows; other columns are not read.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,13 +35,19 @@ LENGTH, BATCH = 1024, 256
 #: Entries that a worker's memo of encoded words may hold; it starts anew beyond.
 MEMO = 1_500_000
 _MEMO: dict[str, dict[str, bytes]] = {}
-#: A text is cut before each space if each stands between two other characters than white space: byte-level
-#: pre-tokens never reach across such a place, so the parts' ids joined are the text's ids. Other texts are encoded in one piece.
-_UNSAFE = re.compile(" [\\s᠎]|[\\s᠎] ")
+
+
+def _odd(c: str) -> bool:
+    return c.isspace() or c == "\u180e"
 
 
 class Encoder:
-    """Byte-level BPE of the tokenizers library with a memo of words."""
+    """Byte-level BPE of the tokenizers library with a memo of words.
+
+    A text is cut before each space if each stands between two other characters than white space:
+    byte-level pre-tokens never reach across such a place, so the parts' ids joined are the text's
+    ids. Other texts are encoded in one piece.
+    """
 
     def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,6 +58,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.leads = np.zeros(self.tok.get_vocab_size(), bool)
         self.leads[[i for t, i in self.tok.get_vocab().items() if t.startswith("Ġ")]] = True
+        self.marks = {m: np.array(self.tok.encode(m, add_special_tokens=False).ids, self.dtype).tobytes() for m in ".,;:!?"}
         self.memo = _MEMO.setdefault(f"{path} {special_as_text}", {})
 
     def _encode(self, parts: list[str]) -> list[bytes]:
@@ -68,19 +74,23 @@ class Encoder:
         """Ids of each whole text, as little-endian bytes."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo, new, cut = self.memo, set(), []
-        for t in texts:
-            parts = t.split(" ") if t and not _UNSAFE.search(t) and t[0] != " " != t[-1] else None
-            cut.append(parts)
-            if parts:
-                new.update(parts[1:])
-        new = [w for w in new if w not in memo]
-        for i in range(0, len(new), 5000):
-            some = new[i : i + 5000]
+        memo = self.memo
+        cut = [t.split(" ") if t else [""] for t in texts]
+        new = set().union(*(p[1:] for p in cut)).difference(memo)
+        odd = {w for w in new if not w or _odd(w[0]) or _odd(w[-1])}
+        new -= odd
+        # A mark at a letter is a pre-token of its own, so only what stands before it is new.
+        ends = {w for w in new if w[-1] in self.marks and w[-2:-1].isalpha()}
+        fresh = [w for w in new.difference(ends).union(w[:-1] for w in ends) if w not in memo]
+        for i in range(0, len(fresh), 5000):
+            some = fresh[i : i + 5000]
             memo.update(zip(some, self._encode(some)))
-        rest = [p[0] if p else t or "" for t, p in zip(texts, cut)]
+        for w in ends:
+            memo[w] = memo[w[:-1]] + self.marks[w[-1]]
+        whole = [not p[0] or _odd(p[0][-1]) or bool(odd) and not odd.isdisjoint(p) for p in cut]
+        rest = [t or "" if w else p[0] for t, p, w in zip(texts, cut, whole)]
         heads = [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
-        return [h + b"".join(map(memo.__getitem__, p[1:])) if p else h for h, p in zip(heads, cut)]
+        return [h if w else h + b"".join(map(memo.__getitem__, p[1:])) for h, p, w in zip(heads, cut, whole)]
 
 
 class _Writer:
