@@ -137,7 +137,7 @@ def _over_cells(queries: DataFrame, candidates: DataFrame, sides: tuple[int, int
     right = candidates.withColumn("h", spread(sides[1])).withColumn("g", every(sides[0]))
     kind = pa.schema([("query_id", pa.int64()), ("h", pa.int64()), ("best", pa.list_(pa.struct([("neg", pa.int64()), ("vec_id", pa.int64())])))])
 
-    def run(key, a: pa.Table, b: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], a: pa.Table, b: pa.Table) -> pa.Table:
         rows, others = [], _blocks(b)
         for q in _blocks(a):
             got: list[list] = [[] for _ in q[0]]

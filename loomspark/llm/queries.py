@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspark.llm import decontaminate, exact_topk, secret_scan, sentencepiece_codec, token_output, toxicity
+from loomspark.llm import decontaminate, exact_topk, lm_score, secret_scan, sentencepiece_codec, token_output, toxicity
 from loomspark.llm.common import documents, shared_dir
 
 
@@ -51,6 +51,13 @@ def op4_exact_topk(spark, sf_dir):
     return exact_topk.search(vectors, F.col("vec_id") % 20 == 0, k=20, vector="embedding", scale=64.0)
 
 
+def op6_lm_score(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    held_out = toxicity.fold(F.col("doc_id"), 10) == 0
+    model = lm_score.train(docs.filter(~held_out))
+    return lm_score.score(docs, model, held_out)
+
+
 TOPK_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e
@@ -65,5 +72,5 @@ WITH v AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-QUERIES = {"op4_exact_topk": op4_exact_topk, "op7_sentencepiece": op7_sentencepiece, "op9_token_counts": op9_token_counts, "op5_decontaminate": op5_decontaminate, "op10_toxicity": op10_toxicity, "op2_token_output": op2_token_output, "op8_secret_scan": op8_secret_scan}
+QUERIES = {"op6_lm_score": op6_lm_score, "op4_exact_topk": op4_exact_topk, "op7_sentencepiece": op7_sentencepiece, "op9_token_counts": op9_token_counts, "op5_decontaminate": op5_decontaminate, "op10_toxicity": op10_toxicity, "op2_token_output": op2_token_output, "op8_secret_scan": op8_secret_scan}
 ORACLES: dict[str, str] = {"op4_exact_topk": TOPK_SQL}
