@@ -19,10 +19,12 @@ from __future__ import annotations
 import heapq
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from typing import TypeVar
 
 import numpy as np
 
+T = TypeVar("T")
 MARK = "▁"
 #: Entries of each memo of a worker; it starts anew beyond.
 MEMO = 1_000_000
@@ -63,8 +65,9 @@ class Pieces:
     def __init__(self, scores: dict[str, float], ids: dict[str, int], kind: int, bytes_at: list[int] | None = None, unk: int = 0):
         self.scores, self.ids, self.kind, self.bytes_at, self.unk = scores, ids, kind, bytes_at, unk
         self.longest = max(map(len, scores), default=1)
+        self.worst = min(scores.values(), default=0.0) - 10.0
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self._suffixes: dict[str, bool] | None = None
 
     def spell(self, piece: str) -> list[int]:
         """Ids of a piece; of a character outside the table, its bytes' ids or the unknown id."""
@@ -103,65 +106,94 @@ class Pieces:
                 push(left[i])
         return [p for p in part if p is not None]
 
-    def _stands(self, piece: str) -> bool:
-        ok = self.whole.get(piece)
-        if ok is None:
-            ok = self.whole[piece] = self.merge(piece) == [piece]
-        return ok
-
-    def _fits(self, a: str, b: str) -> bool:
-        ok = self.pairs.get((a, b))
-        if ok is None:
-            if len(self.pairs) > MEMO:
-                self.pairs.clear()
-            ok = self.pairs[a, b] = self.merge(a + b) == [a, b]
-        return ok
-
-    def segment(self, words: Iterable[str]) -> dict[str, list[str]]:
-        """Pieces of each distinct word."""
-        forward = self._forward_bpe if self.kind == BPE else self._forward_unigram
-        out, last, state, before = {}, [""], [0.0], ""
+    def suffixes(self) -> dict[str, bool]:
+        """Every suffix of a piece: whether it is itself a piece that merging its characters gives."""
+        if self._suffixes is None:
+            out: dict[str, bool] = {}
+            for p in self.scores:
+                for i in range(len(p)):
+                    out.setdefault(p[i:], False)
+                out[p] = self.merge(p) == [p]
+            self._suffixes = out
+        return self._suffixes
+
+    def segment(self, words: Iterable[str], code: Callable[[str], T], zero: T) -> dict[str, T]:
+        """For each distinct word the sum of code(piece) over its pieces, from zero on: code may give ids as bytes, lists or counts."""
+        if self.kind == BPE:
+            forward = self._forward_bpe
+            self.suffixes()
+        else:
+            forward = self._forward_unigram
+        codes = _Codes(code)
+        out, before = {}, ""
+        last, best, value = [""], [0.0], [zero]  # by length of the prefix: its last piece, score and value
         for w in sorted(words):
             if self.kind == BPE and w.count(MARK) > 1:  # runs of marks have pieces of equal score
-                out[w] = self.merge(w)
+                x = zero
+                for p in self.merge(w):
+                    x = x + codes[p]
+                out[w] = x
                 continue
             k, n = 0, min(len(w), len(before))
+            if before[:6] == w[:6]:
+                k = min(6, n)
             while k < n and w[k] == before[k]:
                 k += 1
-            del last[k + 1 :], state[k + 1 :]
-            forward(w, last, state)
+            del last[k + 1 :], value[k + 1 :], best[k + 1 :]
+            forward(w, last, best, value, codes)
             before = w
-            parts, i = [], len(w)
-            while i:
-                parts.append(last[i])
-                i -= len(last[i])
-            out[w] = parts[::-1]
+            out[w] = value[-1]
         return out
 
-    def _forward_bpe(self, w: str, last: list[str], state: list[float]) -> None:
-        scores, longest = self.scores, self.longest
+    def _forward_bpe(self, w: str, last: list[str], best: list[float], value: list, codes: dict) -> None:
+        suffixes, pairs = self._suffixes, self.pairs
         for i in range(len(last), len(w) + 1):
-            found = w[i - 1]
-            for j in range(max(0, i - longest), i - 1):
+            j = at = i - 1
+            found = w[j]
+            while j > 0:
+                j -= 1
                 t = w[j:i]
-                if t in scores and self._stands(t) and (j == 0 or self._fits(last[j], t)):
-                    found = t
+                ends = suffixes.get(t)
+                if ends is None:
+                    break
+                if ends:
+                    if j:
+                        pair = last[j], t
+                        fits = pairs.get(pair)
+                        if fits is None:
+                            if len(pairs) > MEMO:
+                                pairs.clear()
+                            fits = pairs[pair] = self.merge(last[j] + t) == [last[j], t]
+                        if not fits:
+                            continue
+                    found, at = t, j
                     break
             last.append(found)
-            state.append(0.0)
+            value.append(value[at] + codes[found])
 
-    def _forward_unigram(self, w: str, last: list[str], state: list[float]) -> None:
-        """state: the best sum of scores of each prefix; an unknown character costs more than any piece. The longest last piece of equals."""
+    def _forward_unigram(self, w: str, last: list[str], best: list[float], value: list, codes: dict) -> None:
+        """An unknown character costs more than any piece; of equal scores the longest last piece wins."""
         scores, longest = self.scores, self.longest
-        worst = min(scores.values(), default=0.0) - 10.0
         for i in range(len(last), len(w) + 1):
-            best, found = state[i - 1] + scores.get(w[i - 1], worst), w[i - 1]
+            at, top = i - 1, best[i - 1] + scores.get(w[i - 1], self.worst)
             for j in range(i - 2, max(-1, i - longest - 1), -1):
                 s = scores.get(w[j:i])
-                if s is not None and state[j] + s >= best:
-                    best, found = state[j] + s, w[j:i]
-            last.append(found)
-            state.append(best)
+                if s is not None and best[j] + s >= top:
+                    at, top = j, best[j] + s
+            last.append(w[at:i])
+            best.append(top)
+            value.append(value[at] + codes[w[at:i]])
+
+
+class _Codes(dict):
+    """Codes of pieces, made when first needed."""
+
+    def __init__(self, code: Callable):
+        self.code = code
+
+    def __missing__(self, piece: str):
+        x = self[piece] = self.code(piece)
+        return x
 
 
 class Encoder:
@@ -199,6 +231,9 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
         self.counts: dict[str, int] = {}
 
+    def code(self, piece: str) -> bytes:
+        return np.array(self.pieces.spell(piece), self.dtype).tobytes()
+
     def marked(self, text: str) -> list[str]:
         """The text's marked words."""
         if not text:
@@ -214,8 +249,7 @@ class Encoder:
             self.memo.clear()
         memo = self.memo
         new = set().union(*split).difference(memo)
-        for w, parts in self.pieces.segment(new).items():
-            memo[w] = np.array([i for p in parts for i in self.pieces.spell(p)], self.dtype).tobytes()
+        memo.update(self.pieces.segment(new, self.code, b""))
         return [np.frombuffer(b"".join(map(memo.__getitem__, p)), self.dtype) for p in split]
 
     def count(self, texts: list[str | None]) -> list[tuple[int, int]]:
@@ -224,8 +258,7 @@ class Encoder:
         if len(self.counts) > MEMO:
             self.counts.clear()
         counts = self.counts
-        for w, parts in self.pieces.segment(set().union(*split).difference(counts)).items():
-            counts[w] = sum(1 if p in self.pieces.ids else len(self.pieces.spell(p)) for p in parts)
+        counts.update(self.pieces.segment(set().union(*split).difference(counts), lambda p: len(self.pieces.spell(p)), 0))
         return [(sum(map(counts.__getitem__, p)), len(p)) for p in split]
 
     def decode(self, ids: np.ndarray) -> str:
