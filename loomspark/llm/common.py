@@ -102,6 +102,15 @@ def words(texts: pa.Array, separators: bytes = SPACES, lower_ascii: bool = False
     return Words(buf, hashes, start, end, np.append(np.searchsorted(start, begin), len(start)))
 
 
+#: For matching that overlooks case and marks: besides white space, ASCII punctuation parts words.
+MARKS = bytes(sorted({*SPACES, *range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)}))
+
+
+def folded_words(texts: pa.Array) -> Words:
+    """Lower-cased words between white space and ASCII punctuation."""
+    return words(pc.utf8_lower(texts.cast(pa.large_string())), MARKS)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about `most` bytes of text."""
     for b in batches:

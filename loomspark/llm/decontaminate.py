@@ -30,23 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import SPACES, chunks, words
+from loomspark.llm.common import chunks, folded_words
 
 GRAM, SIMILARITY = 5, 0.8
 K1, B = 1.2, 0.75
 SPAN = 3
 BLOCK = 16
 SHARD_WORDS = 2_000_000
-#: Besides white space, ASCII punctuation parts words; letters are lower-cased.
-SEPARATORS = bytes(sorted({*SPACES, *range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)}))
-
-
-def _words(texts: pa.Array):
-    return words(pc.utf8_lower(texts.cast(pa.large_string())), SEPARATORS)
 
 
 def _runs(h: np.ndarray, n: int = GRAM) -> list[tuple[int, ...]]:
@@ -58,7 +51,7 @@ class Index:
     """BM25 index of one shard of items: (item_id, question, answer)."""
 
     def __init__(self, items: list[tuple[int, str, str]]):
-        w = _words(pa.array([x for _, q, a in items for x in (q, a)], pa.large_string()))
+        w = folded_words(pa.array([x for _, q, a in items for x in (q, a)], pa.large_string()))
         self.items = []
         for k, (item, _, _) in enumerate(items):
             q, a = (w.hashes[w.ptr[2 * k + j] : w.ptr[2 * k + j + 1]] for j in (0, 1))
@@ -208,7 +201,7 @@ def _against(docs: DataFrame, shard: list[tuple[int, str, str]], kind: pa.DataTy
             built.append(Index(shared.value))
         for b in chunks(batches):
             found: list[dict] = [{} for _ in range(b.num_rows)]
-            for d, item, share, score, lo, hi in built[0].search(_words(b.column("text"))):
+            for d, item, share, score, lo, hi in built[0].search(folded_words(b.column("text"))):
                 if share > found[d].get(item, {"share": 0})["share"]:
                     found[d][item] = {"item_id": item, "share": share, "score": score, "first_word": lo, "last_word": hi}
             old = b.column("leaked_items").to_pylist()

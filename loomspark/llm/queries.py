@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspark.llm import decontaminate, exact_topk, lm_score, secret_scan, sentencepiece_codec, token_output, toxicity
+from loomspark.llm import decontaminate, exact_topk, lm_score, near_dedup, secret_scan, sentencepiece_codec, token_output, toxicity
 from loomspark.llm.common import documents, shared_dir
 
 
@@ -14,6 +14,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_dedup(spark, sf_dir):
+    return near_dedup.classes(documents(spark, sf_dir))
+
+
 def op2_token_output(spark, sf_dir):
     path = shared_dir(spark, "token-ids")
     parts = token_output.write(documents(spark, sf_dir), path, tokenizer_file("byte_bpe_50k.json"), end_id=0)
@@ -72,5 +76,5 @@ WITH v AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-QUERIES = {"op6_lm_score": op6_lm_score, "op4_exact_topk": op4_exact_topk, "op7_sentencepiece": op7_sentencepiece, "op9_token_counts": op9_token_counts, "op5_decontaminate": op5_decontaminate, "op10_toxicity": op10_toxicity, "op2_token_output": op2_token_output, "op8_secret_scan": op8_secret_scan}
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op6_lm_score": op6_lm_score, "op4_exact_topk": op4_exact_topk, "op7_sentencepiece": op7_sentencepiece, "op9_token_counts": op9_token_counts, "op5_decontaminate": op5_decontaminate, "op10_toxicity": op10_toxicity, "op2_token_output": op2_token_output, "op8_secret_scan": op8_secret_scan}
 ORACLES: dict[str, str] = {"op4_exact_topk": TOPK_SQL}
