@@ -75,6 +75,15 @@ class Words:
         return mix((s[n:] - s[:m]) * q[:m], seed), doc[:m] == doc[n - 1 :]
 
 
+def hashed(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each byte range."""
+    p, q = _powers(_BASE, len(buf) + 1)
+    s = np.empty(len(buf) + 1, np.uint64)
+    s[0] = 0
+    np.cumsum(_TABLE[buf] * p[: len(buf)], out=s[1:])
+    return mix((s[end] - s[start]) * q[start])
+
+
 def words(texts: pa.Array, separators: bytes = SPACES, lower_ascii: bool = False) -> Words:
     """Maximal runs of other bytes than separators (ASCII) in each text. A null text has none."""
     texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
@@ -94,12 +103,7 @@ def words(texts: pa.Array, separators: bytes = SPACES, lower_ascii: bool = False
     in_word[list(separators)] = 0
     d = np.diff(in_word[buf], prepend=np.int8(0), append=np.int8(0))
     start, end = np.flatnonzero(d == 1), np.flatnonzero(d == -1)
-    p, q = _powers(_BASE, len(buf) + 1)
-    s = np.empty(len(buf) + 1, np.uint64)
-    s[0] = 0
-    np.cumsum(_TABLE[buf] * p[: len(buf)], out=s[1:])
-    hashes = mix((s[end] - s[start]) * q[start])
-    return Words(buf, hashes, start, end, np.append(np.searchsorted(start, begin), len(start)))
+    return Words(buf, hashed(buf, start, end), start, end, np.append(np.searchsorted(start, begin), len(start)))
 
 
 #: For matching that overlooks case and marks: besides white space, ASCII punctuation parts words.

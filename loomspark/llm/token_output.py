@@ -29,16 +29,48 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import chunks
+from loomspark.llm.common import chunks, hashed, words
 
 LENGTH, BATCH = 1024, 256
 #: Entries that a worker's memo of encoded words may hold; it starts anew beyond.
-MEMO = 1_500_000
-_MEMO: dict[str, dict[str, bytes]] = {}
-
-
-def _odd(c: str) -> bool:
-    return c.isspace() or c == "\u180e"
+MEMO = 3_000_000
+_MEMO: dict[str, "_Memo"] = {}
+#: Marks that are pre-tokens of their own after a letter at a word's end.
+_MARKS = b".,;:!?"
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(_MARKS)] = True
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(9, 14), *range(28, 32)]] = True
+
+
+class _Memo:
+    """Ids by word hash, in sorted arrays."""
+
+    def __init__(self, dtype: np.dtype):
+        self.hashes, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, dtype)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash, or -1."""
+        if not len(self.hashes):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, at, -1)
+
+    def add(self, h: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """Adds hashes, ascending and new."""
+        to = np.searchsorted(self.hashes, h)
+        self.hashes = np.insert(self.hashes, to, h)
+        self.at = np.insert(self.at, to, len(self.ids) + np.cumsum(n) - n)
+        self.n = np.insert(self.n, to, n)
+        self.ids = np.concatenate([self.ids, ids])
+
+
+def _ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for n[0] places, then the same for the next ones."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 class Encoder:
@@ -55,42 +87,97 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = special_as_text
-        self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.leads = np.zeros(self.tok.get_vocab_size(), bool)
+        size = self.tok.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.leads = np.zeros(size, bool)
         self.leads[[i for t, i in self.tok.get_vocab().items() if t.startswith("Ġ")]] = True
-        self.marks = {m: np.array(self.tok.encode(m, add_special_tokens=False).ids, self.dtype).tobytes() for m in ".,;:!?"}
-        self.memo = _MEMO.setdefault(f"{path} {special_as_text}", {})
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        """Ids of each part: parts hold no space, and each is encoded with one before it, so its first id is of a token that begins with one."""
-        ids = np.array(self.tok.encode_batch_fast([" " + " ".join(parts)], add_special_tokens=False)[0].ids, self.dtype)
+        self.marks = np.zeros(256, self.dtype)
+        for m in _MARKS:
+            self.marks[m] = self._ids([chr(m)])[0][0]
+        self.key = f"{path} {special_as_text}"
+
+    _loaded: dict[tuple[str, bool], "Encoder"] = {}
+
+    @classmethod
+    def load(cls, path: str, special_as_text: bool = False) -> "Encoder":
+        """One encoder per worker and setting."""
+        if (path, special_as_text) not in cls._loaded:
+            cls._loaded[path, special_as_text] = cls(path, special_as_text)
+        return cls._loaded[path, special_as_text]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of n words, each after a space, and how many each has: a word's first id is of a token that begins with the space."""
+        text = raw.decode()
+        ids = self._ids([text])[0]
         begin = np.flatnonzero(self.leads[ids])
-        if len(begin) != len(parts):
-            return [np.array(self.tok.encode(" " + p, add_special_tokens=False).ids, self.dtype).tobytes() for p in parts]
-        raw, at = ids.tobytes(), (np.append(begin, len(ids)) * self.dtype.itemsize).tolist()
-        return [raw[i:j] for i, j in zip(at, at[1:])]
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each whole text, as little-endian bytes."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        cut = [t.split(" ") if t else [""] for t in texts]
-        new = set().union(*(p[1:] for p in cut)).difference(memo)
-        odd = {w for w in new if not w or _odd(w[0]) or _odd(w[-1])}
-        new -= odd
-        # A mark at a letter is a pre-token of its own, so only what stands before it is new.
-        ends = {w for w in new if w[-1] in self.marks and w[-2:-1].isalpha()}
-        fresh = [w for w in new.difference(ends).union(w[:-1] for w in ends) if w not in memo]
-        for i in range(0, len(fresh), 5000):
-            some = fresh[i : i + 5000]
-            memo.update(zip(some, self._encode(some)))
-        for w in ends:
-            memo[w] = memo[w[:-1]] + self.marks[w[-1]]
-        whole = [not p[0] or _odd(p[0][-1]) or bool(odd) and not odd.isdisjoint(p) for p in cut]
-        rest = [t or "" if w else p[0] for t, p, w in zip(texts, cut, whole)]
-        heads = [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
-        return [h if w else h + b"".join(map(memo.__getitem__, p[1:])) for h, p, w in zip(heads, cut, whole)]
+        if len(begin) == n:
+            return ids, np.diff(np.append(begin, len(ids)))
+        parts = self._ids([" " + w for w in text[1:].split(" ")])
+        return np.concatenate(parts), np.array([len(p) for p in parts])
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all whole texts, one after the other, and how many each has."""
+        memo = _MEMO.get(self.key)
+        if memo is None or len(memo.hashes) > MEMO:
+            memo = _MEMO[self.key] = _Memo(self.dtype)
+        w = words(texts, b" ")
+        buf, start, end, ptr, n_docs = w.buf, w.start, w.end, w.ptr, len(texts)
+        size = pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64)
+        begin = np.cumsum(size + 1) - size
+        doc = w.doc_of()
+        whole = self._odd(buf, start, end, ptr, begin, size, doc)
+        first = np.zeros(len(start), bool)
+        first[ptr[:-1][ptr[:-1] < ptr[1:]]] = True
+        use = np.flatnonzero(~first & ~whole[doc])
+        last = buf[end[use] - 1]
+        cut = _MARK[last] & _LETTER[buf[np.maximum(end[use] - 2, 0)]] & (end[use] - start[use] > 1)
+        h = hashed(buf, start[use], end[use] - cut)
+        distinct, at, back = np.unique(h, return_index=True, return_inverse=True)
+        new = np.flatnonzero(memo.find(distinct) < 0)
+        for i in range(0, len(new), 20_000):
+            some = new[i : i + 20_000]
+            a, b = start[use[at[some]]] - 1, (end[use] - cut)[at[some]]
+            memo.add(distinct[some], *self._encode(buf[_ragged(a, b - a)].tobytes(), len(some)))
+        place = memo.find(distinct)[back]
+        n = memo.n[place]
+        heads = [t[: t.find(" ")] if not odd and " " in t else t for t, odd in zip(texts.fill_null("").to_pylist(), whole)]
+        heads = self._ids(heads)
+        # Each text is its head's ids and then its words' ids, with the mark's where one was cut off.
+        n_head = np.array([len(x) for x in heads], np.int64)
+        total = n_head + np.bincount(doc[use], n + cut, n_docs).astype(np.int64)
+        to = np.cumsum(total) - total
+        out = np.empty(int(total.sum()), self.dtype)
+        out[_ragged(to, n_head)] = np.concatenate([np.zeros(0, self.dtype), *heads])
+        ends = np.cumsum(n + cut)
+        before = np.concatenate([[0], np.cumsum(np.bincount(doc[use], n + cut, n_docs).astype(np.int64))])[:-1]
+        put = ends - (n + cut) + (to + n_head - before)[doc[use]]
+        out[_ragged(put, n)] = memo.ids[_ragged(memo.at[place], n)]
+        out[(put + n)[cut]] = self.marks[last[cut]]
+        return out, total
+
+    @staticmethod
+    def _odd(buf, start, end, ptr, begin, size, doc) -> np.ndarray:
+        """Texts in which a space stands at either end or beside other white space."""
+        n = len(size)
+        odd = np.zeros(n, bool)
+        if len(start):
+            odd[doc[1:][(start[1:] - end[:-1] > 1) & (doc[1:] == doc[:-1])]] = True
+            odd[doc[_SPACE[buf[start]] | _SPACE[buf[end - 1]]]] = True
+        some = ptr[:-1] < ptr[1:]
+        odd |= (size > 0) & ~some
+        odd[some] |= (start[ptr[:-1][some]] != begin[some]) | (end[ptr[1:][some] - 1] != (begin + size)[some])
+        # White space outside ASCII, wherever it stands.
+        lead = np.flatnonzero((buf == 0xC2) | (buf >= 0xE1) & (buf <= 0xE3))
+        lead = lead[lead + 1 < len(buf)]
+        if len(lead):
+            a, b, c = buf[lead], buf[lead + 1], buf[np.minimum(lead + 2, len(buf) - 1)]
+            found = (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & ((b == 0x9A) & (c == 0x80) | (b == 0xA0) & (c == 0x8E))
+            found |= (a == 0xE2) & ((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F)) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+            odd[np.searchsorted(begin, lead[found], "right") - 1] = True
+        return odd
 
 
 class _Writer:
@@ -102,14 +189,14 @@ class _Writer:
         self.schema = pa.schema([("ids", pa.list_(value, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.out = pa.ipc.new_file(sink, self.schema)
 
-    def add(self, ids: bytes) -> None:
+    def add(self, ids: np.ndarray) -> None:
         self.rest.append(ids)
-        self.n += len(ids) // self.dtype.itemsize
+        self.n += len(ids)
         if self.n >= self.length * self.batch:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
-        ids = np.frombuffer(b"".join(self.rest), self.dtype)
+        ids = np.concatenate([np.zeros(0, self.dtype), *self.rest])
         step = self.length * self.batch
         full = len(ids) if last else len(ids) // step * step
         for i in range(0, full, step):
@@ -121,7 +208,7 @@ class _Writer:
                 mask[-pad:] = False
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (part, mask)]
             self.out.write_batch(pa.record_batch(lists, schema=self.schema))
-        self.rest = [ids[full:].tobytes()]
+        self.rest = [ids[full:].copy()]
         self.n = len(ids) - full
 
     def close(self) -> None:
@@ -138,18 +225,17 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0, le
         part = TaskContext.get().partitionId()
         files, top = fs.FileSystem.from_uri(path)
         files.create_dir(top, recursive=True)
-        enc, writer, sink, index, at = Encoder(tokenizer, special_as_text), None, None, [], 0
-        tail = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
+        enc, writer, sink, index, at = Encoder.load(tokenizer, special_as_text), None, None, [], 0
         temp = f"{top}/_temporary-{part:06d}-{uuid.uuid4().hex}"
         for b in chunks(batches):
             if writer is None:
                 sink = files.open_output_stream(temp)
                 writer = _Writer(sink, enc.dtype, length, batch)
-            sizes = []
-            for ids in enc(b.column("text").to_pylist()):
-                writer.add(ids + tail)
-                sizes.append((len(ids) + len(tail)) // enc.dtype.itemsize)
-            sizes = np.array(sizes, np.int64)
+            ids, sizes = enc(b.column("text"))
+            if end_id is not None:
+                ids = np.insert(ids, np.cumsum(sizes), np.array(end_id, enc.dtype))
+                sizes = sizes + 1
+            writer.add(ids)
             start = at + np.cumsum(sizes) - sizes
             at += int(sizes.sum())
             index.append(pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(start), pa.array(sizes)], ["doc_id", "start", "n_tokens"]))
