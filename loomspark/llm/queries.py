@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspark.llm import decontaminate, exact_topk, lm_score, near_dedup, secret_scan, sentencepiece_codec, token_output, toxicity
+from loomspark.llm import decontaminate, exact_topk, lm_score, near_dedup, secret_scan, sentencepiece_codec, substring_dedup, token_output, toxicity
 from loomspark.llm.common import documents, shared_dir
 
 
@@ -50,6 +50,29 @@ def op9_token_counts(spark, sf_dir):
     return sentencepiece_codec.token_counts(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op3_substring_dedup(spark, sf_dir):
+    found = substring_dedup.dedup(documents(spark, sf_dir), window=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+SUBSTRING_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), starts AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS k FROM w, unnest(range(1, len(ws) - 48)) t(i) WHERE len(ws) >= 50
+), firsts AS (
+  SELECT k, min(doc_id) AS first_id FROM starts GROUP BY k
+), gone AS (
+  SELECT DISTINCT s.doc_id, s.i + j AS p FROM starts s JOIN firsts f USING (k), unnest(range(0, 50)) t(j) WHERE f.first_id < s.doc_id
+), lost AS (
+  SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN lost USING (doc_id)
+"""
+
+
 def op4_exact_topk(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return exact_topk.search(vectors, F.col("vec_id") % 20 == 0, k=20, vector="embedding", scale=64.0)
@@ -76,5 +99,5 @@ WITH v AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op6_lm_score": op6_lm_score, "op4_exact_topk": op4_exact_topk, "op7_sentencepiece": op7_sentencepiece, "op9_token_counts": op9_token_counts, "op5_decontaminate": op5_decontaminate, "op10_toxicity": op10_toxicity, "op2_token_output": op2_token_output, "op8_secret_scan": op8_secret_scan}
-ORACLES: dict[str, str] = {"op4_exact_topk": TOPK_SQL}
+QUERIES = {"op3_substring_dedup": op3_substring_dedup, "op1_near_dedup": op1_near_dedup, "op6_lm_score": op6_lm_score, "op4_exact_topk": op4_exact_topk, "op7_sentencepiece": op7_sentencepiece, "op9_token_counts": op9_token_counts, "op5_decontaminate": op5_decontaminate, "op10_toxicity": op10_toxicity, "op2_token_output": op2_token_output, "op8_secret_scan": op8_secret_scan}
+ORACLES: dict[str, str] = {"op3_substring_dedup": SUBSTRING_SQL, "op4_exact_topk": TOPK_SQL}
