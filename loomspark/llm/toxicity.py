@@ -189,3 +189,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch([b.column("doc_id"), pa.array([g[0] for g in got], pa.float64()), pa.array(why, kind)], ["doc_id", "score", "evidence"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>")
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of docs whose text scores below the threshold, as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, text):
+            keep = [shared.value.score(t or "")[0] < threshold for t in b.column(text).to_pylist()]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
