@@ -13,9 +13,11 @@ while its next point can still be earlier than the text's latest place.
 
 Links: equal texts are one node from the start. Each of BANDS bands deals nodes to buckets; every
 node of a bucket is verified against the bucket's first one, so a bucket of n nodes gives n - 1
-candidates. Where the verified links leave a bucket in more than one component, nodes of different
-components are compared as well, unless their distances to the bucket's first one differ by more
-than 1 - SIMILARITY: that distance is a metric, so such pairs can't be linked. No bucket is capped.
+candidates. Where the verified links leave a bucket in more than one component, the node that is most similar to
+those it was compared with becomes the next first one, as in a group of copies it is the
+original that all resemble. In the end nodes of different components are compared as well, unless their
+distances to the bucket's first one differ by more than 1 - SIMILARITY: that distance is a
+metric, so such pairs can't be linked. No bucket is capped.
 A link of similarity s is overlooked with a probability of (1 - s^ROWS)^BANDS, 2e-5 at most.
 
 Defined results: a null text or one without words is a class of its own; equal texts are one class
@@ -38,6 +40,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 26, 5
 WIDTH = BANDS * ROWS
 _MOST = 400_000
+#: Buckets in several components get new first nodes, up to so often, while the pairs across
+#: components are more than so many times the nodes; then those pairs are compared.
+TURNS, LINEAR = 12, 8
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -182,19 +187,42 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     sets = checkpointed(sets.join(wanted, "node", "left_semi"))
     measured = checkpointed(_verified(stars, sets))
     least = similarity - 1e-9
-    links = measured.filter(F.col("similarity") >= least).select("a", "b")
-    first = components(links)
-    # Buckets that hold several components: compare their nodes across components, where the metric allows it.
-    members = dealt.join(first.withColumnRenamed("node", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
-    mixed = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    members = members.join(mixed, "bucket").join(measured, ["a", "b"], "left")
-    members = members.select("bucket", "b", "n", "component", (1 - F.coalesce("similarity", F.lit(1.0))).alias("far"), (F.col("a") == F.col("b")).alias("lead"))
-    members = checkpointed(members.filter("not lead"))
-    other = members.select("bucket", *[F.col(c).alias(f"{c}_2") for c in ("b", "n", "component", "far")])
-    across = members.join(other, "bucket").filter((F.col("b") < F.col("b_2")) & (F.col("component") != F.col("component_2")) & (F.abs(F.col("far") - F.col("far_2")) <= 1 - least) & (F.least("n", "n_2") >= least * F.greatest("n", "n_2")))
-    rest = _verified(across.select(F.col("b").alias("a"), F.col("b_2").alias("b")).distinct(), sets)
-    more = checkpointed(rest.filter(F.col("similarity") >= least).select("a", "b"))
-    found = components(links.unionByName(more)) if more.limit(1).count() else first
+    members = dealt.select("bucket", F.col("b").alias("node"), "n", "a")
+    for turn in range(TURNS + 1):
+        found = components(measured.filter(F.col("similarity") >= least))
+        # What a bucket still has to compare: nodes of different components.
+        now = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        sizes = now.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("square"))
+        sizes = sizes.filter(F.col("square") < F.col("all") * F.col("all"))
+        now = checkpointed(now.join(sizes.select("bucket"), "bucket"))
+        left = sizes.agg(F.sum("all").alias("n"), F.sum((F.col("all") * F.col("all") - F.col("square")) / 2).alias("pairs")).first()
+        if not left["n"]:
+            break
+        ends = measured.select(F.col("a").alias("node"), "similarity").unionByName(measured.select(F.col("b").alias("node"), "similarity"))
+        if turn < TURNS and left["pairs"] > LINEAR * left["n"]:
+            # The node that is nearest to what it was compared with becomes the bucket's next first one.
+            near = ends.groupBy("node").agg(F.avg("similarity").alias("near"))
+            ranked = now.filter("node <> a").join(near, "node", "left")
+            hub = ranked.groupBy("bucket").agg(F.max_by(F.struct("node", "component"), F.struct(F.coalesce("near", F.lit(0.0)), "node")).alias("hub"))
+            pairs = now.join(hub, "bucket").filter(F.col("hub.component") != F.col("component"))
+            pairs = pairs.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
+            fresh = pairs.join(measured.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+            measured = checkpointed(measured.unionByName(_verified(fresh, sets)))
+            members = now.join(hub.select("bucket", F.col("hub.node").alias("hub")), "bucket").select("bucket", "node", "n", F.col("hub").alias("a"))
+            continue
+        # Pairs across components, where their distances to the bucket's first one allow a link.
+        far = measured.select("a", F.col("b").alias("node"), (1 - F.col("similarity")).alias("far"))
+        far = far.unionByName(measured.select(F.col("b").alias("a"), F.col("a").alias("node"), (1 - F.col("similarity")).alias("far"))).distinct()
+        one = now.join(far, ["a", "node"], "left").select("bucket", "node", "n", "component", "far")
+        other = one.select("bucket", *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "component", "far")])
+        apart = F.coalesce(F.abs(F.col("far") - F.col("far_2")), F.lit(0.0)) > 1 - least
+        across = one.join(other, "bucket").filter((F.col("node") < F.col("node_2")) & (F.col("component") != F.col("component_2")) & ~apart & (F.least("n", "n_2") >= least * F.greatest("n", "n_2")))
+        across = across.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
+        across = across.join(measured.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        rest = checkpointed(_verified(across, sets).filter(F.col("similarity") >= least))
+        if rest.limit(1).count():
+            found = components(measured.filter(F.col("similarity") >= least).unionByName(rest))
+        break
     named = nodes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     of = named.join(names, "component").select("node", "class_id")
