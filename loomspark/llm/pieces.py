@@ -27,7 +27,7 @@ import numpy as np
 T = TypeVar("T")
 MARK = "▁"
 #: Entries of each memo of a worker; it starts anew beyond.
-MEMO = 1_000_000
+MEMO = 600_000
 UNIGRAM, BPE = 1, 2
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
 

@@ -34,7 +34,7 @@ from loomspark.llm.common import checkpointed, chunks, mix, words
 EXAMPLES = 12_000
 PREFIXES = (4, 5, 6, 7, 8)
 #: Words of which a worker remembers the selected terms; it starts anew beyond.
-MEMO = 1_000_000
+MEMO = 200_000
 NEIGHBOURS = 15
 SHRINK = 0.5
 #: A term is selected if it is this many times likelier in toxic examples and its likelihood-ratio statistic is this high.
@@ -187,6 +187,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             got = [m.score(t or "") for t in b.column("text").to_pylist()]
             why = [[{"doc_id": m.ids[i], "similarity": s, "toxic": int(m.labels[i])} for s, i in near] for _, near in got]
             yield pa.record_batch([b.column("doc_id"), pa.array([g[0] for g in got], pa.float64()), pa.array(why, kind)], ["doc_id", "score", "evidence"])
+        m.memo.clear()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>")
 
@@ -199,5 +200,6 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.7, text: str =
         for b in chunks(batches, text):
             keep = [shared.value.score(t or "")[0] < threshold for t in b.column(text).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
+        shared.value.memo.clear()
 
     return docs.mapInArrow(run, docs.schema)
