@@ -1 +1,164 @@
-"""Queries."""
+"""Queries over token packing."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loomspark.functions import tokens as tk
+from loomspark.operators.batching import padded
+from loomspark.queries.joins import series
+from loomspark.registry import query
+from loomspark.runtime import hash32_sql, table
+
+IDS = "SELECT doc_id, list_transform(range(1, 1 + n_chars % 40), lambda i: (doc_id * 7 + i * 13) % 6000) AS ids FROM documents"
+
+
+def ids(spark, sf):
+    d = table(spark, sf, "documents")
+    n = (F.col("n_chars") % 40).cast("int")
+    seq = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return d.select("doc_id", F.transform(seq, lambda i: (F.col("doc_id") * 7 + i * 13) % 6000).alias("ids"))
+
+
+@query("p09_inference_layers", f"""SELECT doc_id, [list_concat([152000 + 0 * 6625 + 6563], list_transform(range(0, n), lambda i: 152000 + 6562), [152000 + 6561, 152000 + 6564]),
+ list_concat([158625 + 6563], list_transform(range(0, n), lambda i: 158625 + 6562), [158625 + 6561, 158625 + 6564]), list_concat([151938], list_transform(range(0, n), lambda i: 151937), [151936, 151939])] AS layers FROM (SELECT doc_id, len(ids) AS n FROM ({IDS}))""")
+def _(spark, sf):
+    return ids(spark, sf).select("doc_id", tk.inference_layers(F.size("ids"), 2).alias("layers"))
+
+
+@query("x17_upsampled", f"SELECT doc_id, flatten(list_transform(ids, lambda x: [x, x, x])) AS repeated, flatten(list_transform(ids, lambda x: [x, -7, -7])) AS blanked FROM ({IDS})")
+def _(spark, sf):
+    return ids(spark, sf).select("doc_id", tk.upsampled(F.col("ids"), 3).alias("repeated"), tk.upsampled(F.col("ids"), 3, -7).alias("blanked"))
+
+
+@query("x18_layer_shift", "SELECT event_id, event_id % 6625 + 152000 + (event_id % 3) * 6625 AS shifted, event_id % 6625 + 152000 AS simple FROM events")
+def _(spark, sf):
+    x = F.col("event_id") % 6625
+    return table(spark, sf, "events").select("event_id", tk.layer_shift(x, F.col("event_id") % 3).alias("shifted"), tk.simple_shift(x).alias("simple"))
+
+
+@query("x19_single_layer", f"SELECT doc_id, list_concat([6562, 6562], ids, [6561]) AS layer FROM ({IDS})")
+def _(spark, sf):
+    return ids(spark, sf).select("doc_id", tk.single_layer(F.col("ids"), 2).alias("layer"))
+
+
+def _group_sql(fill, latency):
+    full = f"list_concat(ids, [6561], list_transform(range(0, (3 - (len(ids) + 1) % 3) % 3), lambda i: {fill}))"
+    head = "[6562]" if latency else "[]"
+    layers = ", ".join(f"list_concat({head}, list_filter(f, lambda x, i: (i - 1) % 3 = {l}))" for l in range(3))
+    return f"SELECT doc_id, [{layers}] AS layers FROM (SELECT doc_id, {full} AS f FROM ({IDS}))"
+
+
+@query("x20_grouped_layers", _group_sql(6562, True))
+def _(spark, sf):
+    return ids(spark, sf).select("doc_id", tk.grouped_layers(F.col("ids"), 3, 1).alias("layers"))
+
+
+@query("x20_grouped_layers_end_fill", _group_sql(6561, False))
+def _(spark, sf):
+    return ids(spark, sf).select("doc_id", tk.grouped_layers(F.col("ids"), 3, fill_with_end=True).alias("layers"))
+
+
+@query("x21_ungrouped", f"SELECT doc_id, ids FROM ({IDS})")
+def _(spark, sf):
+    return ids(spark, sf).select("doc_id", tk.ungrouped(tk.grouped_layers(F.col("ids"), 3, 1), 1).alias("ids"))
+
+
+G8 = "SELECT doc_id, list_transform(range(0, 8 * (n_chars % 5)), lambda i: (doc_id + i * 3) % 4096) AS ids FROM documents"
+
+
+def groups8(spark, sf):
+    n = (F.col("n_chars") % 5).cast("int") * 8
+    seq = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return table(spark, sf, "documents").select("doc_id", F.transform(seq, lambda i: (F.col("doc_id") + i * 3) % 4096).alias("ids"))
+
+
+@query("x22_delayed_layers", "SELECT doc_id, [" + ", ".join(f"list_concat(list_transform(range(0, {l}), lambda i: 4097), list_filter(ids, lambda x, i: (i - 1) % 8 = {l}), [4096], list_transform(range(0, {7 - l}), lambda i: 4097))" for l in range(1, 8)) + f"] AS layers FROM ({G8})")
+def _(spark, sf):
+    return groups8(spark, sf).select("doc_id", tk.delayed_layers(F.col("ids"), 4097, 4096).alias("layers"))
+
+
+@query("x23_hierarchy", f"""SELECT doc_id, [list_filter(ids, lambda x, i: (i - 1) % 8 = 1), list_filter(ids, lambda x, i: (i - 1) % 8 IN (2, 5)), list_filter(ids, lambda x, i: (i - 1) % 8 IN (3, 4, 6, 7))] AS levels FROM ({G8})""")
+def _(spark, sf):
+    frames = tk.undelayed(tk.delayed_layers(F.col("ids"), 4097, 4096))
+    return groups8(spark, sf).select("doc_id", tk.hierarchy(frames, 3).alias("levels"))
+
+
+TS = f"SELECT doc_id, ids[1:len(ids) // 4] AS t, ids[len(ids) // 4 + 1:] AS s FROM ({IDS})"
+
+
+def text_speech(spark, sf):
+    n = F.floor(F.size("ids") / 4).cast("int")
+    return ids(spark, sf).select("doc_id", F.slice("ids", F.lit(1), n).alias("t"), F.slice("ids", n + 1, F.size("ids") + 1).alias("s"))
+
+
+@query("x24_interleaved", f"""WITH x AS ({TS}), p AS (
+ SELECT doc_id, (i - 1) // 3 AS turn, 0 AS kind, i, t[i] AS v FROM x, unnest(range(1, len(t) + 1)) u(i) UNION ALL SELECT doc_id, (i - 1) // 6, 1, i, s[i] FROM x, unnest(range(1, len(s) + 1)) u(i))
+SELECT doc_id, list(v ORDER BY turn, kind, i) AS ids, list(kind = 0 ORDER BY turn, kind, i) AS is_text FROM p GROUP BY doc_id""")
+def _(spark, sf):
+    x = text_speech(spark, sf).select("doc_id", tk.interleaved(F.col("t"), F.col("s"), 3, 6).alias("x")).filter(F.size("x") > 0)
+    return x.select("doc_id", F.col("x.token").alias("ids"), F.col("x.is_text").alias("is_text"))
+
+
+@query("x25_with_fill", f"""WITH x AS ({TS}) SELECT doc_id, list_concat(flatten(list_transform(range(0, len(t) // 2), lambda k: list_concat(t[k * 2 + 1:k * 2 + 2], s[k * 6 + 1:k * 6 + 6]))), t[len(t) // 2 * 2 + 1:], [6564], s[len(t) // 2 * 6 + 1:]) AS ids FROM x""")
+def _(spark, sf):
+    return text_speech(spark, sf).select("doc_id", tk.with_fill(F.col("t"), F.col("s"), 6564, 2, 6).alias("ids"))
+
+
+KINDS = ("com-reason", "sats-reason", "sats-reason-is", "sats-reason-ht", "com", "sats", "s2s", "sds")
+ANSWER = f"""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN list_concat([151941], t, [151936], [151944], s, [151936], a) WHEN 1 THEN list_concat([151944], s, [151936], a) WHEN 2 THEN list_concat([151944], s, [151936], a)
+ WHEN 3 THEN list_concat([151941, 151944], a) WHEN 4 THEN list_concat([151941], t, [151936], a) WHEN 7 THEN [151943] ELSE a END AS ids FROM (SELECT *, list_concat([151942], t, [151936, 151943]) AS a FROM ({TS}))"""
+
+
+def answers(spark, sf):
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % 8 + 1).cast("int"))
+    return text_speech(spark, sf).select("doc_id", tk.answer(kind, F.col("t"), F.col("s"), F.col("t")).alias("ids"))
+
+
+@query("x26_answers", ANSWER)
+def _(spark, sf):
+    return answers(spark, sf)
+
+
+@query("x27_labels", f"SELECT doc_id, list_transform(ids, lambda x, i: CASE WHEN i <= 3 OR x - 500 < 0 THEN -100 ELSE x - 500 END) AS labels FROM ({IDS})")
+def _(spark, sf):
+    return ids(spark, sf).select("doc_id", tk.labels(F.transform("ids", lambda x: x - 500), F.lit(3)).alias("labels"))
+
+
+@query("x28_packed_durations", "SELECT event_id, CASE WHEN event_id % 5 > 0 THEN user_id + (event_id % 5 - 1) * 4096 ELSE -1 END AS packed, CASE WHEN event_id % 5 > 0 THEN user_id END AS code, event_id % 5 AS n FROM events")
+def _(spark, sf):
+    e = table(spark, sf, "events").select("event_id", tk.packed_duration(F.col("user_id"), F.col("event_id") % 5).alias("packed"))
+    code, n = tk.unpacked_duration(F.col("packed"))
+    return e.select("event_id", "packed", code.alias("code"), n.cast("long").alias("n"))
+
+
+@query("x29_regulated", f"SELECT doc_id, list_concat(flatten(list_transform(ids, lambda x: list_transform(range(0, x % 4), lambda i: x))), list_transform(range(0, greatest(0, 20 - list_sum(list_transform(ids, lambda x: x % 4)))::BIGINT), lambda i: 0)) AS out FROM ({IDS}) WHERE len(ids) > 0")
+def _(spark, sf):
+    x = ids(spark, sf).filter(F.size("ids") > 0)
+    return x.select("doc_id", tk.regulated(F.col("ids"), F.transform("ids", lambda v: F.when(v % 4 == 0, -2).otherwise(v % 4)), F.lit(20), F.lit(0).cast("long")).alias("out"))
+
+
+USED = "[0, 3, 5, 8]"
+
+
+@query("x40_remapped", f"SELECT vec_id, CASE WHEN list_contains({USED}, label) THEN list_position({USED}, label) - 1 ELSE 4 END::BIGINT AS extra, CASE WHEN list_contains({USED}, label) THEN list_position({USED}, label) - 1 ELSE {hash32_sql('vec_id')} % 4 END::BIGINT AS hashed, CASE WHEN list_contains({USED}, label) THEN label ELSE 8 END AS back FROM embeddings")
+def _(spark, sf):
+    used = F.array(*map(F.lit, (0, 3, 5, 8)))
+    e = table(spark, sf, "embeddings").select("vec_id", tk.remapped(F.col("label"), used, "extra").alias("extra"), tk.remapped(F.col("label"), used, "random", F.col("vec_id")).alias("hashed"))
+    return e.withColumn("back", tk.unmapped(F.col("extra"), used))
+
+
+@query("x41_pcm16", "SELECT vec_id, list_transform(embedding, lambda x: greatest(-32768, least(32767, trunc(x::DOUBLE * 4 * 32768)))::INT) AS pcm FROM embeddings")
+def _(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: tk.pcm16(x.cast("double") * 4).cast("int")).alias("pcm"))
+
+
+@query("x42_reflected", "SELECT vec_id, list_concat([x[4], x[3], x[2]], x, [x[63], x[62]]) AS out, x AS back FROM (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)")
+def _(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", tk.reflected(F.transform("embedding", lambda v: v.cast("double")), 3, 2).alias("out"))
+    return e.withColumn("back", tk.trimmed(F.col("out"), 3, 2))
+
+
+@query("x43_padded_window", f"SELECT doc_id, list_concat(ids, list_transform(range(0, 40 - len(ids)), lambda i: 0)) AS ids FROM ({IDS})")
+def _(spark, sf):
+    return ids(spark, sf).select("doc_id", padded(F.col("ids"), 40, F.lit(0).cast("long")).alias("ids"))
