@@ -12,12 +12,11 @@ texts agree in a place with a probability of exactly their similarity. A process
 while its next point can still be earlier than the text's latest place.
 
 Links: equal texts are one node from the start. Each of BANDS bands deals nodes to buckets; every
-node of a bucket is verified against the bucket's first one, so a bucket of n nodes gives n - 1
-candidates. Where the verified links leave a bucket in more than one component, the node that is most similar to
+node of a bucket is verified against the bucket's first one (the node whose buckets are the
+fullest), so a bucket of n nodes gives n - 1 candidates. Where the verified links leave a bucket in more than one component, the node that is most similar to
 those it was compared with becomes the next first one, as in a group of copies it is the
-original that all resemble. In the end nodes of different components are compared as well, unless their
-distances to the bucket's first one differ by more than 1 - SIMILARITY: that distance is a
-metric, so such pairs can't be linked. No bucket is capped.
+original that all resemble. In the end all nodes of different components that still share a bucket are compared, in
+blocks, without making rows of their pairs. No bucket is capped.
 A link of similarity s is overlooked with a probability of (1 - s^ROWS)^BANDS, 2e-5 at most.
 
 Defined results: a null text or one without words is a class of its own; equal texts are one class
@@ -42,7 +41,9 @@ WIDTH = BANDS * ROWS
 _MOST = 400_000
 #: Buckets in several components get new first nodes, up to so often, while the pairs across
 #: components are more than so many times the nodes; then those pairs are compared.
-TURNS, LINEAR = 12, 8
+TURNS, LINEAR = 2, 8
+#: Nodes of a block, and shingles that are multiplied at once, in comparing buckets as a whole.
+BLOCK, _COLUMNS = 512, 4096
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -172,12 +173,76 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _overlaps(items: list[np.ndarray], n: int) -> np.ndarray:
+    """Sizes of the intersections of the first n sets with the others."""
+    joined = np.concatenate(items)
+    owner = np.repeat(np.arange(len(items)), [len(x) for x in items])
+    order = np.argsort(joined, kind="stable")
+    joined, owner = joined[order], owner[order]
+    place = np.cumsum(np.concatenate([[0], joined[1:] != joined[:-1]]))
+    shared = np.bincount(place) > 1
+    keep = shared[place]
+    owner, place = owner[keep], (np.cumsum(shared) - 1)[place[keep]]
+    out = np.zeros((n, len(items) - n), np.float32)
+    for at in range(0, int(shared.sum()), _COLUMNS):
+        i, j = np.searchsorted(place, [at, at + _COLUMNS])
+        x = np.zeros((len(items), _COLUMNS), np.float32)
+        x[owner[i:j], place[i:j] - at] = 1
+        out += x[:n] @ x[n:].T
+    return out
+
+
+def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between nodes of a bucket in different components, one for each two components of a cell.
+
+    A bucket is cut into blocks of about BLOCK nodes; a cell holds two blocks of a bucket and compares
+    them by matrix products. Two nodes are compared in the first bucket that they share.
+    """
+    w = F.ceil(F.col("size") / BLOCK).cast("long")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).withColumn("w", w)
+    rows = members.join(sizes, "bucket").withColumn("p", F.pmod(F.xxhash64("node"), F.col("w")))
+    cell = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("w") - 1), lambda q: F.struct(F.least(F.col("p"), q).alias("i"), F.greatest(F.col("p"), q).alias("j"))))
+    rows = rows.withColumn("cell", cell).select("bucket", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "p", "node", "n", "component")
+    rows = rows.join(nodes.select("node", "bands"), "node").join(sets, "node")
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        bucket, i, j = (k.as_py() for k in key)
+        t = t.sort_by("node")
+        p, node, n, part = (t.column(c).to_numpy() for c in ("p", "node", "n", "component"))
+        keys = np.array(t.column("bands").to_pylist(), np.int64)
+        left, right = np.flatnonzero(p == i), np.flatnonzero(p == j)
+        if not len(left) or not len(right):
+            return kind.empty_table()
+        on = (part[left][:, None] != part[right][None, :]) & (np.minimum.outer(n[left], n[right]) >= least * np.maximum.outer(n[left], n[right]))
+        if i == j:
+            on &= left[:, None] < right[None, :]
+        for b in range(int(np.flatnonzero(keys[left[0]] == bucket)[0])):
+            on &= keys[left, b][:, None] != keys[right, b][None, :]
+        if not on.any():
+            return kind.empty_table()
+        left, right, on = left[on.any(1)], right[on.any(0)], on[on.any(1)][:, on.any(0)]
+        raw = t.column("items")
+        items = [np.frombuffer(raw[int(k)].as_buffer(), np.uint64) for k in (*left, *right)]
+        both = _overlaps(items, len(left))
+        x, y = np.nonzero(on & (both >= least * (n[left][:, None] + n[right][None, :] - both)))
+        x, y = left[x], right[y]
+        _, first = np.unique(np.stack([np.minimum(part[x], part[y]), np.maximum(part[x], part[y])]), axis=1, return_index=True)
+        return pa.Table.from_arrays([pa.array(node[x[first]]), pa.array(node[y[first]])], schema=kind)
+
+    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Rows (doc_id, class_id) of every row of docs (doc_id, text)."""
     signed = checkpointed(_signed(docs))
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     dealt = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    firsts = dealt.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("bucket", "a")
+    # The original of a group of copies agrees with most of them, so its buckets are the fullest: such a node comes first.
+    full = dealt.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    dealt = checkpointed(dealt.join(full, "bucket"))
+    weight = dealt.groupBy("node").agg(F.sum("size").alias("weight"))
+    firsts = dealt.select("bucket", "node").join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("a"))
     dealt = checkpointed(dealt.join(firsts, "bucket").select("bucket", "a", F.col("node").alias("b"), "n"))
     stars = dealt.filter("a <> b").select("a", "b").distinct()
     wanted = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -210,18 +275,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             measured = checkpointed(measured.unionByName(_verified(fresh, sets)))
             members = now.join(hub.select("bucket", F.col("hub.node").alias("hub")), "bucket").select("bucket", "node", "n", F.col("hub").alias("a"))
             continue
-        # Pairs across components, where their distances to the bucket's first one allow a link.
-        far = measured.select("a", F.col("b").alias("node"), (1 - F.col("similarity")).alias("far"))
-        far = far.unionByName(measured.select(F.col("b").alias("a"), F.col("a").alias("node"), (1 - F.col("similarity")).alias("far"))).distinct()
-        one = now.join(far, ["a", "node"], "left").select("bucket", "node", "n", "component", "far")
-        other = one.select("bucket", *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "component", "far")])
-        apart = F.coalesce(F.abs(F.col("far") - F.col("far_2")), F.lit(0.0)) > 1 - least
-        across = one.join(other, "bucket").filter((F.col("node") < F.col("node_2")) & (F.col("component") != F.col("component_2")) & ~apart & (F.least("n", "n_2") >= least * F.greatest("n", "n_2")))
-        across = across.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
-        across = across.join(measured.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        rest = checkpointed(_verified(across, sets).filter(F.col("similarity") >= least))
+        rest = checkpointed(_across(now, nodes, sets, least))
         if rest.limit(1).count():
-            found = components(measured.filter(F.col("similarity") >= least).unionByName(rest))
+            found = components(measured.filter(F.col("similarity") >= least).select("a", "b").unionByName(rest))
         break
     named = nodes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
