@@ -86,7 +86,8 @@ def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, width
         many = int(np.clip(_MOST // len(seed), 1, 64)) if step else 1
         r = mix(seed[:, None] + np.arange(step, step + many, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 1)
         gap = -np.log(((r >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate[:, None]
-        times = time[:, None] + np.cumsum(gap, axis=1)
+        # Added up one by one, so that times don't depend on how many are made at once.
+        times = np.cumsum(np.concatenate([time[:, None], gap], axis=1), axis=1)[:, 1:]
         r = mix(r, 2)
         place = ((r >> np.uint64(32)) * np.uint64(width)) >> np.uint64(32)
         inside = (r & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 < reach[:, None]
