@@ -1 +1,117 @@
-"""Queries."""
+"""Queries over text functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loomspark.functions import text as tx
+from loomspark.operators import tools
+from loomspark.registry import query
+from loomspark.runtime import hash32_sql, table
+
+
+@query("x01_clean_json", "SELECT event_id, props AS json FROM events")
+def _(spark, sf):
+    raw = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("  ```json\n"), "props", F.lit("\n```  "))).otherwise(F.concat(F.lit(" "), "props", F.lit("\n")))
+    return table(spark, sf, "events").select("event_id", tx.clean_json(raw).alias("json"))
+
+
+@query("x02_without_controls", r"SELECT page_id, md5(regexp_replace(html, '[\x00-\x1f\x7f]', '', 'g')) AS text_md5 FROM pages")
+def _(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.md5(tx.without_controls(F.col("html")).cast("binary")).alias("text_md5"))
+
+
+@query("x03_envelope", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'invalid' WHEN 2 THEN 'empty' ELSE 'error' END AS state FROM events")
+def _(spark, sf):
+    k = F.col("event_id") % 4
+    raw = F.when(k == 0, F.col("props")).when(k == 1, F.concat(F.lit("{"), "props")).when(k == 2, F.lit("  ")).otherwise(F.concat(F.lit('{"error":'), "props", F.lit("}")))
+    return table(spark, sf, "events").select("event_id", tx.envelope(raw).alias("state"))
+
+
+@query("x04_message_content", "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN event_type END AS content FROM events")
+def _(spark, sf):
+    said = F.when(F.col("event_id") % 3 > 0, F.col("event_type")).otherwise("  ")
+    raw = F.concat(F.lit('{"choices":[{"message":{"content":"'), said, F.lit('"}}]}'))
+    return table(spark, sf, "events").select("event_id", tx.message_content(raw).alias("content"))
+
+
+@query("x05_json_or_wrapped", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN '[' || props || ',' || props || ']' END AS json FROM events")
+def _(spark, sf):
+    k = F.col("event_id") % 3
+    raw = F.when(k == 0, F.col("props")).when(k == 1, F.concat("props", F.lit(","), "props")).otherwise(F.concat("props", F.lit("{")))
+    return table(spark, sf, "events").select("event_id", tx.json_or_wrapped(raw).alias("json"))
+
+
+@query("x06_coerced", """SELECT event_id, v.kind, CASE WHEN v.kind = 'integer' THEN (props->>'k') WHEN v.kind = 'number' THEN (props->>'k') || '.5' WHEN v.kind = 'boolean' THEN CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'maybe' END ELSE event_type END AS value
+FROM events, (VALUES ('integer'), ('number'), ('boolean'), ('string')) v(kind)""")
+def _(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").alias("k"), F.explode(F.array(*map(F.lit, ("integer", "number", "boolean", "string")))).alias("kind"))
+    raw = F.when(F.col("kind") == "integer", F.concat("k", F.when(F.col("event_id") % 2 == 0, ".9").otherwise(""))).when(F.col("kind") == "number", F.concat(F.lit(" "), "k", F.lit(".5"))).when(F.col("kind") == "boolean", F.when(F.col("event_id") % 2 == 0, "ON").otherwise("maybe")).otherwise(F.col("event_type"))
+    return e.select("event_id", "kind", tools.coerced(raw, F.col("kind")).alias("value"))
+
+
+@query("x07_last_user_line", "SELECT conv_id, arg_max(trim(replace(text, chr(10), ' ')), turn) AS said FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def _(spark, sf):
+    line = F.concat(F.initcap("role"), F.lit(": "), F.translate("text", "\n", " "))
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("t"))
+    return c.select("conv_id", tx.last_user_line(F.col("t")).alias("said")).filter("said is not null")
+
+
+@query("x08_names", "SELECT lang, list(DISTINCT trim(source) ORDER BY trim(source)) AS names FROM documents GROUP BY lang")
+def _(spark, sf):
+    d = table(spark, sf, "documents").groupBy("lang").agg(F.concat(F.collect_set(F.concat(F.lit(" "), "source", F.lit("  "))), F.array(F.lit(" "))).alias("n"))
+    return d.select("lang", F.array_sort(tx.names(F.col("n"))).alias("names"))
+
+
+@query("x09_plain_marks", "SELECT doc_id, lang || '平方a b' || source AS x FROM documents")
+def _(spark, sf):
+    raw = F.concat("lang", F.lit("²（a）——【b】`"), "source")
+    return table(spark, sf, "documents").select("doc_id", tx.plain_marks(raw).alias("x"))
+
+
+@query("x10_spelt_numbers")
+def _(spark, sf):
+    return tx.spelt_numbers(table(spark, sf, "documents").select("doc_id", "text"), "text", "spelt").drop("text")
+
+
+SPLIT_WORDS = "len(list_filter(string_split(%s, ' '), lambda x: x <> ''))"
+
+
+@query("x11_split_paragraphs", rf"""WITH RECURSIVE b AS (SELECT item_id, CASE WHEN regexp_matches(right(text, 1), '[.?!;:]') THEN text ELSE text || '.' END AS t FROM benchmark),
+q AS (SELECT item_id, list_transform(regexp_extract_all(t, '([^.?!;:]+[.?!;:])["”]?[.?!;:]*'), lambda x: regexp_extract(x, '^[^.?!;:]+[.?!;:]["”]?')) AS ps FROM b),
+f AS (SELECT item_id, ps, 0 AS i, []::VARCHAR[] AS done, '' AS cur FROM q
+ UNION ALL SELECT item_id, ps, i + 1, CASE WHEN {SPLIT_WORDS % "cur || ps[i + 1]"} > 12 AND {SPLIT_WORDS % "cur"} > 6 THEN list_append(done, cur) ELSE done END,
+  CASE WHEN {SPLIT_WORDS % "cur || ps[i + 1]"} > 12 AND {SPLIT_WORDS % "cur"} > 6 THEN ps[i + 1] ELSE cur || ps[i + 1] END FROM f WHERE i < len(ps))
+SELECT item_id, CASE WHEN cur = '' THEN done WHEN {SPLIT_WORDS % "cur"} < 4 AND len(done) > 0 THEN list_append(done[1:len(done) - 1], done[len(done)] || cur) ELSE list_append(done, cur) END AS parts FROM f WHERE i = len(ps)""")
+def _(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", tx.split_paragraph(F.col("text"), most=12, least=6, tail=4).alias("parts"))
+
+
+@query("x12_without_blanks", "SELECT doc_id, '漢字ab cd' || lang AS x FROM documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", tx.without_blanks(F.concat(F.lit("漢 字 ab cd"), "lang", F.lit(" "))).alias("x"))
+
+
+@query("x13_normalised", "SELECT doc_id, ['<|a|> ' || lang] AS marked, ['漢字平方。'] AS zh FROM documents")
+def _(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", tx.normalised(F.concat(F.lit("<|a|> "), "lang")).alias("marked"), tx.normalised(F.lit("漢 字（²），"), zh=True).alias("zh"))
+
+
+@query("x14_encoded", f"SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> ''), lambda w: CASE WHEN w = 'the' THEN 50000 ELSE {hash32_sql('w')} % 50000 END) AS ids FROM documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", tx.encoded(F.col("text"), {"the": 50000}).alias("ids"))
+
+
+@query("x15_language", "SELECT doc_id, lang FROM documents")
+def _(spark, sf):
+    name = F.when(F.col("lang") == "en", "English").when(F.col("lang") == "de", "GERMAN").when(F.col("lang") == "es", "castilian").otherwise(F.col("lang"))
+    return table(spark, sf, "documents").select("doc_id", tx.language(name).alias("lang"))
+
+
+@query("x16_compressed", r"""WITH w AS (SELECT item_id, i, ws[i] AS word FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS ws FROM benchmark), unnest(range(1, len(ws) + 1)) t(i)),
+d AS (SELECT word, count(DISTINCT item_id) AS df FROM w GROUP BY word),
+r AS (SELECT item_id, i, word, row_number() OVER (PARTITION BY item_id ORDER BY df, i) AS r, count(*) OVER (PARTITION BY item_id) AS n FROM w JOIN d USING (word))
+SELECT item_id, string_agg(word, ' ' ORDER BY i) AS compressed FROM r WHERE r <= ceil(n * 0.6) GROUP BY item_id""")
+def _(spark, sf):
+    return tx.compressed(table(spark, sf, "benchmark"), "item_id", "text", 0.6).select("item_id", "compressed")
