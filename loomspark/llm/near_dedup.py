@@ -42,8 +42,8 @@ _MOST = 400_000
 #: Buckets in several components get new first nodes, up to so often, while the pairs across
 #: components are more than so many times the nodes; then those pairs are compared.
 TURNS, LINEAR = 2, 8
-#: Nodes of a block, and shingles that are multiplied at once, in comparing buckets as a whole.
-BLOCK, _COLUMNS = 512, 4096
+#: Nodes and shingles of a block, and shingles that are multiplied at once, in comparing buckets as a whole.
+BLOCK, ITEMS, _COLUMNS = 1024, 1_000_000, 4096
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -196,15 +196,23 @@ def _overlaps(items: list[np.ndarray], n: int) -> np.ndarray:
 def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Links (a, b) between nodes of a bucket in different components, one for each two components of a cell.
 
-    A bucket is cut into blocks of about BLOCK nodes; a cell holds two blocks of a bucket and compares
-    them by matrix products. Two nodes are compared in the first bucket that they share.
+    A bucket is cut into blocks of about BLOCK nodes, or fewer long ones; a cell holds two blocks of a
+    bucket and compares them by matrix products. Two nodes are compared in the first bucket that they
+    share. Cells get 32 bits of each shingle, which can only make too many links, and these are verified.
     """
-    w = F.ceil(F.col("size") / BLOCK).cast("long")
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).withColumn("w", w)
+    w = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / ITEMS)).cast("long")
+    sizes = members.groupBy("bucket").agg(w.alias("w"))
     rows = members.join(sizes, "bucket").withColumn("p", F.pmod(F.xxhash64("node"), F.col("w")))
     cell = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("w") - 1), lambda q: F.struct(F.least(F.col("p"), q).alias("i"), F.greatest(F.col("p"), q).alias("j"))))
     rows = rows.withColumn("cell", cell).select("bucket", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "p", "node", "n", "component")
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [(np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in b.column("items")]
+            yield b.set_column(b.schema.get_field_index("items"), "items", pa.array(raw, pa.binary()))
+
     rows = rows.join(nodes.select("node", "bands"), "node").join(sets, "node")
+    rows = rows.mapInArrow(thin, rows.schema)
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
@@ -224,14 +232,19 @@ def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, least: float)
             return kind.empty_table()
         left, right, on = left[on.any(1)], right[on.any(0)], on[on.any(1)][:, on.any(0)]
         raw = t.column("items")
-        items = [np.frombuffer(raw[int(k)].as_buffer(), np.uint64) for k in (*left, *right)]
+        items = [np.unique(np.frombuffer(raw[int(k)].as_buffer(), np.uint32)) for k in (*left, *right)]
         both = _overlaps(items, len(left))
+        # Shingles of one set that share their 32 bits count once; add back what a set so lost.
+        m = np.array([len(x) for x in items])
+        lost = np.minimum((n[left] - m[: len(left)])[:, None], (n[right] - m[len(left) :])[None, :])
+        both = both + lost
         x, y = np.nonzero(on & (both >= least * (n[left][:, None] + n[right][None, :] - both)))
         x, y = left[x], right[y]
         _, first = np.unique(np.stack([np.minimum(part[x], part[y]), np.maximum(part[x], part[y])]), axis=1, return_index=True)
         return pa.Table.from_arrays([pa.array(node[x[first]]), pa.array(node[y[first]])], schema=kind)
 
-    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+    found = rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return _verified(found, sets).filter(F.col("similarity") >= least).select("a", "b")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
