@@ -106,6 +106,49 @@ def words(texts: pa.Array, separators: bytes = SPACES, lower_ascii: bool = False
     return Words(buf, hashed(buf, start, end), start, end, np.append(np.searchsorted(start, begin), len(start)))
 
 
+def not_single_spaced(w: Words, size: np.ndarray) -> np.ndarray:
+    """Documents (of `size` bytes each, words between spaces) in which a space stands at an end or beside another one."""
+    doc, some = w.doc_of(), w.ptr[:-1] < w.ptr[1:]
+    begin = np.cumsum(size + 1) - size
+    odd = (size > 0) & ~some
+    if len(w.start):
+        odd[doc[1:][(w.start[1:] - w.end[:-1] > 1) & (doc[1:] == doc[:-1])]] = True
+    odd[some] |= (w.start[w.ptr[:-1][some]] != begin[some]) | (w.end[w.ptr[1:][some] - 1] != (begin + size)[some])
+    return odd
+
+
+def byte_sizes(texts: pa.Array) -> np.ndarray:
+    return pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for n[0] places, then the same for the next ones."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+class Memo:
+    """Runs of ids by word hash, in sorted arrays."""
+
+    def __init__(self, dtype: np.dtype):
+        self.hashes, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, dtype)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash, or -1."""
+        if not len(self.hashes):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, at, -1)
+
+    def add(self, h: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """Adds hashes, ascending and new; n may count ids that aren't kept."""
+        to = np.searchsorted(self.hashes, h)
+        self.hashes = np.insert(self.hashes, to, h)
+        self.at = np.insert(self.at, to, len(self.ids) + np.cumsum(n) - n)
+        self.n = np.insert(self.n, to, n)
+        self.ids = np.concatenate([self.ids, ids])
+
+
 #: For matching that overlooks case and marks: besides white space, ASCII punctuation parts words.
 MARKS = bytes(sorted({*SPACES, *range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)}))
 

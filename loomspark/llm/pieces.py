@@ -23,11 +23,16 @@ from collections.abc import Callable, Iterable
 from typing import TypeVar
 
 import numpy as np
+import pyarrow as pa
+
+from loomspark.llm.common import Memo, byte_sizes, not_single_spaced, ragged, words
 
 T = TypeVar("T")
 MARK = "▁"
-#: Entries of each memo of a worker; it starts anew beyond.
-MEMO = 600_000
+#: Words that a worker's memo may hold; it starts anew beyond.
+MEMO = 1_500_000
+#: Pairs of pieces that a worker remembers.
+PAIRS = 300_000
 UNIGRAM, BPE = 1, 2
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
 
@@ -161,7 +166,7 @@ class Pieces:
                         pair = last[j], t
                         fits = pairs.get(pair)
                         if fits is None:
-                            if len(pairs) > MEMO:
+                            if len(pairs) > PAIRS:
                                 pairs.clear()
                             fits = pairs[pair] = self.merge(last[j] + t) == [last[j], t]
                         if not fits:
@@ -228,8 +233,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if len(every) <= 1 << 16 else "<u4")
         back = {i: bytes([b]) for b, i in spelt.items()} | {i: p.replace(MARK, " ").encode() for p, i in ids.items()}
         self.back = [back.get(i, b" \xe2\x81\x87 " if sp.is_unknown(i) else b"") for i in every]
-        self.memo: dict[str, bytes] = {}
-        self.counts: dict[str, int] = {}
+        self.memos: dict[str, Memo] = {}
 
     def code(self, piece: str) -> bytes:
         return np.array(self.pieces.spell(piece), self.dtype).tobytes()
@@ -242,24 +246,56 @@ class Encoder:
             return [MARK + w for w in text.split(" ")]
         return _WORD.findall(self.prefix + text.replace(" ", MARK))
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def _parts(self, texts: list[str | None] | pa.Array, kind: str) -> tuple[list[str | None], np.ndarray, Memo, np.ndarray, np.ndarray]:
+        """The texts, which of them are to be taken one by one, and for the words of the others a memo that holds them, their places in it and their texts."""
+        a = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        w = words(a, b" ")
+        odd = not_single_spaced(w, byte_sizes(a))
+        mark = np.flatnonzero((w.buf[:-2] == 0xE2) & (w.buf[1:-1] == 0x96) & (w.buf[2:] == 0x81))
+        doc = w.doc_of()
+        if not self.prefix:
+            odd[:] = True
+        elif len(mark):
+            odd[doc[np.searchsorted(w.start, mark, "right") - 1]] = True
+        use = np.flatnonzero(~odd[doc])
+        memo = self.memos.get(kind)
+        if memo is None or len(memo.hashes) > MEMO:
+            memo = self.memos[kind] = Memo(self.dtype)
+        distinct, at, back = np.unique(w.hashes[use], return_index=True, return_inverse=True)
+        new = np.flatnonzero(memo.find(distinct) < 0)
+        if len(new):
+            raw = w.buf.tobytes()
+            said = [MARK + raw[i:j].decode() for i, j in zip(w.start[use[at[new]]].tolist(), w.end[use[at[new]]].tolist())]
+            if kind == "ids":
+                got = self.pieces.segment(set(said), self.code, b"")
+                runs = [got[x] for x in said]
+                memo.add(distinct[new], np.frombuffer(b"".join(runs), self.dtype), np.array([len(x) // self.dtype.itemsize for x in runs], np.int32))
+            else:
+                got = self.pieces.segment(set(said), lambda p: len(self.pieces.spell(p)), 0)
+                memo.add(distinct[new], np.zeros(0, self.dtype), np.array([got[x] for x in said], np.int32))
+        return a, odd, memo, memo.find(distinct)[back], doc[use]
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
         """Ids of each text."""
-        split = [self.marked(t or "") for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = set().union(*split).difference(memo)
-        memo.update(self.pieces.segment(new, self.code, b""))
-        return [np.frombuffer(b"".join(map(memo.__getitem__, p)), self.dtype) for p in split]
-
-    def count(self, texts: list[str | None]) -> list[tuple[int, int]]:
+        a, odd, memo, place, doc = self._parts(texts, "ids")
+        n = memo.n[place].astype(np.int64)
+        total = np.bincount(doc, n, len(a)).astype(np.int64)
+        out = np.split(memo.ids[ragged(memo.at[place], n)], np.cumsum(total)[:-1]) if len(a) else []
+        for i in np.flatnonzero(odd).tolist():
+            said = self.marked(a[i].as_py() or "")
+            got = self.pieces.segment(set(said), self.code, b"")
+            out[i] = np.frombuffer(b"".join(got[x] for x in said), self.dtype)
+        return out
+
+    def count(self, texts: list[str | None] | pa.Array) -> list[tuple[int, int]]:
         """Ids and marked words of each text, from the counts kept at the trie's terminals."""
-        split = [self.marked(t or "") for t in texts]
-        if len(self.counts) > MEMO:
-            self.counts.clear()
-        counts = self.counts
-        counts.update(self.pieces.segment(set().union(*split).difference(counts), lambda p: len(self.pieces.spell(p)), 0))
-        return [(sum(map(counts.__getitem__, p)), len(p)) for p in split]
+        a, odd, memo, place, doc = self._parts(texts, "counts")
+        total, n = np.bincount(doc, memo.n[place], len(a)).astype(np.int64), np.bincount(doc, minlength=len(a))
+        for i in np.flatnonzero(odd).tolist():
+            said = self.marked(a[i].as_py() or "")
+            got = self.pieces.segment(set(said), lambda p: len(self.pieces.spell(p)), 0)
+            total[i], n[i] = sum(got[x] for x in said), len(said)
+        return list(zip(total.tolist(), n.tolist()))
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become the replacement character."""

@@ -32,7 +32,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
         enc = Encoder.load(model)
         for b in chunks(batches):
             texts = b.column("text").to_pylist()
-            ids = enc.encode(texts)
+            ids = enc.encode(b.column("text"))
             same = [enc.decode(x) == (t or "") for x, t in zip(ids, texts)]
             n = np.array([len(x) for x in ids], np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
@@ -61,7 +61,7 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder.load(model)
         for b in chunks(batches):
-            got = np.array(enc.count(b.column("text").to_pylist()), np.int64)
+            got = np.array(enc.count(b.column("text")), np.int64)
             yield pa.record_batch([b.column("doc_id"), pa.array(got[:, 0]), pa.array(got[:, 1])], ["doc_id", "n_tokens", "n_words"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, n_words long")

@@ -29,12 +29,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import chunks, hashed, words
+from loomspark.llm.common import Memo, byte_sizes, chunks, hashed, not_single_spaced, ragged, words
 
 LENGTH, BATCH = 1024, 256
 #: Entries that a worker's memo of encoded words may hold; it starts anew beyond.
 MEMO = 3_000_000
-_MEMO: dict[str, "_Memo"] = {}
+_MEMO: dict[str, Memo] = {}
 #: Marks that are pre-tokens of their own after a letter at a word's end.
 _MARKS = b".,;:!?"
 _LETTER = np.zeros(256, bool)
@@ -45,34 +45,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[*range(9, 14), *range(28, 32)]] = True
 
 
-class _Memo:
-    """Ids by word hash, in sorted arrays."""
-
-    def __init__(self, dtype: np.dtype):
-        self.hashes, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, dtype)
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Place of each hash, or -1."""
-        if not len(self.hashes):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, -1)
-
-    def add(self, h: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
-        """Adds hashes, ascending and new."""
-        to = np.searchsorted(self.hashes, h)
-        self.hashes = np.insert(self.hashes, to, h)
-        self.at = np.insert(self.at, to, len(self.ids) + np.cumsum(n) - n)
-        self.n = np.insert(self.n, to, n)
-        self.ids = np.concatenate([self.ids, ids])
-
-
-def _ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... for n[0] places, then the same for the next ones."""
-    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-
-
 class Encoder:
     """Byte-level BPE of the tokenizers library with a memo of words.
 
@@ -122,13 +94,13 @@ class Encoder:
         """Ids of all whole texts, one after the other, and how many each has."""
         memo = _MEMO.get(self.key)
         if memo is None or len(memo.hashes) > MEMO:
-            memo = _MEMO[self.key] = _Memo(self.dtype)
+            memo = _MEMO[self.key] = Memo(self.dtype)
         w = words(texts, b" ")
         buf, start, end, ptr, n_docs = w.buf, w.start, w.end, w.ptr, len(texts)
-        size = pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64)
+        size = byte_sizes(texts)
         begin = np.cumsum(size + 1) - size
         doc = w.doc_of()
-        whole = self._odd(buf, start, end, ptr, begin, size, doc)
+        whole = not_single_spaced(w, size) | self._odd(buf, start, end, begin, size, doc)
         first = np.zeros(len(start), bool)
         first[ptr[:-1][ptr[:-1] < ptr[1:]]] = True
         use = np.flatnonzero(~first & ~whole[doc])
@@ -140,7 +112,7 @@ class Encoder:
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
             a, b = start[use[at[some]]] - 1, (end[use] - cut)[at[some]]
-            memo.add(distinct[some], *self._encode(buf[_ragged(a, b - a)].tobytes(), len(some)))
+            memo.add(distinct[some], *self._encode(buf[ragged(a, b - a)].tobytes(), len(some)))
         place = memo.find(distinct)[back]
         n = memo.n[place]
         heads = [t[: t.find(" ")] if not odd and " " in t else t for t, odd in zip(texts.fill_null("").to_pylist(), whole)]
@@ -150,25 +122,19 @@ class Encoder:
         total = n_head + np.bincount(doc[use], n + cut, n_docs).astype(np.int64)
         to = np.cumsum(total) - total
         out = np.empty(int(total.sum()), self.dtype)
-        out[_ragged(to, n_head)] = np.concatenate([np.zeros(0, self.dtype), *heads])
+        out[ragged(to, n_head)] = np.concatenate([np.zeros(0, self.dtype), *heads])
         ends = np.cumsum(n + cut)
         before = np.concatenate([[0], np.cumsum(np.bincount(doc[use], n + cut, n_docs).astype(np.int64))])[:-1]
         put = ends - (n + cut) + (to + n_head - before)[doc[use]]
-        out[_ragged(put, n)] = memo.ids[_ragged(memo.at[place], n)]
+        out[ragged(put, n)] = memo.ids[ragged(memo.at[place], n)]
         out[(put + n)[cut]] = self.marks[last[cut]]
         return out, total
 
     @staticmethod
-    def _odd(buf, start, end, ptr, begin, size, doc) -> np.ndarray:
-        """Texts in which a space stands at either end or beside other white space."""
-        n = len(size)
-        odd = np.zeros(n, bool)
-        if len(start):
-            odd[doc[1:][(start[1:] - end[:-1] > 1) & (doc[1:] == doc[:-1])]] = True
-            odd[doc[_SPACE[buf[start]] | _SPACE[buf[end - 1]]]] = True
-        some = ptr[:-1] < ptr[1:]
-        odd |= (size > 0) & ~some
-        odd[some] |= (start[ptr[:-1][some]] != begin[some]) | (end[ptr[1:][some] - 1] != (begin + size)[some])
+    def _odd(buf, start, end, begin, size, doc) -> np.ndarray:
+        """Texts with white space beside a space, or outside ASCII."""
+        odd = np.zeros(len(size), bool)
+        odd[doc[_SPACE[buf[start]] | _SPACE[buf[end - 1]]]] = True
         # White space outside ASCII, wherever it stands.
         lead = np.flatnonzero((buf == 0xC2) | (buf >= 0xE1) & (buf <= 0xE3))
         lead = lead[lead + 1 < len(buf)]
