@@ -13,10 +13,8 @@ while its next point can still be earlier than the text's latest place.
 
 Links: equal texts are one node from the start. Each of BANDS bands deals nodes to buckets; every
 node of a bucket is verified against the bucket's first one (the node whose buckets are the
-fullest), so a bucket of n nodes gives n - 1 candidates. Where the verified links leave a bucket in more than one component, the node that is most similar to
-those it was compared with becomes the next first one, as in a group of copies it is the
-original that all resemble. In the end all nodes of different components that still share a bucket are compared, in
-blocks, without making rows of their pairs. No bucket is capped.
+fullest), so a bucket of n nodes gives n - 1 candidates. Where the verified links leave a bucket in more than one component, its nodes of
+different components are compared as well, in blocks, without making rows of their pairs. No bucket is capped.
 A link of similarity s is overlooked with a probability of (1 - s^ROWS)^BANDS, 2e-5 at most.
 
 Defined results: a null text or one without words is a class of its own; equal texts are one class
@@ -39,9 +37,6 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 26, 5
 WIDTH = BANDS * ROWS
 _MOST = 400_000
-#: Buckets in several components get new first nodes, up to so often, while the pairs across
-#: components are more than so many times the nodes; then those pairs are compared.
-TURNS, LINEAR = 2, 8
 #: Nodes and shingles of a block, and shingles that are multiplied at once, in comparing buckets as a whole.
 BLOCK, ITEMS, _COLUMNS = 1024, 1_000_000, 4096
 
@@ -266,33 +261,15 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     sets = checkpointed(sets.join(wanted, "node", "left_semi"))
     measured = checkpointed(_verified(stars, sets))
     least = similarity - 1e-9
-    members = dealt.select("bucket", F.col("b").alias("node"), "n", "a")
-    for turn in range(TURNS + 1):
-        found = components(measured.filter(F.col("similarity") >= least))
-        # What a bucket still has to compare: nodes of different components.
-        now = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        sizes = now.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("square"))
-        sizes = sizes.filter(F.col("square") < F.col("all") * F.col("all"))
-        now = checkpointed(now.join(sizes.select("bucket"), "bucket"))
-        left = sizes.agg(F.sum("all").alias("n"), F.sum((F.col("all") * F.col("all") - F.col("square")) / 2).alias("pairs")).first()
-        if not left["n"]:
-            break
-        ends = measured.select(F.col("a").alias("node"), "similarity").unionByName(measured.select(F.col("b").alias("node"), "similarity"))
-        if turn < TURNS and left["pairs"] > LINEAR * left["n"]:
-            # The node that is nearest to what it was compared with becomes the bucket's next first one.
-            near = ends.groupBy("node").agg(F.avg("similarity").alias("near"))
-            ranked = now.filter("node <> a").join(near, "node", "left")
-            hub = ranked.groupBy("bucket").agg(F.max_by(F.struct("node", "component"), F.struct(F.coalesce("near", F.lit(0.0)), "node")).alias("hub"))
-            pairs = now.join(hub, "bucket").filter(F.col("hub.component") != F.col("component"))
-            pairs = pairs.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
-            fresh = pairs.join(measured.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-            measured = checkpointed(measured.unionByName(_verified(fresh, sets)))
-            members = now.join(hub.select("bucket", F.col("hub.node").alias("hub")), "bucket").select("bucket", "node", "n", F.col("hub").alias("a"))
-            continue
-        rest = checkpointed(_across(now, nodes, sets, least))
-        if rest.limit(1).count():
-            found = components(measured.filter(F.col("similarity") >= least).select("a", "b").unionByName(rest))
-        break
+    links = measured.filter(F.col("similarity") >= least).select("a", "b")
+    found = components(links)
+    # What is left to compare: nodes of different components that share a bucket.
+    members = dealt.select("bucket", F.col("b").alias("node"), "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
+    mixed = mixed.filter("lo <> hi and size > 2").select("bucket")
+    rest = checkpointed(_across(members.join(mixed, "bucket"), nodes, sets, least))
+    if rest.limit(1).count():
+        found = components(links.unionByName(rest))
     named = nodes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     of = named.join(names, "component").select("node", "class_id")

@@ -72,9 +72,8 @@ def _similar(a, b):
     return both >= 0.8 * (sum(a.values()) + sum(b.values()) - both) if a and b else False
 
 
-@pytest.mark.parametrize("turns,block", [(2, 512), (0, 4)])
-def test_near_dedup_classes(docs, monkeypatch, turns, block):
-    monkeypatch.setattr(near_dedup, "TURNS", turns)
+@pytest.mark.parametrize("block", [1024, 4])
+def test_near_dedup_classes(docs, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     rows = docs.collect()
     sets, boss = [_multiset(r["text"]) for r in rows], list(range(len(rows)))
