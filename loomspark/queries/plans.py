@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspark.operators import batching, tools
-from loomspark.plans import mixing, run_comparison, tool_rows
+from loomspark.plans import mixing, run_comparison, stages, tool_rows
 from loomspark.queries.batching import coin_sql
+from loomspark.queries.filters import WORDS_SQL, n_words
 from loomspark.queries.tokens import IDS, ids
 from loomspark.registry import query
 from loomspark.runtime import hash32, hash32_sql, table
@@ -70,3 +71,18 @@ def _(spark, sf):
     examples = b.select(F.col("item_id").alias("request"), F.col("text").alias("question"), F.when(F.col("item_id") % 3 == 0, F.array(first, second)).otherwise(F.array(first)).alias("function_calls"))
     picks = spark.createDataFrame([], "request long, kind int, place int, name string")
     return tool_rows.convert(examples, pool, picks, 3, hash32("name"))
+
+
+STEPS = [
+    {"stage": "length_filter", "frames": "n_chars", "tokens": "n_tokens", "max_tokens": 1000},
+    {"stage": "sample", "key": "doc_id", "rate": 0.5, "seed": 21},
+    {"stage": "batch", "kind": "static", "key": "doc_id", "size": 8},
+    {"stage": "select", "columns": ["doc_id", "batch"]},
+]
+
+
+@query("plan_configured_stages", f"""SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS batch FROM (SELECT doc_id, n_chars, {WORDS_SQL} AS w FROM documents)
+WHERE n_chars BETWEEN 10 AND 10240 AND w BETWEEN 1 AND 1000 AND w / n_chars BETWEEN 0.0005 AND 1 AND {coin_sql('21', 'doc_id')} < 0.5""")
+def _(spark, sf):
+    d = table(spark, sf, "documents").filter(F.col("n_chars").between(10, 10240)).select("doc_id", "n_chars", n_words().alias("n_tokens"))
+    return stages.run(d, STEPS)
