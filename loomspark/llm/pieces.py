@@ -33,6 +33,8 @@ MARK = "▁"
 MEMO = 1_500_000
 #: Pairs of pieces that a worker remembers.
 PAIRS = 300_000
+#: Words of more characters keep no values of their prefixes.
+LONG = 64
 UNIGRAM, BPE = 1, 2
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
 
@@ -134,10 +136,16 @@ class Pieces:
         last, best, value = [""], [0.0], [zero]  # by length of the prefix: its last piece, score and value
         for w in sorted(words):
             if self.kind == BPE and w.count(MARK) > 1:  # runs of marks have pieces of equal score
-                x = zero
-                for p in self.merge(w):
-                    x = x + codes[p]
-                out[w] = x
+                out[w] = _sum([codes[p] for p in self.merge(w)], zero)
+                continue
+            if len(w) > LONG:  # values of all its prefixes would grow with the square of its length
+                ends = [""]
+                forward(w, ends, [0.0], [0], _Codes(lambda p: 0))
+                parts, i = [], len(w)
+                while i:
+                    parts.append(codes[ends[i]])
+                    i -= len(ends[i])
+                out[w] = _sum(parts[::-1], zero)
                 continue
             k, n = 0, min(len(w), len(before))
             if before[:6] == w[:6]:
@@ -190,6 +198,14 @@ class Pieces:
             value.append(value[at] + codes[w[at:i]])
 
 
+def _sum(values: list, zero: T) -> T:
+    if isinstance(zero, bytes):
+        return b"".join(values)
+    for v in values:
+        zero = zero + v
+    return zero
+
+
 class _Codes(dict):
     """Codes of pieces, made when first needed."""
 

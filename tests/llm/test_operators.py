@@ -348,6 +348,7 @@ def test_pieces_are_the_library(docs):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     odd = ["  a  b\n c\t<s>hi </s>", " ", "   ", "a ", "a   ", "\x00é漢字🙂 x▁y▁▁z", " " * 37 + "a", "\n\n", "ﬁ ½", "a" * 100, "Hello world  the   quick brown"]
     r = random.Random(8)
+    odd += ["".join(r.choice("abcdethT漢é") for _ in range(n)) for n in (64, 65, 300, 20_000)]
     odd += ["".join(r.choice("abcdeé 漢\n.T▁th") for _ in range(r.randint(1, 40))) for _ in range(300)]
     e = Encoder(PIECES)
     for t, ids, (n, _) in zip(odd, e.encode(odd), e.count(odd)):
