@@ -28,11 +28,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import Words, _powers, chunks, mix, shared_dir, words
+from loomspark.llm.common import Words, _powers, chunks, mix, ragged, shared_dir, words
 from loomspark.llm.fm_index import FMIndex
 
 WINDOW, GRAM = 50, 10
 SHARD = 400_000
+#: Windows of a segment.
+RUN = 256
 HOT = 20_000
 BITS, PROBES, MAX_FILTER = 12, 3, 128 << 20
 FILTER_PARTS = 64
@@ -160,6 +162,9 @@ def _segments(docs: DataFrame, path: str, window: int, texts: bool) -> DataFrame
             ends = np.append(new, len(at))[1:] - 1
             keep = kept.holds(anchor[new])
             new, ends = new[keep], ends[keep]
+            times = (ends - new) // RUN + 1  # long runs, as of periodic texts, are cut
+            new = ragged(np.zeros(len(new), np.int64), times) * RUN + np.repeat(new, times)
+            ends = np.minimum(new + RUN - 1, np.repeat(ends, times))
             lo, hi, doc, anchor = at[new], at[ends] + window, doc[new], anchor[new]
             p, q = _powers(0x2545F4914F6CDD1D, len(w.hashes) + 1)
             s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hashes * p[: len(w.hashes)], dtype=np.uint64)])
