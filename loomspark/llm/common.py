@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Space, and tab to carriage return.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 #: Text handled at once, in bytes; a longer document is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 & ~7 | 5

@@ -36,9 +36,9 @@ from loomspark.llm.common import _powers, checkpointed, chunks, folded_words, mi
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 26, 5
 WIDTH = BANDS * ROWS
-_MOST = 400_000
-#: Nodes and shingles of a block, and shingles that are multiplied at once, in comparing buckets as a whole.
-BLOCK, ITEMS, _COLUMNS = 1024, 1_000_000, 4096
+_MOST = 200_000
+#: Nodes and shingles of a block, and nodes and shingles that are multiplied at once, in comparing buckets as a whole.
+BLOCK, ITEMS, STRIP, _COLUMNS = 1024, 1_000_000, 256, 2048
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -188,6 +188,27 @@ def _overlaps(items: list[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
+def _strip(left, right, bucket: int, keys, n, part, raw, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of left and right that are linked as far as 32 bits of each shingle tell, and are to be compared in this bucket."""
+    none = (np.zeros(0, np.int64),) * 2
+    if not len(left) or not len(right):
+        return none
+    on = (part[left][:, None] != part[right][None, :]) & (np.minimum.outer(n[left], n[right]) >= least * np.maximum.outer(n[left], n[right]))
+    on &= left[:, None] != right[None, :]
+    for b in range(int(np.flatnonzero(keys[left[0]] == bucket)[0])):
+        on &= keys[left, b][:, None] != keys[right, b][None, :]
+    if not on.any():
+        return none
+    left, right, on = left[on.any(1)], right[on.any(0)], on[on.any(1)][:, on.any(0)]
+    items = [np.unique(np.frombuffer(raw[int(k)].as_buffer(), np.uint32)) for k in (*left, *right)]
+    both = _overlaps(items, len(left))
+    # Shingles of one set that share their 32 bits count once; add back what a set so lost.
+    m = np.array([len(x) for x in items])
+    both += np.minimum((n[left] - m[: len(left)])[:, None], (n[right] - m[len(left) :])[None, :])
+    x, y = np.nonzero(on & (both >= least * (n[left][:, None] + n[right][None, :] - both)))
+    return left[x], right[y]
+
+
 def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Links (a, b) between nodes of a bucket in different components, one for each two components of a cell.
 
@@ -214,29 +235,13 @@ def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, least: float)
         bucket, i, j = (k.as_py() for k in key)
         t = t.sort_by("node")
         p, node, n, part = (t.column(c).to_numpy() for c in ("p", "node", "n", "component"))
-        keys = np.array(t.column("bands").to_pylist(), np.int64)
+        keys, raw = np.array(t.column("bands").to_pylist(), np.int64), t.column("items")
         left, right = np.flatnonzero(p == i), np.flatnonzero(p == j)
-        if not len(left) or not len(right):
-            return kind.empty_table()
-        on = (part[left][:, None] != part[right][None, :]) & (np.minimum.outer(n[left], n[right]) >= least * np.maximum.outer(n[left], n[right]))
-        if i == j:
-            on &= left[:, None] < right[None, :]
-        for b in range(int(np.flatnonzero(keys[left[0]] == bucket)[0])):
-            on &= keys[left, b][:, None] != keys[right, b][None, :]
-        if not on.any():
-            return kind.empty_table()
-        left, right, on = left[on.any(1)], right[on.any(0)], on[on.any(1)][:, on.any(0)]
-        raw = t.column("items")
-        items = [np.unique(np.frombuffer(raw[int(k)].as_buffer(), np.uint32)) for k in (*left, *right)]
-        both = _overlaps(items, len(left))
-        # Shingles of one set that share their 32 bits count once; add back what a set so lost.
-        m = np.array([len(x) for x in items])
-        lost = np.minimum((n[left] - m[: len(left)])[:, None], (n[right] - m[len(left) :])[None, :])
-        both = both + lost
-        x, y = np.nonzero(on & (both >= least * (n[left][:, None] + n[right][None, :] - both)))
-        x, y = left[x], right[y]
-        _, first = np.unique(np.stack([np.minimum(part[x], part[y]), np.maximum(part[x], part[y])]), axis=1, return_index=True)
-        return pa.Table.from_arrays([pa.array(node[x[first]]), pa.array(node[y[first]])], schema=kind)
+        ends: dict[tuple[int, int], tuple[int, int]] = {}  # of a link for each two components
+        for at in range(0, len(left), STRIP):
+            for x, y in zip(*_strip(left[at : at + STRIP], right, bucket, keys, n, part, raw, least)):
+                ends.setdefault((min(part[x], part[y]), max(part[x], part[y])), (node[x], node[y]))
+        return pa.Table.from_arrays([pa.array([e[k] for e in ends.values()], pa.int64()) for k in (0, 1)], schema=kind)
 
     found = rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
     return _verified(found, sets).filter(F.col("similarity") >= least).select("a", "b")

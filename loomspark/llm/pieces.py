@@ -30,9 +30,9 @@ from loomspark.llm.common import Memo, byte_sizes, not_single_spaced, ragged, wo
 T = TypeVar("T")
 MARK = "▁"
 #: Words that a worker's memo may hold; it starts anew beyond.
-MEMO = 1_500_000
+MEMO = 1_000_000
 #: Pairs of pieces that a worker remembers.
-PAIRS = 300_000
+PAIRS = 150_000
 #: Words of more characters keep no values of their prefixes.
 LONG = 64
 UNIGRAM, BPE = 1, 2
