@@ -26,6 +26,7 @@ score is 0 - log10(1) for each token, and the model gives unknown tokens probabi
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -176,6 +177,7 @@ class Model:
 
     path: str
     bits: int
+    segments: tuple[np.ndarray, np.ndarray]  # by order and bucket: bits, and the first one's place in the flat file
     tokens: int
     distinct: int
     once: int
@@ -184,6 +186,35 @@ class Model:
     complete: bool  # whether heavy holds all known tokens
 
 
+def _flat(path: str) -> str:
+    return f"{path}-filter/bits"
+
+
+def _flattened(spark: SparkSession, path: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Copies all segments, a few at a time, into one file of at most MAX_FILTER bytes or so, that workers can map; returns sizes and places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            files, top = fs.FileSystem.from_uri(path)
+            _, to = fs.FileSystem.from_uri(_flat(path))
+            files.create_dir(to.rpartition("/")[0], recursive=True)
+            temp, at, rows = f"{to}-{uuid.uuid4().hex}", 0, []
+            with files.open_output_stream(temp) as out:
+                for f in sorted(x.path for x in files.get_file_info(fs.FileSelector(top)) if x.path.endswith(".parquet")):
+                    for b in pq.ParquetFile(files.open_input_file(f)).iter_batches(8, columns=["gram", "bucket", "size", "segment"]):
+                        for r in b.to_pylist():
+                            out.write(r["segment"])
+                            rows.append((r["gram"], r["bucket"], r["size"], at * 8))
+                            at += len(r["segment"])
+            files.move(temp, to)
+            yield pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["gram", "bucket", "size", "at"])
+
+    size, at = np.zeros((2, 1 << bits), np.uint64), np.zeros((2, 1 << bits), np.uint64)
+    for r in spark.range(0, 1, 1, 1).mapInArrow(run, "gram long, bucket long, size long, at long").collect():
+        size[r["gram"] - 1, r["bucket"]], at[r["gram"] - 1, r["bucket"]] = r["size"], r["at"]
+    return size, at
+
+
 def train(docs: DataFrame, max_filter: int = MAX_FILTER, heavy: int = HEAVY) -> Model:
     """Counts docs (text) and writes the filter's segments and the tokens' counts to the shared folder."""
     spark = docs.sparkSession
@@ -192,10 +223,11 @@ def train(docs: DataFrame, max_filter: int = MAX_FILTER, heavy: int = HEAVY) ->
     grouped = _runs(docs, bits).groupBy("gram", "bucket")
     made = grouped.applyInArrow(_segment(max_filter * 8 // (2 << bits)), "gram int, bucket long, tokens long, distinct long, once long, quantised double, levels array<long>, size long, segment binary, hashes binary, counts binary")
     made.write.parquet(path)
+    segments = _flattened(spark, path, bits)
     one = spark.read.parquet(path).filter("gram = 1")
     total = one.agg(*[F.sum(c).alias(c) for c in ("tokens", "distinct", "once", "quantised")]).first()
     if total["tokens"] is None:
-        return Model(path, bits, 0, 0, 0, 0.0, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), True)
+        return Model(path, bits, segments, 0, 0, 0, 0.0, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), True)
     spread = {r["q"]: r["n"] for r in one.select(F.posexplode("levels").alias("q", "n")).groupBy("q").agg(F.sum("n").alias("n")).collect()}
     least, held = _LEVELS, 0
     while least and held + spread.get(least - 1, 0) <= heavy:
@@ -213,41 +245,31 @@ def train(docs: DataFrame, max_filter: int = MAX_FILTER, heavy: int = HEAVY) ->
     h = np.concatenate([np.frombuffer(r["h"], np.uint64) for r in rows])
     n = np.concatenate([np.frombuffer(r["n"], np.int64) for r in rows])
     order = np.argsort(h)
-    return Model(path, bits, total["tokens"], total["distinct"], total["once"], total["quantised"], (h[order], n[order].astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.int64)), least == 0)
+    return Model(path, bits, segments, total["tokens"], total["distinct"], total["once"], total["quantised"], (h[order], n[order].astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.int64)), least == 0)
 
 
 class Filter:
-    """The segments, read once per worker."""
+    """The segments, mapped or read once per worker."""
 
     _held: dict[str, "Filter"] = {}
 
     @classmethod
-    def load(cls, path: str, bits: int) -> "Filter":
+    def load(cls, path: str, bits: int, segments: tuple[np.ndarray, np.ndarray]) -> "Filter":
         if path not in cls._held:
             cls._held.clear()
-            cls._held[path] = cls(path, bits)
+            cls._held[path] = cls(path, bits, segments)
         return cls._held[path]
 
-    def __init__(self, path: str, bits: int):
+    def __init__(self, path: str, bits: int, segments: tuple[np.ndarray, np.ndarray]):
         self.shift = np.uint64(64 - bits)
-        files, top = fs.FileSystem.from_uri(path)
-        names = [f.path for f in files.get_file_info(fs.FileSelector(top)) if f.path.endswith(".parquet")]
-        n = 1 << bits
-        self.size, self.at = np.zeros((2, n), np.uint64), np.zeros((2, n), np.uint64)
-        parts, at = [], 0
-        for name in sorted(names):
-            for batch in pq.ParquetFile(files.open_input_file(name)).iter_batches(64, columns=["gram", "bucket", "size", "segment"]):
-                for r in batch.to_pylist():
-                    k = r["gram"] - 1, r["bucket"]
-                    self.size[k], self.at[k] = r["size"], at * 8
-                    parts.append(r["segment"])
-                    at += len(r["segment"])
-        self.raw = np.empty(at, np.uint8)
-        at = 0
-        for k, x in enumerate(parts):
-            self.raw[at : at + len(x)] = np.frombuffer(x, np.uint8)
-            at += len(x)
-            parts[k] = None
+        self.size, self.at = segments
+        files, flat = fs.FileSystem.from_uri(_flat(path))
+        if not self.size.any():
+            self.raw = np.zeros(0, np.uint8)
+        elif isinstance(files, fs.LocalFileSystem):
+            self.raw = np.memmap(flat, np.uint8, "r")
+        else:
+            self.raw = np.frombuffer(files.open_input_file(flat).read(), np.uint8)
 
     def levels(self, h: np.ndarray, order: int) -> np.ndarray:
         """Level of each n-gram, -1 if unknown, by probing one level after the other."""
@@ -280,7 +302,7 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     path, bits, n_all, v_all = model.path, model.bits, model.tokens, model.distinct
     unseen = (model.once + 1) / (n_all + 2)
     mass = model.quantised
-    shared = spark.sparkContext.broadcast(model.heavy)
+    shared = spark.sparkContext.broadcast((model.heavy, model.segments))
     complete = model.complete
     low = math.log10(n_all + 0.1 * (v_all + 1)) if n_all else -1.0
     routes = max(1, bits - 3)
@@ -289,8 +311,8 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known = Filter.load(path, bits)
-        heavy, counts = shared.value
+        (heavy, counts), segments = shared.value
+        known = Filter.load(path, bits, segments)
         first, held, n_held = TaskContext.get().partitionId() << 40, [], 0
 
         def sent() -> Iterator[pa.RecordBatch]:

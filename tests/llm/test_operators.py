@@ -331,7 +331,7 @@ def test_lm_of_nothing(empty, docs):
 
 def test_filter_levels_never_fall_below_the_counts(docs):
     model = lm_score.train(docs)
-    f = lm_score.Filter.load(model.path, model.bits)
+    f = lm_score.Filter.load(model.path, model.bits, model.segments)
     h, n = model.heavy
     q = f.levels(h, 1)
     assert (q >= lm_score.level(n)).all() and (q == lm_score.level(n)).mean() > 0.97
