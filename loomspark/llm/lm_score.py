@@ -4,14 +4,18 @@ Counting: each task turns its training texts into token and bigram hashes, sorts
 bounded batches, and sends sorted runs to buckets by the hashes' top bits, so a frequent n-gram arrives
 once per batch, not once per occurrence. A bucket adds its runs up and fills its own segment of the
 filter: an n-gram whose count is c is stored for each level 0 to floor(log_RATIO c). Segments take
-BITS bits per stored entry, but no more than MAX_FILTER bytes in all: past that the filter only
-becomes less sharp, and nothing is left out. Workers read the segments from the shared folder.
+BITS bits per stored entry at any size. Workers map the segments from the shared folder. Where they are
+more than MAX_FILTER bytes in all, workers map those of single tokens only, and the bigrams are routed.
 
 Scoring: the level of an n-gram is found by probing level after level until one is missing; a level
 stands for the mean of its counts. With c of the probed levels, P0(w) = (1 - u) c(w) / sum of c for
 known tokens and u, the share of training tokens seen once, for unknown ones; then
 P(w | h) = (c(h w) + PRIOR P0(w)) / (c(h) + PRIOR). The first token's h is the text's begin.
 
+Routed bigrams: the most frequent of each bucket, at most HEAVY in all, go to all workers with the levels that
+the filter gives them; the others are sent, with the levels of h and w, to the buckets that hold their
+segments, and the parts of a text's score are added up by its row, like those of the base score.
+
 The base score needs exact counts. Tokens of the highest counts, at most HEAVY of them, go to all
 workers; the other tokens of each text are sent, as runs, to the buckets that hold their counts, and the
 parts of a text are added up by its row.
@@ -42,9 +46,10 @@ from loomspark.llm.common import chunks, mix, shared_dir, words
 
 RATIO = 1.5
 BITS, PROBES = 12, 4
+#: Bytes of segments that workers map whole; larger filters are probed where their segments are.
 MAX_FILTER = 256 << 20
 HEAVY = 1 << 21
-#: Tokens that a task counts at once, and rare tokens that it sends on at once.
+#: Tokens that a task counts at once, and rare tokens or bigrams that it sends on at once.
 BATCH, RARE_BATCH = 2_000_000, 1_000_000
 PRIOR = 300.0
 BEGIN, END = np.uint64(0x5BD1E995A3C4F00D), np.uint64(0x27D4EB2F165667C5)
@@ -142,9 +147,12 @@ def _positions(h: np.ndarray, q: int, i: int, size: np.ndarray) -> np.ndarray:
 
 
 _SEGMENT = pa.schema([("gram", pa.int32()), ("bucket", pa.int64()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("once", pa.int64()), ("quantised", pa.float64()), ("levels", pa.list_(pa.int64())), ("size", pa.int64()), ("segment", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary())])
+_SEGMENT_DDL = "gram int, bucket long, tokens long, distinct long, once long, quantised double, levels array<long>, size long, segment binary, hashes binary, counts binary"
+
 
+def _segment(frequent: int):
+    """Makes a bucket's segment; of single tokens hashes and counts are kept, of bigrams the hashes of the `frequent` most frequent and their levels in the filter."""
 
-def _segment(most_bits: int):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         order, bucket = key[0].as_py(), key[1].as_py()
         parts, weights = [], []
@@ -154,7 +162,9 @@ def _segment(most_bits: int):
             weights += [np.ones(len(one), np.int64), np.frombuffer(r["counts"], np.int64)]
         h, n = _counted(parts, weights)
         q = level(n)
-        size = max(64, min(int((q + 1).sum()) * BITS, most_bits, (1 << 32) - 1) + 7 & ~7)
+        size = max(64, int((q + 1).sum()) * BITS + 7 & ~7)
+        if size >= 1 << 32:
+            raise ValueError("a segment of 2^32 bits or more: the texts need more partitions")
         bits = np.zeros(size, bool)
         active, rest = h, q
         j = 0
@@ -166,11 +176,34 @@ def _segment(most_bits: int):
         row = {"gram": order, "bucket": bucket, "tokens": int(n.sum()), "distinct": len(h), "once": int((n == 1).sum()), "quantised": float(_VALUE[q].sum()), "levels": np.bincount(q, minlength=_LEVELS).tolist(), "size": size, "segment": np.packbits(bits, bitorder="little").tobytes()}
         if order == 1:
             row |= {"hashes": h.tobytes(), "counts": n.tobytes()}
+        else:
+            top = np.sort(np.argsort(-q, kind="stable")[:frequent])
+            raw = np.frombuffer(row["segment"], np.uint8)
+            row |= {"hashes": h[top].tobytes(), "counts": _levels(raw, h[top], np.full(len(top), size, np.uint64), np.zeros(len(top), np.uint64)).astype(np.int8).tobytes()}
         return pa.Table.from_pylist([row], schema=_SEGMENT)
 
     return run
 
 
+def _levels(raw: np.ndarray, h: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Level of each n-gram, -1 if unknown, by probing one level after the other in segments of size bits from bit at of raw."""
+    out = np.full(len(h), -1, np.int64)
+    left = np.arange(len(h))
+    j = 0
+    keep = size > 0
+    while True:
+        left, h, size, at = left[keep], h[keep], size[keep], at[keep]
+        if not len(left) or j >= _LEVELS:
+            return out
+        for i in range(PROBES):
+            p = at + _positions(h, j, i, size)
+            hit = (raw[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            if not hit.all():
+                left, h, size, at = left[hit], h[hit], size[hit], at[hit]
+        out[left] = j
+        keep, j = np.ones(len(left), bool), j + 1
+
+
 @dataclass
 class Model:
     """What scoring needs besides the segments at path."""
@@ -184,14 +217,15 @@ class Model:
     quantised: float
     heavy: tuple[np.ndarray, np.ndarray]
     complete: bool  # whether heavy holds all known tokens
+    pairs: tuple[np.ndarray, np.ndarray] | None = None  # frequent bigrams and their levels, where bigrams are routed
 
 
 def _flat(path: str) -> str:
     return f"{path}-filter/bits"
 
 
-def _flattened(spark: SparkSession, path: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Copies all segments, a few at a time, into one file of at most MAX_FILTER bytes or so, that workers can map; returns sizes and places."""
+def _flattened(spark: SparkSession, path: str, bits: int, orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Copies all segments of the orders, a few at a time, into one file that workers can map; returns sizes and places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _ in batches:
@@ -200,12 +234,13 @@ def _flattened(spark: SparkSession, path: str, bits: int) -> tuple[np.ndarray, n
             files.create_dir(to.rpartition("/")[0], recursive=True)
             temp, at, rows = f"{to}-{uuid.uuid4().hex}", 0, []
             with files.open_output_stream(temp) as out:
-                for f in sorted(x.path for x in files.get_file_info(fs.FileSelector(top)) if x.path.endswith(".parquet")):
-                    for b in pq.ParquetFile(files.open_input_file(f)).iter_batches(8, columns=["gram", "bucket", "size", "segment"]):
-                        for r in b.to_pylist():
-                            out.write(r["segment"])
-                            rows.append((r["gram"], r["bucket"], r["size"], at * 8))
-                            at += len(r["segment"])
+                for k in orders:
+                    for f in sorted(x.path for x in files.get_file_info(fs.FileSelector(f"{top}/gram={k}", allow_not_found=True)) if x.path.endswith(".parquet")):
+                        for b in pq.ParquetFile(files.open_input_file(f)).iter_batches(8, columns=["bucket", "size", "segment"]):
+                            for r in b.to_pylist():
+                                out.write(r["segment"])
+                                rows.append((k, r["bucket"], r["size"], at * 8))
+                                at += len(r["segment"])
             files.move(temp, to)
             yield pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["gram", "bucket", "size", "at"])
 
@@ -215,16 +250,22 @@ def _flattened(spark: SparkSession, path: str, bits: int) -> tuple[np.ndarray, n
     return size, at
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_SEGMENT_DDL).parquet(path)
+
+
 def train(docs: DataFrame, max_filter: int = MAX_FILTER, heavy: int = HEAVY) -> Model:
     """Counts docs (text) and writes the filter's segments and the tokens' counts to the shared folder."""
     spark = docs.sparkSession
     bits = min(20, max(6, math.ceil(math.log2(max(1, docs.rdd.getNumPartitions()) * 8))))
     path = shared_dir(spark, "ngrams")
     grouped = _runs(docs, bits).groupBy("gram", "bucket")
-    made = grouped.applyInArrow(_segment(max_filter * 8 // (2 << bits)), "gram int, bucket long, tokens long, distinct long, once long, quantised double, levels array<long>, size long, segment binary, hashes binary, counts binary")
-    made.write.parquet(path)
-    segments = _flattened(spark, path, bits)
-    one = spark.read.parquet(path).filter("gram = 1")
+    made = grouped.applyInArrow(_segment(heavy >> bits), _SEGMENT_DDL)
+    made.write.partitionBy("gram").parquet(path)
+    stored = _stored(spark, path)
+    routed = (stored.agg(F.sum("size")).first()[0] or 0) > max_filter * 8
+    segments = _flattened(spark, path, bits, (1,) if routed else (1, 2))
+    one = stored.filter("gram = 1")
     total = one.agg(*[F.sum(c).alias(c) for c in ("tokens", "distinct", "once", "quantised")]).first()
     if total["tokens"] is None:
         return Model(path, bits, segments, 0, 0, 0, 0.0, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), True)
@@ -245,7 +286,13 @@ def train(docs: DataFrame, max_filter: int = MAX_FILTER, heavy: int = HEAVY) ->
     h = np.concatenate([np.frombuffer(r["h"], np.uint64) for r in rows])
     n = np.concatenate([np.frombuffer(r["n"], np.int64) for r in rows])
     order = np.argsort(h)
-    return Model(path, bits, segments, total["tokens"], total["distinct"], total["once"], total["quantised"], (h[order], n[order].astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.int64)), least == 0)
+    pairs = None
+    if routed:
+        rows2 = stored.filter("gram = 2").select("hashes", "counts").collect()
+        h2, q2 = (np.concatenate([np.zeros(0, k), *(np.frombuffer(r[c], k) for r in rows2)]) for c, k in (("hashes", np.uint64), ("counts", np.int8)))
+        order2 = np.argsort(h2)
+        pairs = (h2[order2], q2[order2])
+    return Model(path, bits, segments, total["tokens"], total["distinct"], total["once"], total["quantised"], (h[order], n[order].astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.int64)), least == 0, pairs)
 
 
 class Filter:
@@ -274,23 +321,8 @@ class Filter:
     def levels(self, h: np.ndarray, order: int) -> np.ndarray:
         """Level of each n-gram, -1 if unknown, by probing one level after the other."""
         h = h if order == 1 else h & np.uint64(~0xFFFF & (1 << 64) - 1)
-        out = np.full(len(h), -1, np.int64)
-        left = np.arange(len(h))
         bucket = (h >> self.shift).astype(np.int64)
-        size, at = self.size[order - 1][bucket], self.at[order - 1][bucket]
-        j = 0
-        keep = size > 0
-        while True:
-            left, h, size, at = left[keep], h[keep], size[keep], at[keep]
-            if not len(left) or j >= _LEVELS:
-                return out
-            for i in range(PROBES):
-                p = at + _positions(h, j, i, size)
-                hit = (self.raw[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                if not hit.all():
-                    left, h, size, at = left[hit], h[hit], size[hit], at[hit]
-            out[left] = j
-            keep, j = np.ones(len(left), bool), j + 1
+        return _levels(self.raw, h, self.size[order - 1][bucket], self.at[order - 1][bucket])
 
 
 _PART = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
@@ -302,44 +334,73 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     path, bits, n_all, v_all = model.path, model.bits, model.tokens, model.distinct
     unseen = (model.once + 1) / (n_all + 2)
     mass = model.quantised
-    shared = spark.sparkContext.broadcast((model.heavy, model.segments))
-    complete = model.complete
+    shared = spark.sparkContext.broadcast((model.heavy, model.segments, model.pairs))
+    complete, routed = model.complete, model.pairs is not None
     low = math.log10(n_all + 0.1 * (v_all + 1)) if n_all else -1.0
-    routes = max(1, bits - 3)
-    kind = pa.schema([("bucket", pa.int64()), ("hashes", pa.binary()), ("rows", pa.binary()), ("times", pa.binary()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    routes = bits if routed else max(1, bits - 3)
+    kind = pa.schema([("bucket", pa.int64()), ("order", pa.int32()), ("hashes", pa.binary()), ("rows", pa.binary()), ("times", pa.binary()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+
+    def chance(q2: np.ndarray, context: np.ndarray, p0: np.ndarray) -> np.ndarray:
+        c2 = np.where(q2 >= 0, _VALUE[q2], 0.0)
+        return (np.minimum(c2, context) + PRIOR * p0) / (context + PRIOR)
+
+    def alone(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """c and P0 of tokens of levels q."""
+        c1 = np.where(q >= 0, _VALUE[q], 0.0)
+        return c1, np.where(q >= 0, (1 - unseen) * c1 / max(mass, 1.0), unseen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        (heavy, counts), segments = shared.value
+        (heavy, counts), segments, frequent = shared.value
         known = Filter.load(path, bits, segments)
-        first, held, n_held = TaskContext.get().partitionId() << 40, [], 0
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            h, r, n = (np.concatenate([x[k] for x in held]) for k in range(3))
-            order = np.argsort(h, kind="stable")
-            h, r, n = h[order], r[order], n[order]
-            edges = _edges(h, routes)
-            out = [{"bucket": b, "hashes": h[i:j].tobytes(), "rows": r[i:j].tobytes(), "times": n[i:j].astype(np.uint32).tobytes()} for b, (i, j) in enumerate(zip(edges, edges[1:])) if j > i]
+        first = TaskContext.get().partitionId() << 40
+        held: dict[int, list] = {1: [], 2: []}
+        n_held = {1: 0, 2: 0}
+
+        def sent(order: int) -> Iterator[pa.RecordBatch]:
+            """What is held of an order by route: hashes, rows as steps from the first one, and what is known of each."""
+            h, r, n = (np.concatenate([x[k] for x in held[order]]) for k in range(3))
+            held[order], n_held[order] = [], 0
+            by = np.argsort(h, kind="stable")
+            h, r, n = h[by], r[by], n[by]
+            edges, least = _edges(h, routes), int(r.min())
+            r = (r - least).astype(np.uint32)
+            out = [{"bucket": b, "order": order, "hashes": _thin(h[i:j], order), "rows": r[i:j].tobytes(), "times": n[i:j].tobytes(), "row": least} for b, (i, j) in enumerate(zip(edges, edges[1:])) if j > i]
             yield pa.RecordBatch.from_pylist(out, schema=kind)
 
+        def hold(order: int, h: np.ndarray, r: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(h):
+                held[order].append((h, r, n))
+                n_held[order] += len(h)
+            if n_held[order] >= RARE_BATCH:
+                yield from sent(order)
+
         for b in chunks(batches):
             h, ptr, pairs = tokens(b.column("text"))
             n_docs = b.num_rows
             doc = np.repeat(np.arange(n_docs), np.diff(ptr))
             distinct, back = np.unique(h, return_inverse=True)
             q = known.levels(distinct, 1)
-            c1 = np.where(q >= 0, _VALUE[q], 0.0)
-            p0 = np.where(q >= 0, (1 - unseen) * c1 / max(mass, 1.0), unseen)
-            q2 = known.levels(pairs, 2)
+            c1, p0 = alone(q)
             context = np.empty(len(h))
             context[1:] = c1[back[:-1]]
             context[ptr[:-1]] = _VALUE[-1]
-            c2 = np.where(q2 >= 0, _VALUE[q2], 0.0)
             start = np.zeros(len(h), bool)
             start[ptr[:-1]] = True
             p0 = p0[back]
-            p = np.where(start, p0, (np.minimum(c2, context) + PRIOR * p0) / (context + PRIOR))
+            later = np.zeros(len(h), bool)
+            if routed:
+                # Without a known h, P(w | h) is P0(w) whatever the bigram's level.
+                pairs &= np.uint64(~0xFFFF & (1 << 64) - 1)
+                q2 = np.full(len(h), -1, np.int64)
+                if len(frequent[0]):
+                    at = np.minimum(np.searchsorted(frequent[0], pairs), len(frequent[0]) - 1)
+                    q2 = np.where(frequent[0][at] == pairs, frequent[1][at], q2)
+                later = ~start & (context > 0) & (q2 < 0)
+            else:
+                q2 = known.levels(pairs, 2)
+            p = np.where(later, 1.0, np.where(start, p0, chance(q2, context, p0)))
             score = np.bincount(doc, np.log10(p), n_docs)
             at = np.minimum(np.searchsorted(heavy, distinct), max(0, len(heavy) - 1))
             found = heavy[at] == distinct if len(heavy) else np.zeros(len(distinct), bool)
@@ -350,46 +411,73 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
             rows = first + np.arange(n_docs)
             first += n_docs
             empty = pa.nulls(n_docs, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(rows % (1 << routes)), empty, empty, empty, pa.array(rows), b.column("doc_id"), b.column("held_out"), pa.array(np.diff(ptr).astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score)], schema=kind)
+            yield pa.RecordBatch.from_arrays([pa.array(rows % (1 << routes)), pa.nulls(n_docs, pa.int32()), empty, empty, empty, pa.array(rows), b.column("doc_id"), b.column("held_out"), pa.array(np.diff(ptr).astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score)], schema=kind)
             if not complete:
                 rare = np.flatnonzero(~sure)
                 order = np.lexsort((back[rare], doc[rare]))
                 d, t = doc[rare][order], back[rare][order]
                 new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])])) if len(d) else np.zeros(0, np.int64)
-                held.append((distinct[t[new]], rows[d[new]], np.diff(np.append(new, len(d)))))
-                n_held += len(new)
-                if n_held >= RARE_BATCH:
-                    yield from sent()
-                    held, n_held = [], 0
-        if n_held:
-            yield from sent()
+                yield from hold(1, distinct[t[new]], rows[d[new]], np.diff(np.append(new, len(d))).astype(np.uint32))
+            if later.any():
+                i = np.flatnonzero(later)
+                q1 = q.astype(np.int8)[back]
+                yield from hold(2, pairs[i], rows[doc[i]], np.ascontiguousarray(np.stack([q1[i - 1], q1[i]], 1)).view(np.uint16).ravel())
+        for order in (1, 2):
+            if n_held[order]:
+                yield from sent(order)
 
     part = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
+    def gathered(runs: pa.Table, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Hashes, rows and what is known of each, of about RARE_BATCH at a time."""
+        held, n = [], 0
+        for x in runs.filter(pc.equal(runs.column("order"), order)).select(["hashes", "rows", "times", "row"]).to_batches(64):
+            for r in x.to_pylist():
+                held.append((_thick(r["hashes"], order), np.frombuffer(r["rows"], np.uint32).astype(np.int64) + r["row"], np.frombuffer(r["times"], np.uint32 if order == 1 else np.uint16)))
+                n += len(held[-1][0])
+                if n >= RARE_BATCH:
+                    yield tuple(np.concatenate(k) for k in zip(*held))
+                    held, n = [], 0
+        if held:
+            yield tuple(np.concatenate(k) for k in zip(*held))
+
+    def partial(rows: np.ndarray, n_known: np.ndarray, base: np.ndarray, score: np.ndarray) -> pa.Table:
+        none = lambda t: pa.nulls(len(rows), t)
+        return pa.Table.from_arrays([pa.array(rows), none(pa.int64()), none(pa.bool_()), none(pa.int64()), pa.array(n_known), pa.array(base), pa.array(score)], schema=part)
+
     def resolve(key: tuple[pa.Scalar, ...], mine: pa.Table, table: pa.Table) -> pa.Table:
         runs = mine.filter(pc.is_valid(mine.column("hashes")))
         out = [mine.filter(pc.is_null(mine.column("hashes"))).select(part.names).cast(part)]
-        if runs.num_rows:
-            h, r, n = (np.concatenate([np.frombuffer(x, k) for x in runs.column(c).to_pylist()]) for c, k in (("hashes", np.uint64), ("rows", np.int64), ("times", np.uint32)))
-            pieces = sorted(zip(table.column("bucket").to_pylist(), table.column("hashes").to_pylist(), table.column("counts").to_pylist()))
-            have = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for _, x, _ in pieces)])
-            counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for _, _, x in pieces)])
+        if not runs.num_rows:
+            return out[0]
+        one, two = (table.filter(pc.equal(table.column("gram"), k)) for k in (1, 2))
+        pieces = sorted(zip(one.column("bucket").to_pylist(), one.column("hashes").to_pylist(), one.column("counts").to_pylist()))
+        have = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for _, x, _ in pieces)])
+        counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for _, _, x in pieces)])
+        for h, r, n in gathered(runs, 1):
             at = np.minimum(np.searchsorted(have, h), max(0, len(have) - 1))
             found = have[at] == h if len(have) else np.zeros(len(h), bool)
             c = np.where(found, counts[at] if len(have) else 0, 0)
             rows, back = np.unique(r, return_inverse=True)
-            base = np.bincount(back, n * (np.log10(c + 0.1) - low), len(rows))
-            known = np.bincount(back, n * found, len(rows)).astype(np.int64)
-            none = lambda t: pa.nulls(len(rows), t)
-            out.append(pa.Table.from_arrays([pa.array(rows), none(pa.int64()), none(pa.bool_()), none(pa.int64()), pa.array(known), pa.array(base), none(pa.float64())], schema=part))
+            out.append(partial(rows, np.bincount(back, n * found, len(rows)).astype(np.int64), np.bincount(back, n * (np.log10(c + 0.1) - low), len(rows)), np.zeros(len(rows))))
+        segment = [(s, np.frombuffer(x, np.uint8)) for s, x in zip(two.column("size").to_pylist(), two.column("segment").to_pylist())]
+        for h, r, n in gathered(runs, 2):
+            # A route of bigrams is one bucket, which has no segment if none of its bigrams was learnt.
+            q2 = _levels(segment[0][1], h, np.full(len(h), segment[0][0], np.uint64), np.zeros(len(h), np.uint64)) if segment else np.full(len(h), -1)
+            q = n.view(np.int8).reshape(-1, 2)
+            p = chance(q2, alone(q[:, 0].astype(np.int64))[0], alone(q[:, 1].astype(np.int64))[1])
+            rows, back = np.unique(r, return_inverse=True)
+            out.append(partial(rows, np.zeros(len(rows), np.int64), np.zeros(len(rows)), np.bincount(back, np.log10(p), len(rows))))
         return pa.concat_tables(out)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
-    scored = texts.mapInArrow(run, "bucket long, hashes binary, rows binary, times binary, " + _PART)
-    if complete:
+    scored = texts.mapInArrow(run, "bucket long, order int, hashes binary, rows binary, times binary, " + _PART)
+    if complete and not routed:
         whole = scored
     else:
-        table = spark.read.parquet(path).filter("gram = 1").select((F.shiftright("bucket", bits - routes)).alias("route"), "bucket", "hashes", "counts")
+        wanted = [k for k, on in ((1, not complete), (2, routed)) if on]
+        ones = F.col("gram") == 1
+        table = _stored(spark, path).filter(F.col("gram").isin(wanted)).select(F.shiftright("bucket", bits - routes).alias("route"), "gram", "bucket", "size", F.when(~ones, F.col("segment")).alias("segment"), F.when(ones, F.col("hashes")).alias("hashes"), F.when(ones, F.col("counts")).alias("counts"))
         parts = scored.groupBy("bucket").cogroup(table.groupBy("route")).applyInArrow(resolve, _PART)
-        whole = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.max("score").alias("score"))
+        whole = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

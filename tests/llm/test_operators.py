@@ -339,6 +339,24 @@ def test_filter_levels_never_fall_below_the_counts(docs):
     assert (other >= 0).mean() < 0.02
 
 
+def test_lm_filters_keep_their_bits_at_any_size(docs):
+    model = lm_score.train(docs, max_filter=1)
+    made = docs.sparkSession.read.parquet(model.path).select("levels", "size").collect()
+    assert made and all(r["size"] >= lm_score.BITS * sum((q + 1) * n for q, n in enumerate(r["levels"])) for r in made)
+
+
+@pytest.mark.parametrize("heavy", [1 << 21, 50, 0])
+def test_lm_routed_bigrams_score_like_mapped_ones(docs, heavy):
+    held = toxicity.fold(F.col("doc_id"), 10) == 0
+    both = []
+    for most in (lm_score.MAX_FILTER, 1):
+        model = lm_score.train(docs.filter(~held), max_filter=most, heavy=heavy)
+        assert (model.pairs is not None) == (most == 1)
+        rows = lm_score.score(docs, model, held).collect()
+        both.append(sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 5), round(r["score"], 5)) for r in rows))
+    assert both[0] == both[1]
+
+
 # sentencepiece and token counts
 
 
