@@ -109,5 +109,5 @@ def _(spark, sf):
 
 @query("j12_cached_records", "SELECT e.event_id, coalesce(d.lang, 'none') AS lang FROM events e LEFT JOIN (SELECT doc_id, lang FROM documents WHERE doc_id < 100) d ON e.user_id = d.doc_id")
 def _(spark, sf):
-    d = table(spark, sf, "documents").filter("doc_id < 100").select(F.col("doc_id").alias("user_id"), "lang")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("user_id"), "lang")
     return joins.lookup(table(spark, sf, "events").select("event_id", "user_id"), d, "user_id", {"lang": F.lit("none")}).select("event_id", "lang")

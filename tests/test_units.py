@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from loomspark import queries
 from loomspark.functions import masks, scalars, sequences, text, tokens
 from loomspark.operators import batching, filters, joins, quantize, tools
 from loomspark.runtime import row_index
@@ -179,3 +180,10 @@ def test_streams_equal_their_batch_twins(spark, tmp_path, processor):
     df = spark.createDataFrame(rows, "key long, seq long, token long, is_text boolean, last boolean")
     want = sorted(map(repr, sessions.batch(df, processor).collect()))
     assert sorted(map(repr, sessions.streamed(df, processor, str(tmp_path)).collect())) == want
+
+
+def test_cached_records_look_up_all_documents(spark, tmp_path):
+    spark.createDataFrame([(1, 5), (2, 250), (3, 300)], "event_id long, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(5, "de"), (250, "fr")], "doc_id long, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["j12_cached_records"](spark, str(tmp_path)).collect()
+    assert sorted((r["event_id"], r["lang"]) for r in got) == [(1, "de"), (2, "fr"), (3, "none")]
