@@ -187,3 +187,9 @@ def test_cached_records_look_up_all_documents(spark, tmp_path):
     spark.createDataFrame([(5, "de"), (250, "fr")], "doc_id long, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     got = queries.QUERIES["j12_cached_records"](spark, str(tmp_path)).collect()
     assert sorted((r["event_id"], r["lang"]) for r in got) == [(1, "de"), (2, "fr"), (3, "none")]
+
+
+def test_lcs_alignment_deals_all_events(spark, tmp_path):
+    spark.createDataFrame([(i, 1, "view") for i in range(8)], "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = queries.QUERIES["j08_lcs_alignment"](spark, str(tmp_path)).collect()
+    assert sorted((r["key"], r["i"], r["j"]) for r in got) == [(1, 0, 3), (1, 2, 5), (1, 4, 7)]
