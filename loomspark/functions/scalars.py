@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomspark.runtime import let
+
 
 def _total(x: Column, f) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + f(v.cast("double")))
@@ -14,14 +16,14 @@ def _total(x: Column, f) -> Column:
 
 def unit(x: Column) -> Column:
     """A vector at length one; a zero vector stays."""
-    norm = F.sqrt(_total(x, lambda v: v * v))
-    return F.transform(x, lambda v: v.cast("double") / F.when(norm > 0, norm).otherwise(1.0))
+    scaled = lambda x, norm: F.transform(x, lambda v: v.cast("double") / F.when(norm > 0, norm).otherwise(1.0))
+    return let(x, lambda x: let(F.sqrt(_total(x, lambda v: v * v)), lambda norm: scaled(x, norm)))
 
 
 def softmax(x: Column, temperature: float = 1.0) -> Column:
-    top = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp((v - top) / temperature))
-    return F.transform(e, lambda v: v / _total(e, lambda w: w))
+    powers = lambda x: let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp((v - top) / temperature)))
+    shares = lambda e: let(_total(e, lambda v: v), lambda total: F.transform(e, lambda v: v / total))
+    return let(let(x, powers), shares)
 
 
 def repetition_penalty(x: Column, seen: Column, penalty: float) -> Column:
@@ -31,8 +33,8 @@ def repetition_penalty(x: Column, seen: Column, penalty: float) -> Column:
 
 def peak_normalised(x: Column, limit: float = 1.0) -> Column:
     """A waveform scaled down to the limit if its peak exceeds it."""
-    peak = F.array_max(F.transform(x, lambda v: F.abs(v)))
-    return F.transform(x, lambda v: F.when(peak > limit, v / peak * limit).otherwise(v))
+    scaled = lambda x, peak: F.transform(x, lambda v: F.when(peak > limit, v / peak * limit).otherwise(v))
+    return let(x, lambda x: let(F.array_max(F.transform(x, lambda v: F.abs(v))), lambda peak: scaled(x, peak)))
 
 
 def held(x: Column, limit: float = 0.99, rescale: bool = False) -> Column:

@@ -190,4 +190,4 @@ def compressed(df: DataFrame, key: str, text: str, rate: float, to: str = "compr
     ranked = words.join(spread, "word").withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("df", "pos"))).withColumn("n", F.count("*").over(Window.partitionBy(key)))
     kept = ranked.filter(F.col("r") <= F.ceil(F.col("n") * rate)).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"))
     kept = kept.select(key, F.array_join(F.transform("w", lambda x: x["word"]), " ").alias(to))
-    return df.join(kept, key, "left").withColumn(to, F.coalesce(to, F.lit("")))
+    return df.join(kept, key, "left").withColumn(to, F.coalesce(F.col(f"`{to}`"), F.lit("")))

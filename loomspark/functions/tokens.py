@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomspark.runtime import let
+
 TEXT_VOCAB, AUDIO_VOCAB = 152_000, 6_625
 TEXT_SPECIAL, AUDIO_SPECIAL = 151_936, 6_561
 TEXT = {n: TEXT_SPECIAL + i for i, n in enumerate(("eot", "pad_t", "input_t", "answer_t", "asr", "com_qt", "com_at", "com_aat", "com_think", "end_think"))}
@@ -71,11 +73,17 @@ def grouped_layers(tokens: Column, layers: int, latency: int = 0, pad: int = AUD
 
 def ungrouped(layers: Column, latency: int = 0, pad: int = AUDIO["pad_a"], end: int = AUDIO["eoa"], replacement: int = REPLACEMENT) -> Column:
     """The tokens of dealt layers up to the first end, pads replaced; null without an end."""
-    n = F.size(F.get(layers, F.lit(0)))
-    steps = F.when(n > latency, F.sequence(F.lit(latency), n - 1)).otherwise(F.array().cast("array<int>"))
-    flat = F.flatten(F.transform(steps, lambda i: F.transform(layers, lambda l: F.get(l, i))))
-    at = F.array_position(flat, _long(end))
-    return F.when(at > 0, F.transform(F.slice(flat, F.lit(1), at.cast("int") - 1), lambda x: F.when(x == pad, _long(replacement)).otherwise(x)))
+
+    def joined(layers: Column) -> Column:
+        n = F.size(F.get(layers, F.lit(0)))
+        steps = F.when(n > latency, F.sequence(F.lit(latency), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(steps, lambda i: F.transform(layers, lambda l: F.get(l, i))))
+
+    def cut(flat: Column) -> Column:
+        at = F.array_position(flat, _long(end))
+        return F.when(at > 0, F.transform(F.slice(flat, F.lit(1), at.cast("int") - 1), lambda x: F.when(x == pad, _long(replacement)).otherwise(x)))
+
+    return let(let(layers, joined), cut)
 
 
 def delayed_layers(tokens: Column, pad: int, end: int, width: int = 8) -> Column:
@@ -85,9 +93,13 @@ def delayed_layers(tokens: Column, pad: int, end: int, width: int = 8) -> Column
 
 def undelayed(layers: Column, width: int = 8) -> Column:
     """Frames (arrays of width - 1 values) of delayed layers, without what follows the end."""
-    n = F.size(F.get(layers, F.lit(0))) - width
-    frames = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(frames, lambda i: F.transform(layers, lambda l, k: F.get(l, i + k + 1)))
+
+    def framed(layers: Column) -> Column:
+        n = F.size(F.get(layers, F.lit(0))) - width
+        frames = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(frames, lambda i: F.transform(layers, lambda l, k: F.get(l, i + k + 1)))
+
+    return let(layers, framed)
 
 
 #: Which places of a frame belong to each level, coarse to fine.
@@ -96,24 +108,32 @@ LEVELS = {3: ((0,), (1, 4), (2, 3, 5, 6)), 4: ((0,), (1, 8), (2, 5, 9, 12), (3,
 
 def hierarchy(frames: Column, levels: int = 3) -> Column:
     """Frames as one array per level."""
-    return F.array(*[_places(frames, places) for places in LEVELS[levels]])
+    return let(frames, lambda f: F.array(*[_places(f, places) for places in LEVELS[levels]]))
 
 
 def interleaved(text: Column, speech: Column, text_chunk: int = 13, speech_chunk: int = 26) -> Column:
     """(token, is_text) in turns of text_chunk and speech_chunk until both are used up."""
-    rounds = F.greatest(F.ceil(F.size(text) / text_chunk), F.ceil(F.size(speech) / speech_chunk)).cast("int")
-    turns = F.when(rounds > 0, F.sequence(F.lit(0), rounds - 1)).otherwise(F.array().cast("array<int>"))
     part = lambda a, i, n, t: F.transform(F.slice(a, i * n + 1, F.lit(n)), lambda x: F.struct(x.alias("token"), F.lit(t).alias("is_text")))
-    return F.flatten(F.transform(turns, lambda i: F.concat(part(text, i, text_chunk, True), part(speech, i, speech_chunk, False))))
+
+    def dealt(text: Column, speech: Column) -> Column:
+        rounds = F.greatest(F.ceil(F.size(text) / text_chunk), F.ceil(F.size(speech) / speech_chunk)).cast("int")
+        turns = F.when(rounds > 0, F.sequence(F.lit(0), rounds - 1)).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(turns, lambda i: F.concat(part(text, i, text_chunk, True), part(speech, i, speech_chunk, False))))
+
+    return let(text, lambda t: let(speech, lambda s: dealt(t, s)))
 
 
 def with_fill(text: Column, speech: Column, fill: int, text_chunk: int = 5, speech_chunk: int = 15) -> Column:
     """Full rounds of text and speech, each text chunk followed by its speech; where text runs out a fill token closes it and the rest of the speech follows."""
-    rounds = F.floor(F.size(text) / text_chunk).cast("int")
-    turns = F.when(rounds > 0, F.sequence(F.lit(0), rounds - 1)).otherwise(F.array().cast("array<int>"))
-    body = F.flatten(F.transform(turns, lambda i: F.concat(F.slice(text, i * text_chunk + 1, F.lit(text_chunk)), F.slice(speech, i * speech_chunk + 1, F.lit(speech_chunk)))))
-    rest = lambda a, n: F.slice(a, rounds * n + 1, F.greatest(F.size(a), F.lit(1)))
-    return F.concat(body, rest(text, text_chunk), F.array(_long(fill)), rest(speech, speech_chunk))
+
+    def dealt(text: Column, speech: Column) -> Column:
+        rounds = F.floor(F.size(text) / text_chunk).cast("int")
+        turns = F.when(rounds > 0, F.sequence(F.lit(0), rounds - 1)).otherwise(F.array().cast("array<int>"))
+        body = F.flatten(F.transform(turns, lambda i: F.concat(F.slice(text, i * text_chunk + 1, F.lit(text_chunk)), F.slice(speech, i * speech_chunk + 1, F.lit(speech_chunk)))))
+        rest = lambda a, n: F.slice(a, rounds * n + 1, F.greatest(F.size(a), F.lit(1)))
+        return F.concat(body, rest(text, text_chunk), F.array(_long(fill)), rest(speech, speech_chunk))
+
+    return let(text, lambda t: let(speech, lambda s: dealt(t, s)))
 
 
 def answer(kind: Column, question: Column, think: Column, reply: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.runtime import let
+
 
 def mean_std_ci(value: Column, prefix: str = "") -> list[Column]:
     """Mean, sample deviation and half width of the 95 % interval; the last two are 0 below two values."""
@@ -74,9 +76,12 @@ def real_time_factor(elapsed: Column, length: Column) -> Column:
 
 def log_softmax(x: Column) -> Column:
     """Log-softmax of an array of doubles, shifted by its maximum."""
-    top = F.array_max(x)
-    total = F.aggregate(x, F.lit(0.0), lambda s, v: s + F.exp(v - top))
-    return F.transform(x, lambda v: v - top - F.log(total))
+
+    def shifted(x: Column, top: Column) -> Column:
+        total = F.log(F.aggregate(x, F.lit(0.0), lambda s, v: s + F.exp(v - top)))
+        return let(total, lambda t: F.transform(x, lambda v: v - top - t))
+
+    return let(x, lambda x: let(F.array_max(x), lambda top: shifted(x, top)))
 
 
 def smoothed_kl(logits: Column, target: Column, smoothing: float) -> Column:

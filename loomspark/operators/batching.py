@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomspark.runtime import hash32, row_index
+from loomspark.runtime import hash32, let, row_index
 
 SHUFFLE_SIZE, SORT_SIZE, BATCH_SIZE, MAX_FRAMES = 10_000, 500, 16, 12_000
 _DEALT = 1 << 32
@@ -31,7 +35,7 @@ def buffered_sort(df: DataFrame, key: str, length: str, size: int = SORT_SIZE) -
 def hashed_order(df: DataFrame, key: str, seed: int) -> DataFrame:
     """Adds the row's place in a seeded order of all rows."""
     named = df.withColumn("_hash", hash32(F.lit(seed), key) * F.lit(1 << 20) + F.pmod(F.col(key), F.lit(1 << 20)))
-    return row_index(named, "_hash", "place", 1 << 34).drop("_hash")
+    return row_index(named, "_hash", "place").drop("_hash")
 
 
 def sampled(df: DataFrame, key: str, rate: Column | float, seed: int = 0) -> DataFrame:
@@ -61,20 +65,27 @@ def static_batches(df: DataFrame, key: str, size: int = BATCH_SIZE) -> DataFrame
 def dynamic_batches(df: DataFrame, shard: str, order: list[str], key: str, length: str, cap: int = MAX_FRAMES) -> DataFrame:
     """(shard, key, length, batch): a batch closes before the row that would lift longest x rows above the cap.
 
-    A row longer than the cap is a batch of its own. Rows of a shard are folded in order, in the JVM; shards should hold thousands of rows.
+    A row longer than the cap is a batch of its own. Sorted rows of a shard are streamed past one fold, so a
+    shard is never held; it is one task's work.
     """
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(key).alias("_key"), F.col(length).cast("long").alias("_len"))))
-    start = F.struct(F.lit(-1).cast("long").alias("batch"), F.lit(0).cast("long").alias("most"), F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        most = F.greatest(acc["most"], x["_len"])
-        new = (acc["n"] == 0) | (most * (acc["n"] + 1) > cap)
-        batch = F.when(new, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(batch.alias("batch"), F.when(new, x["_len"]).otherwise(most).alias("most"), F.when(new, F.lit(1).cast("long")).otherwise(acc["n"] + 1).alias("n"), F.concat(acc["out"], F.array(batch)).alias("out"))
-
-    folded = df.groupBy(shard).agg(rows.alias("_rows")).withColumn("_batches", F.aggregate("_rows", start, step)["out"])
-    both = folded.select(shard, F.explode(F.arrays_zip("_rows", "_batches")).alias("x"))
-    return both.select(shard, F.col("x._rows._key").alias(key), F.col("x._rows._len").alias(length), F.col("x._batches").alias("batch"))
+    rows = df.select(*dict.fromkeys([shard, *order, key]), F.col(length).cast("long").alias("_len")).repartition(shard).sortWithinPartitions(shard, *order)
+    kind = T.StructType([rows.schema[shard], rows.schema[key], T.StructField(length, T.LongType()), T.StructField("batch", T.LongType())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, batch, most, n = object(), -1, 0, 0
+        for b in parts:
+            out = []
+            for s, x in zip(b.column(shard).to_pylist(), b.column("_len").to_pylist()):
+                if s != now:
+                    now, batch, most, n = s, -1, 0, 0
+                longest = max(most, x or 0)
+                if n == 0 or longest * (n + 1) > cap:
+                    batch, longest, n = batch + 1, x or 0, 0
+                most, n = longest, n + 1
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([b.column(shard), b.column(key), b.column("_len"), pa.array(out, pa.int64())], names=kind.names)
+
+    return rows.mapInArrow(run, kind)
 
 
 def batches(df: DataFrame, kind: str, key: str, **options) -> DataFrame:
@@ -151,7 +162,7 @@ def conditioning(values: Column, key: Column, seed: int = 0, chance: float = 0.5
     n = F.size(values)
     most = (n * share).cast("int")
     r = F.when(coin(seed, key) < chance, 0).otherwise((coin(seed + 1, key) * (most + 1)).cast("int"))
-    return F.transform(values, lambda v, i: F.when(i < r, v).otherwise(v * 0))
+    return let(r, lambda r: F.transform(values, lambda v, i: F.when(i < r, v).otherwise(v * 0)))
 
 
 def restored(df: DataFrame, key: str, total: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomspark.operators import joins
 from loomspark.operators.batching import seeds
+from loomspark.runtime import row_index
 
 
 def kmeans_step(points: DataFrame, codes: DataFrame, vec: str = "vec") -> DataFrame:
@@ -68,11 +69,10 @@ def replace_dead(codes: DataFrame, points: DataFrame, key: str, threshold: float
     n = codes.filter(F.col(size) < threshold).count() if threshold > 0 else 0
     if not n:
         return codes
-    rank = F.row_number().over(Window.orderBy("code")) - 1
-    dead = codes.filter(F.col(size) < threshold).select("code", rank.alias("_rank"))
+    dead = row_index(codes.filter(F.col(size) < threshold).select("code"), "code", "_rank")
     fresh = seeds(points.select(key, vec), key, n, seed).select(F.col("code").alias("_rank"), F.col(vec).alias("_fresh"))
     got = dead.join(fresh, "_rank").select("code", "_fresh")
-    return codes.join(F.broadcast(got), "code", "left").withColumn(vec, F.coalesce(F.col("_fresh"), F.col(vec))).drop("_fresh")
+    return codes.join(joins.small(got), "code", "left").withColumn(vec, F.coalesce(F.col("_fresh"), F.col(vec))).drop("_fresh")
 
 
 def residual_codes(points: DataFrame, books: list[DataFrame], vec: str = "vec") -> DataFrame:

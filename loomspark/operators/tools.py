@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.operators.joins import small
+
 CALLS = "array<struct<function:string,description:string,parameters:string>>"
 #: The frame around tool definitions in an instruction.
 INTRO = "You may call one or more functions to assist with the user query."
@@ -87,9 +89,9 @@ def extraction_prompt(question: Column, tools: Column, required: Column, allowed
 
 def filled_template(templates: DataFrame, requests: DataFrame) -> DataFrame:
     """requests (mode, arity, tool) with the prompt of their mode and arity; an unknown mode gets mode1's. templates: (mode, arity, template)."""
-    t = F.broadcast(templates)
+    t = small(templates)
     known = templates.select("mode").distinct().withColumn("_known", F.lit(True))
-    r = requests.join(F.broadcast(known), "mode", "left").withColumn("_mode", F.when(F.col("_known"), F.col("mode")).otherwise("mode1"))
+    r = requests.join(small(known), "mode", "left").withColumn("_mode", F.when(F.col("_known"), F.col("mode")).otherwise("mode1"))
     t = t.withColumnRenamed("mode", "_mode")
     return r.join(t, ["_mode", "arity"]).withColumn("prompt", F.replace("template", F.lit("{tool}"), F.col("tool"))).drop("_mode", "_known", "template")
 
@@ -103,7 +105,7 @@ def distractors(requests: DataFrame, pool: DataFrame, picks: DataFrame, total: i
     """
     from pyspark.sql import Window
 
-    valid = picks.withColumn("name", F.trim("name")).join(F.broadcast(pool), "name").join(requests, "request").filter(~F.array_contains("focus", F.col("name")))
+    valid = picks.withColumn("name", F.trim("name")).join(small(pool), "name").join(requests, "request").filter(~F.array_contains("focus", F.col("name")))
     valid = valid.groupBy("request", "name").agg(F.min(F.struct("kind", "place")).alias("at")).select("request", "name", F.col("at.kind").alias("kind"), F.col("at.place").cast("long").alias("place"))
     width = requests.agg(F.max(F.size("focus"))).first()[0] or 0
     spare = pool.withColumn("place", order).orderBy("place", "name").limit(2 * total + width)

@@ -148,13 +148,13 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_id", ag.real_time_factor(F.col("value"), F.col("user_id") + 1).alias("rtf"))
 
 
-@query("a18_smoothed_kl", """WITH s AS (SELECT vec_id, label % 9 - 1 AS y, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS x FROM embeddings),
+@query("a18_smoothed_kl", """WITH s AS (SELECT vec_id, label % 65 - 1 AS y, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
 l AS (SELECT vec_id, y, list_transform(x, lambda v: v - ln(list_sum(list_transform(x, lambda w: exp(w))))) AS lp FROM s),
-k AS (SELECT vec_id, sum(CASE WHEN i - 1 = y THEN 0.9 * (ln(0.9) - lp[i]) ELSE 0.1 / 7 * (ln(0.1 / 7) - lp[i]) END) AS kl FROM l, unnest(range(1, 9)) t(i) WHERE y >= 0 GROUP BY vec_id)
+k AS (SELECT vec_id, sum(CASE WHEN i - 1 = y THEN 0.9 * (ln(0.9) - lp[i]) ELSE 0.1 / 63 * (ln(0.1 / 63) - lp[i]) END) AS kl FROM l, unnest(range(1, 65)) t(i) WHERE y >= 0 GROUP BY vec_id)
 SELECT round(avg(kl), 5) AS loss, count(*) AS n FROM k""")
 def _(spark, sf):
-    x = F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double"))
-    e = table(spark, sf, "embeddings").select(ag.smoothed_kl(x, F.col("label") % 9 - 1, 0.1).alias("kl"))
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    e = table(spark, sf, "embeddings").select(ag.smoothed_kl(x, F.col("label") % 65 - 1, 0.1).alias("kl"))
     return e.agg(F.round(F.avg("kl"), 5).alias("loss"), F.count("kl").alias("n"))
 
 

@@ -40,23 +40,28 @@ def _(spark, sf):
     return bt.batches(table(spark, sf, "documents").select("doc_id"), "static", "doc_id", size=16)
 
 
-DYNAMIC = """WITH RECURSIVE p AS (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents),
-f AS (SELECT lang, doc_id, n_chars, k, 0::BIGINT AS batch, n_chars AS most, 1::BIGINT AS n FROM p WHERE k = 1
- UNION ALL SELECT p.lang, p.doc_id, p.n_chars, p.k, CASE WHEN greatest(f.most, p.n_chars) * (f.n + 1) > 12000 THEN f.batch + 1 ELSE f.batch END,
+DYNAMIC = """WITH RECURSIVE p AS (SELECT doc_id // 250 AS shard, doc_id, n_chars, row_number() OVER (PARTITION BY doc_id // 250 ORDER BY doc_id) AS k FROM documents),
+f AS (SELECT shard, doc_id, n_chars, k, 0::BIGINT AS batch, n_chars AS most, 1::BIGINT AS n FROM p WHERE k = 1
+ UNION ALL SELECT p.shard, p.doc_id, p.n_chars, p.k, CASE WHEN greatest(f.most, p.n_chars) * (f.n + 1) > 12000 THEN f.batch + 1 ELSE f.batch END,
  CASE WHEN greatest(f.most, p.n_chars) * (f.n + 1) > 12000 THEN p.n_chars ELSE greatest(f.most, p.n_chars) END, CASE WHEN greatest(f.most, p.n_chars) * (f.n + 1) > 12000 THEN 1 ELSE f.n + 1 END
- FROM f JOIN p ON p.lang = f.lang AND p.k = f.k + 1) SELECT lang, doc_id, n_chars, batch FROM f"""
+ FROM f JOIN p ON p.shard = f.shard AND p.k = f.k + 1) SELECT shard, doc_id, n_chars, batch FROM f"""
+
+
+def sharded(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "n_chars", F.expr("doc_id div 250").alias("shard"))
 
 
 @query("b05_dynamic_batches", DYNAMIC)
 def _(spark, sf):
-    return bt.dynamic_batches(table(spark, sf, "documents"), "lang", ["doc_id"], "doc_id", "n_chars")
+    return bt.dynamic_batches(sharded(spark, sf), "shard", ["doc_id"], "doc_id", "n_chars")
 
 
-@query("b06_batches_by_name", DYNAMIC + " WHERE lang <> 'en' UNION ALL SELECT 'en', doc_id, n_chars, (row_number() OVER (ORDER BY doc_id) - 1) // 16 FROM documents WHERE lang = 'en'")
+@query("b06_batches_by_name", f"SELECT 'dynamic' AS kind, doc_id, batch FROM ({DYNAMIC}) UNION ALL SELECT 'static', doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 16 FROM documents")
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("lang", "doc_id", "n_chars")
-    a = bt.batches(d.filter("lang <> 'en'"), "dynamic", "doc_id", shard="lang", order=["doc_id"], length="n_chars")
-    return a.unionByName(bt.batches(d.filter("lang = 'en'"), "static", "doc_id", size=16))
+    d = sharded(spark, sf)
+    made = {"dynamic": bt.batches(d, "dynamic", "doc_id", shard="shard", order=["doc_id"], length="n_chars"), "static": bt.batches(d, "static", "doc_id", size=16)}
+    a, b = (x.select(F.lit(k).alias("kind"), "doc_id", "batch") for k, x in made.items())
+    return a.unionByName(b)
 
 
 BATCHED = f"SELECT doc_id, ids, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS batch FROM ({IDS})"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomspark.functions import text
 from loomspark.operators import filters, tools
 from loomspark.registry import query
 from loomspark.runtime import hash32, hash32_sql, table
@@ -22,25 +23,32 @@ def _(spark, sf):
 
 
 def _qa(spark, sf):
-    b = table(spark, sf, "benchmark")
+    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"), F.reverse("text").alias("solution"))
+    for part in ("question", "solution"):
+        for rate in (0.7, 0.5):
+            b = text.compressed(b, "item_id", part, rate, f"{part}_compress_{rate}")
     stage = F.element_at(F.array(F.lit("question"), F.lit("solution"), F.lit("answer"), F.lit("question_solution")), (F.col("item_id") % 5).cast("int"))
     return b.select(
-        "item_id", F.when(F.col("item_id") % 5 > 0, stage).alias("stage"), F.when(F.col("item_id") % 3 == 0, 1.0).when(F.col("item_id") % 3 == 1, 0.7).otherwise(0.5).alias("rate"),
-        F.col("text").alias("question"), F.reverse("text").alias("solution"), F.concat("text", F.lit("!")).alias("answer"),
-        F.substring("text", 1, 20).alias("question_compress_0.7"), F.substring("text", 1, 10).alias("question_compress_0.5"),
-        F.substring(F.reverse("text"), 1, 20).alias("solution_compress_0.7"), F.substring(F.reverse("text"), 1, 10).alias("solution_compress_0.5"),
+        "*", F.when(F.col("item_id") % 5 > 0, stage).alias("stage"), F.when(F.col("item_id") % 3 == 0, 1.0).when(F.col("item_id") % 3 == 1, 0.7).otherwise(0.5).alias("rate"),
+        F.concat("question", F.lit("!")).alias("answer"),
     )
 
 
 def _choice_sql(both):
+    def short(part, expr):
+        return f"""{part}_w AS (SELECT item_id, i, ws[i] AS word, rate FROM (SELECT item_id, rate, list_filter(regexp_split_to_array({expr}, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS ws FROM q), unnest(range(1, len(ws) + 1)) t(i)),
+    {part}_d AS (SELECT word, count(DISTINCT item_id) AS df FROM {part}_w GROUP BY word),
+    {part}_r AS (SELECT item_id, i, word, rate, row_number() OVER (PARTITION BY item_id ORDER BY df, i) AS r, count(*) OVER (PARTITION BY item_id) AS n FROM {part}_w JOIN {part}_d USING (word)),
+    {part}_s AS (SELECT item_id, string_agg(word, ' ' ORDER BY i) AS {part}_short FROM {part}_r WHERE r <= ceil(n * rate) GROUP BY item_id)"""
+
     def part(p, expr, hit):
-        short = f"CASE rate WHEN 0.7 THEN substr({expr}, 1, 20) ELSE substr({expr}, 1, 10) END"
-        return f"CASE WHEN stage IN ({hit}) AND rate < 1 THEN {short} ELSE {expr} END AS {p}"
+        return f"CASE WHEN stage IN ({hit}) AND rate < 1 THEN coalesce({p}_short, '') ELSE {expr} END AS {p}"
 
     return f"""WITH q AS (SELECT item_id, text, CASE item_id % 5 WHEN 1 THEN 'question' WHEN 2 THEN 'solution' WHEN 3 THEN 'answer' WHEN 4 THEN {"'question_solution'" if both else "'answer'"} END AS stage,
-      CASE item_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 ELSE 0.5 END AS rate FROM benchmark)
+      CASE item_id % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS rate FROM benchmark),
+    {short("question", "text")}, {short("solution", "reverse(text)")}
     SELECT item_id, {part("question", "text", "'question'" + (", 'question_solution'" if both else ""))},
-      {part("solution", "reverse(text)", "'solution'" + (", 'question_solution'" if both else ""))}, text || '!' AS answer FROM q"""
+      {part("solution", "reverse(text)", "'solution'" + (", 'question_solution'" if both else ""))}, text || '!' AS answer FROM q LEFT JOIN question_s USING (item_id) LEFT JOIN solution_s USING (item_id)"""
 
 
 @query("p02_compression_choice", _choice_sql(True))

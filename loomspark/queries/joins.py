@@ -9,12 +9,13 @@ from loomspark.registry import query
 from loomspark.runtime import hash32, hash32_sql, table
 from loomspark.sources import files
 
-RUN_SQL = "SELECT user_id AS key, event_id AS pos, (length(event_type) + event_id % 3) AS tok FROM events WHERE event_id % 4 = {}"
+#: All events are dealt to the runs.
+RUN_SQL = "SELECT user_id AS key, event_id AS pos, length(event_type) + event_id // 6 % 3 AS tok FROM events WHERE event_id % 3 = {}"
 
 
-def _run(spark, sf, k, runs=4):
+def _run(spark, sf, k, runs=3):
     e = table(spark, sf, "events").filter(F.col("event_id") % runs == k)
-    return e.select(F.col("user_id").alias("key"), F.col("event_id").alias("pos"), (F.length("event_type") + F.col("event_id") % 3).alias("tok"))
+    return e.select(F.col("user_id").alias("key"), F.col("event_id").alias("pos"), (F.length("event_type") + F.expr("event_id div 6") % 3).alias("tok"))
 
 
 @query("j01_common_runs", "SELECT a.conv_id AS key, a.text AS a, d.lang AS b, l.toxic AS c FROM conversations a JOIN documents d ON d.doc_id = a.conv_id JOIN labels l ON l.doc_id = a.conv_id WHERE a.turn = 0")
@@ -107,7 +108,7 @@ def _(spark, sf):
     return e.join(joins.small(book(spark, sf)), "code").select("vec_id", "vec")
 
 
-@query("j12_cached_records", "SELECT e.event_id, coalesce(d.lang, 'none') AS lang FROM events e LEFT JOIN (SELECT doc_id, lang FROM documents WHERE doc_id < 100) d ON e.user_id = d.doc_id")
+@query("j12_cached_records", "SELECT e.event_id, coalesce(d.lang, 'none') AS lang FROM events e LEFT JOIN documents d ON e.user_id = d.doc_id")
 def _(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("user_id"), "lang")
     return joins.lookup(table(spark, sf, "events").select("event_id", "user_id"), d, "user_id", {"lang": F.lit("none")}).select("event_id", "lang")

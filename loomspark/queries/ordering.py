@@ -198,7 +198,9 @@ def _(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.transform(fade, lambda x: F.round(x, 6)).alias("faded"))
 
 
-@query("w14_interpolated", """SELECT vec_id, list_transform(range(0, 100), lambda k: round(embedding[1 + greatest(0, floor((k + 0.5) * 0.64 - 0.5))::INT]::DOUBLE * (1 - (greatest(0, (k + 0.5) * 0.64 - 0.5) - floor(greatest(0, (k + 0.5) * 0.64 - 0.5))))
- + embedding[1 + least(63, floor(greatest(0, (k + 0.5) * 0.64 - 0.5))::INT + 1)]::DOUBLE * (greatest(0, (k + 0.5) * 0.64 - 0.5) - floor(greatest(0, (k + 0.5) * 0.64 - 0.5))), 5)) AS v FROM embeddings""")
+@query("w14_interpolated", """WITH x AS (SELECT vec_id, embedding AS e, k, greatest(0::DOUBLE, (k + 0.5::DOUBLE) * (64::DOUBLE / 100) - 0.5::DOUBLE) AS x FROM embeddings, unnest(range(0, 100)) t(k)),
+l AS (SELECT *, floor(x)::INT AS low FROM x)
+SELECT vec_id, k, e[low + 1]::DOUBLE * (1 - (x - low)) + e[least(63, low + 1) + 1]::DOUBLE * (x - low) AS v FROM l""")
 def _(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", F.transform(sequences.interpolated(F.col("embedding"), F.lit(100)), lambda x: F.round(x, 5)).alias("v"))
+    v = sequences.interpolated(F.col("embedding"), F.lit(100))
+    return table(spark, sf, "embeddings").select("vec_id", F.posexplode(v).alias("k", "v")).withColumn("k", F.col("k").cast("long"))

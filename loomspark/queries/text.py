@@ -63,10 +63,20 @@ def _(spark, sf):
     return d.select("lang", F.array_sort(tx.names(F.col("n"))).alias("names"))
 
 
-@query("x09_plain_marks", "SELECT doc_id, lang || '平方a b' || source AS x FROM documents")
+#: Whole texts between marks that the synthetic tables lack.
+MARKED = "'（a²）' || text || '——【b】`' || source"
+
+
+def marked():
+    return F.concat(F.lit("（a²）"), "text", F.lit("——【b】`"), "source")
+
+
+PLAIN = "replace(replace(replace(replace(replace(replace(replace(replace(%s, '²', '平方'), '³', '立方'), '（', ''), '）', ''), '【', ''), '】', ''), '`', ''), '——', ' ')"
+
+
+@query("x09_plain_marks", f"SELECT doc_id, md5({PLAIN % MARKED}) AS x FROM documents")
 def _(spark, sf):
-    raw = F.concat("lang", F.lit("²（a）——【b】`"), "source")
-    return table(spark, sf, "documents").select("doc_id", tx.plain_marks(raw).alias("x"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(tx.plain_marks(marked()).cast("binary")).alias("x"))
 
 
 @query("x10_spelt_numbers")
@@ -87,15 +97,22 @@ def _(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", tx.split_paragraph(F.col("text"), most=12, least=6, tail=4).alias("parts"))
 
 
-@query("x12_without_blanks", "SELECT doc_id, '漢字ab cd' || lang AS x FROM documents")
+#: Characters, without the spaces that have no printing or control ASCII character on both sides.
+UNSPACED = "array_to_string(list_filter(c, lambda x, i: x <> ' ' OR (i > 1 AND i < len(c) AND c[i - 1] <> ' ' AND c[i + 1] <> ' ' AND ord(c[i - 1]) < 128 AND ord(c[i + 1]) < 128)), '')"
+
+
+@query("x12_without_blanks", f"SELECT doc_id, md5({UNSPACED}) AS x FROM (SELECT doc_id, string_split('漢 字  ' || text || ' 漢 ', '') AS c FROM documents)")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.without_blanks(F.concat(F.lit("漢 字 ab cd"), "lang", F.lit(" "))).alias("x"))
+    x = tx.without_blanks(F.concat(F.lit("漢 字  "), "text", F.lit(" 漢 ")))
+    return table(spark, sf, "documents").select("doc_id", F.md5(x.cast("binary")).alias("x"))
 
 
-@query("x13_normalised", "SELECT doc_id, ['<|a|> ' || lang] AS marked, ['漢字平方。'] AS zh FROM documents")
+@query("x13_normalised")
 def _(spark, sf):
+    # Pieces of whole texts as they are, of marked-up ones, and by the Chinese rules.
     d = table(spark, sf, "documents")
-    return d.select("doc_id", tx.normalised(F.concat(F.lit("<|a|> "), "lang")).alias("marked"), tx.normalised(F.lit("漢 字（²），"), zh=True).alias("zh"))
+    raised = F.concat(F.lit("漢 字（²），"), F.translate("text", ".", "。"))
+    return d.select("doc_id", tx.normalised(F.col("text")).alias("plain"), tx.normalised(F.concat(F.lit("<|a|> "), "text")).alias("marked"), tx.normalised(raised, zh=True).alias("zh"))
 
 
 @query("x14_encoded", f"SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> ''), lambda w: CASE WHEN w = 'the' THEN 50000 ELSE {hash32_sql('w')} % 50000 END) AS ids FROM documents")

@@ -4,20 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomspark.functions import text as tx
 from loomspark.functions import tokens as tk
 from loomspark.operators.batching import padded
 from loomspark.queries.joins import series
 from loomspark.registry import query
 from loomspark.runtime import hash32_sql, table
 
-IDS = "SELECT doc_id, list_transform(range(1, 1 + n_chars % 40), lambda i: (doc_id * 7 + i * 13) % 6000) AS ids FROM documents"
+#: Ids of all words of each whole text, by the hashed word tokenizer.
+IDS = f"SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> ''), lambda w: {hash32_sql('w')} % 6000) AS ids FROM documents"
 
 
 def ids(spark, sf):
-    d = table(spark, sf, "documents")
-    n = (F.col("n_chars") % 40).cast("int")
-    seq = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return d.select("doc_id", F.transform(seq, lambda i: (F.col("doc_id") * 7 + i * 13) % 6000).alias("ids"))
+    return table(spark, sf, "documents").select("doc_id", tx.encoded(F.col("text"), size=6000).alias("ids"))
 
 
 @query("p09_inference_layers", f"""SELECT doc_id, [list_concat([152000 + 0 * 6625 + 6563], list_transform(range(0, n), lambda i: 152000 + 6562), [152000 + 6561, 152000 + 6564]),
@@ -64,13 +63,12 @@ def _(spark, sf):
     return ids(spark, sf).select("doc_id", tk.ungrouped(tk.grouped_layers(F.col("ids"), 3, 1), 1).alias("ids"))
 
 
-G8 = "SELECT doc_id, list_transform(range(0, 8 * (n_chars % 5)), lambda i: (doc_id + i * 3) % 4096) AS ids FROM documents"
+G8 = f"SELECT doc_id, list_transform(ids[1:len(ids) // 8 * 8], lambda x: x % 4096) AS ids FROM ({IDS})"
 
 
 def groups8(spark, sf):
-    n = (F.col("n_chars") % 5).cast("int") * 8
-    seq = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return table(spark, sf, "documents").select("doc_id", F.transform(seq, lambda i: (F.col("doc_id") + i * 3) % 4096).alias("ids"))
+    whole = F.slice("ids", F.lit(1), (F.floor(F.size("ids") / 8) * 8).cast("int"))
+    return ids(spark, sf).select("doc_id", F.transform(whole, lambda x: x % 4096).alias("ids"))
 
 
 @query("x22_delayed_layers", "SELECT doc_id, [" + ", ".join(f"list_concat(list_transform(range(0, {l}), lambda i: 4097), list_filter(ids, lambda x, i: (i - 1) % 8 = {l}), [4096], list_transform(range(0, {7 - l}), lambda i: 4097))" for l in range(1, 8)) + f"] AS layers FROM ({G8})")
@@ -93,7 +91,7 @@ def text_speech(spark, sf):
 
 
 @query("x24_interleaved", f"""WITH x AS ({TS}), p AS (
- SELECT doc_id, (i - 1) // 3 AS turn, 0 AS kind, i, t[i] AS v FROM x, unnest(range(1, len(t) + 1)) u(i) UNION ALL SELECT doc_id, (i - 1) // 6, 1, i, s[i] FROM x, unnest(range(1, len(s) + 1)) u(i))
+ SELECT doc_id, (i - 1) // 3 AS turn, 0 AS kind, i, v FROM (SELECT doc_id, unnest(t) AS v, generate_subscripts(t, 1) AS i FROM x) UNION ALL SELECT doc_id, (i - 1) // 6, 1, i, v FROM (SELECT doc_id, unnest(s) AS v, generate_subscripts(s, 1) AS i FROM x))
 SELECT doc_id, list(v ORDER BY turn, kind, i) AS ids, list(kind = 0 ORDER BY turn, kind, i) AS is_text FROM p GROUP BY doc_id""")
 def _(spark, sf):
     x = text_speech(spark, sf).select("doc_id", tk.interleaved(F.col("t"), F.col("s"), 3, 6).alias("x")).filter(F.size("x") > 0)
@@ -159,6 +157,6 @@ def _(spark, sf):
     return e.withColumn("back", tk.trimmed(F.col("out"), 3, 2))
 
 
-@query("x43_padded_window", f"SELECT doc_id, list_concat(ids, list_transform(range(0, 40 - len(ids)), lambda i: 0)) AS ids FROM ({IDS})")
+@query("x43_padded_window", f"SELECT doc_id, list_concat(ids[1:40], list_transform(range(0, 40 - len(ids)), lambda i: 0)) AS ids FROM ({IDS})")
 def _(spark, sf):
     return ids(spark, sf).select("doc_id", padded(F.col("ids"), 40, F.lit(0).cast("long")).alias("ids"))

@@ -101,16 +101,16 @@ def _(spark, sf):
     return qz.winners(e, "user_id", "round_no", F.col("k") % 3 > 0, hash32(F.lit(9), "candidate")).select("user_id", "round_no", "candidate")
 
 
-@query("x30_unit_vectors", "SELECT vec_id, list_transform(v, lambda x: round(x / sqrt(list_sum(list_transform(v, lambda y: y * y))), 6)) AS v FROM (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS v FROM embeddings)")
+@query("x30_unit_vectors", "SELECT vec_id, i - 1 AS i, v[i] / sqrt(n) AS v FROM (SELECT vec_id, v, list_sum(list_transform(v, lambda y: y * y)) AS n FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)), unnest(range(1, len(v) + 1)) t(i)")
 def _(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", F.transform(sc.unit(F.slice("embedding", 1, 8)), lambda x: F.round(x, 6)).alias("v"))
+    return table(spark, sf, "embeddings").select("vec_id", F.posexplode(sc.unit(F.col("embedding"))).alias("i", "v")).withColumn("i", F.col("i").cast("long"))
 
 
-@query("x32_penalised_softmax", """SELECT vec_id, list_transform(e, lambda x: round(x / list_sum(e), 6)) AS p FROM (SELECT vec_id, list_transform(l, lambda x: exp(x / 0.7)) AS e FROM (SELECT vec_id, list_transform(embedding[1:8], lambda x, i: CASE WHEN i IN (1, 4) THEN CASE WHEN x < 0 THEN x::DOUBLE * 1.3 ELSE x::DOUBLE / 1.3 END ELSE x::DOUBLE END) AS l FROM embeddings))""")
+@query("x32_penalised_softmax", """SELECT vec_id, i - 1 AS i, e[i] / n AS p FROM (SELECT vec_id, e, list_sum(e) AS n FROM (SELECT vec_id, list_transform(l, lambda x: exp(x / 0.7)) AS e FROM (SELECT vec_id, list_transform(embedding, lambda x, i: CASE WHEN i IN (1, 4) THEN CASE WHEN x < 0 THEN x::DOUBLE * 1.3 ELSE x::DOUBLE / 1.3 END ELSE x::DOUBLE END) AS l FROM embeddings))), unnest(range(1, len(e) + 1)) t(i)""")
 def _(spark, sf):
-    x = F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double"))
+    x = F.transform("embedding", lambda v: v.cast("double"))
     seen = F.array(F.lit(0).cast("long"), F.lit(3).cast("long"))
-    return table(spark, sf, "embeddings").select("vec_id", F.transform(sc.softmax(sc.repetition_penalty(x, seen, 1.3), 0.7), lambda v: F.round(v, 6)).alias("p"))
+    return table(spark, sf, "embeddings").select("vec_id", F.posexplode(sc.softmax(sc.repetition_penalty(x, seen, 1.3), 0.7)).alias("i", "p")).withColumn("i", F.col("i").cast("long"))
 
 
 @query("x33_peaks", """SELECT vec_id, list_transform(x, lambda v: round(CASE WHEN m > 1 THEN v / m ELSE v END, 6)) AS peak, list_transform(x, lambda v: round(greatest(-0.99, least(0.99, v)), 6)) AS held FROM

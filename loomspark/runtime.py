@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges that row_index numbers by themselves.
+MOST_RANGES = 10_000
+
+
 def work_dir(spark: SparkSession, what: str) -> str:
     """A new folder below spark.checkpoint.dir, or below the warehouse where that is unset."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
@@ -29,15 +34,30 @@ def hash32_sql(*parts: str) -> str:
     return f"('0x' || substr(md5(concat_ws(':', {', '.join(f'({p})::VARCHAR' for p in parts)})), 1, 8))::BIGINT"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once: what a lambda only names would be worked out anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def row_index(df: DataFrame, key: str, name: str = "row", width: int = 100_000) -> DataFrame:
     """df with the row number (from 0) in the order of a unique integer key.
 
-    Rows are numbered inside ranges of `width` keys, and each range starts at the number of rows in
-    the ranges before it; only the ranges' counts are brought into one order.
+    Rows are numbered inside ranges of about `width` rows, cut at quantiles of the key however it is
+    spread, and each range starts at the number of rows in the ranges before it; only the ranges'
+    counts, at most MOST_RANGES, are brought into one order.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(key) / width))
+    from pyspark.ml.feature import Bucketizer
+
+    at = df.select(F.col(key).cast("double").alias("_at"))
+    k = min(MOST_RANGES, df.select(key).count() // width + 1)
+    borders = sorted(set(at.approxQuantile("_at", [i / k for i in range(1, k)], 0.25 / k))) if k > 1 else []
+    ranged = df.withColumn("_at", F.col(key).cast("double"))
+    if borders:
+        ranged = Bucketizer(splits=[float("-inf"), *borders, float("inf")], inputCol="_at", outputCol="_range").transform(ranged)
+    else:
+        ranged = ranged.withColumn("_range", F.lit(0.0))
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
-    return ranged.withColumn("_inside", inside).join(starts, "_range").withColumn(name, (F.col("_start") + F.col("_inside")).cast("long")).drop("_range", "_inside", "_start")
+    return ranged.withColumn("_inside", inside).join(starts, "_range").withColumn(name, (F.col("_start") + F.col("_inside")).cast("long")).drop("_range", "_at", "_inside", "_start")

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -170,8 +170,28 @@ def stream(rows: DataFrame, processor: Folded) -> DataFrame:
     return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.output, outputMode="Append", timeMode="None")
 
 
+def hop_windows(rows: DataFrame, hop: int, overlap: int) -> DataFrame:
+    """The rows of HopWindows with a fixed hop, by built-in operators: a token goes to each chunk that holds its place, so no key is held whole."""
+    w = Window.partitionBy("key").orderBy("seq")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("_n"), F.bool_or("last").alias("_ended"))
+    sizes = sizes.withColumn("_full", F.greatest(F.lit(0).cast("long"), F.floor((F.col("_n") - overlap - hop) / hop) + 1))
+    placed = rows.withColumn("_i", F.row_number().over(w) - 1).select("key", "token", "_i").join(sizes, "key")
+    lo = F.greatest(F.lit(0).cast("long"), F.floor((F.col("_i") - hop - overlap) / hop) + 1)
+    hi = F.least(F.floor(F.col("_i") / hop), F.col("_full") - 1)
+    none = F.array().cast("array<bigint>")
+    own = F.concat(F.when(hi >= lo, F.sequence(lo, hi)).otherwise(none), F.when(F.col("_ended") & (F.col("_i") >= F.col("_full") * hop), F.array("_full")).otherwise(none))
+    dealt = placed.select("key", "token", "_i", "_full", F.explode(own).alias("chunk"))
+    out = dealt.groupBy("key", "chunk", "_full").agg(F.array_sort(F.collect_list(F.struct("_i", F.col("token").cast("long").alias("token")))).alias("t"))
+    out = out.select("key", "chunk", F.transform("t", lambda x: x["token"]).alias("tokens"), (F.col("chunk") == F.col("_full")).alias("final"))
+    # A rest without tokens still ends its key.
+    bare = sizes.filter(F.col("_ended") & (F.col("_n") == F.col("_full") * hop)).select("key", F.col("_full").alias("chunk"), none.alias("tokens"), F.lit(True).alias("final"))
+    return out.unionByName(bare)
+
+
 def batch(rows: DataFrame, processor: Folded) -> DataFrame:
     """The same rows of a finished table."""
+    if isinstance(processor, HopWindows) and processor.scale == 1:
+        return hop_windows(rows, processor.hop, processor.overlap)
     names = [f.split(" ")[0] for f in processor.output.split(", ")]
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
@@ -187,18 +207,18 @@ def batch(rows: DataFrame, processor: Folded) -> DataFrame:
 
 
 def streamed(rows: DataFrame, processor: Folded, work: str) -> DataFrame:
-    """rows (key, seq, token, ..., last) through a file source, in two micro-batches by seq, and the sink's rows."""
+    """rows (key, seq, token, ..., last) through a file source, in two runs of the query by seq that share its checkpoint, and the sink's rows."""
     spark = rows.sparkSession
     middle = rows.groupBy("key").agg(F.floor(F.avg("seq")).alias("_middle"))
     halved = rows.join(middle, "key")
-    for k, part in enumerate((halved.filter("seq <= _middle"), halved.filter("seq > _middle"))):
-        part.drop("_middle").coalesce(1).write.mode("append").parquet(f"{work}/source")
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     try:
-        read = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/source")
-        q = stream(read, processor).writeStream.format("parquet").option("path", f"{work}/sink").option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start()
-        q.awaitTermination()
+        for part in (halved.filter("seq <= _middle"), halved.filter("seq > _middle")):
+            part.drop("_middle").write.mode("append").parquet(f"{work}/source")
+            read = spark.readStream.schema(rows.schema).parquet(f"{work}/source")
+            q = stream(read, processor).writeStream.format("parquet").option("path", f"{work}/sink").option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start()
+            q.awaitTermination()
     finally:
         if old is None:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")

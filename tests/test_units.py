@@ -70,9 +70,10 @@ def test_dynamic_batches(spark):
     assert sum(x["c"] for x in sizes) == 400 and all(x["m"] * x["c"] <= 100 or x["c"] == 1 for x in sizes)
 
 
-def test_row_index(spark):
-    keys = random.Random(4).sample(range(10**6), 500)
-    got = row_index(spark.createDataFrame([(k,) for k in keys], "id long"), "id", "row", 1000).collect()
+@pytest.mark.parametrize("width", [1000, 30, 1])
+def test_row_index(spark, width):
+    keys = random.Random(4).sample(range(10**6), 480) + [2**40 + i for i in range(19)] + [2**62]
+    got = row_index(spark.createDataFrame([(k,) for k in keys], "id long"), "id", "row", width).collect()
     assert {r["id"]: r["row"] for r in got} == {k: i for i, k in enumerate(sorted(keys))}
 
 
