@@ -10,12 +10,12 @@ from loomspark.runtime import hash32, hash32_sql, table
 from loomspark.sources import files
 
 #: All events are dealt to the runs.
-RUN_SQL = "SELECT user_id AS key, event_id AS pos, length(event_type) + event_id // 6 % 3 AS tok FROM events WHERE event_id % 3 = {}"
+RUN_SQL = "SELECT user_id AS key, event_id AS pos, length(event_type) + event_id % 4 AS tok FROM events WHERE event_id % 3 = {}"
 
 
 def _run(spark, sf, k, runs=3):
     e = table(spark, sf, "events").filter(F.col("event_id") % runs == k)
-    return e.select(F.col("user_id").alias("key"), F.col("event_id").alias("pos"), (F.length("event_type") + F.expr("event_id div 6") % 3).alias("tok"))
+    return e.select(F.col("user_id").alias("key"), F.col("event_id").alias("pos"), (F.length("event_type") + F.col("event_id") % (runs + 1)).alias("tok"))
 
 
 @query("j01_common_runs", "SELECT a.conv_id AS key, a.text AS a, d.lang AS b, l.toxic AS c FROM conversations a JOIN documents d ON d.doc_id = a.conv_id JOIN labels l ON l.doc_id = a.conv_id WHERE a.turn = 0")

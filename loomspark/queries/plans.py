@@ -35,7 +35,7 @@ def _(spark, sf):
 
 
 def _runs(k):
-    return f"SELECT user_id AS key, event_id AS pos, length(event_type) + event_id // 6 % 3 AS token, event_id % (SELECT count(*) FROM embeddings) AS vec_id FROM events WHERE event_id % 3 = {k}"
+    return f"SELECT user_id AS key, event_id AS pos, length(event_type) + event_id % 4 AS token, event_id % (SELECT count(*) FROM embeddings) AS vec_id FROM events WHERE event_id % 3 = {k}"
 
 
 @query("plan_run_comparison", f"""WITH {", ".join(f"{n} AS (SELECT *, row_number() OVER (PARTITION BY key, token ORDER BY pos) AS k FROM ({_runs(i)}))" for i, n in enumerate("abc"))},
@@ -47,7 +47,7 @@ def _(spark, sf):
     e = table(spark, sf, "events").withColumn("vec_id", F.col("event_id") % table(spark, sf, "embeddings").count())
     layers = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda l: F.slice("embedding", l * 16 + 1, F.lit(16)))
     e = e.join(table(spark, sf, "embeddings").select("vec_id", layers.alias("layers")), "vec_id")
-    run = lambda k: e.filter(F.col("event_id") % 3 == k).select(F.col("user_id").alias("key"), F.col("event_id").alias("pos"), (F.length("event_type") + F.expr("event_id div 6") % 3).alias("token"), "layers")
+    run = lambda k: e.filter(F.col("event_id") % 3 == k).select(F.col("user_id").alias("key"), F.col("event_id").alias("pos"), (F.length("event_type") + F.col("event_id") % 4).alias("token"), "layers")
     out = run_comparison.compare(run(0), run(1), run(2))
     return out.select("pair", F.col("layer").cast("long").alias("layer"), *[F.round(c, 5).alias(c) for c in ("mean", "std", "ci95")], "n")
 
