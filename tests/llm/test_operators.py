@@ -441,6 +441,56 @@ def test_secrets(spark, docs):
     assert len(secret_scan.secrets_digest(spark, docs).collect()) == docs.count()
 
 
+def test_all_spans_are_those_of_a_plain_version(spark):
+    llr, threshold = secret_scan.fit(spark.createDataFrame([(i, f"plain words about {w} and their names") for i, w in enumerate(secret_scan.PARTS)], "doc_id long, text string"))
+    k, at = len(secret_scan.ALPHABET), secret_scan.ALPHABET.index
+
+    def spans(x):
+        out = _base(x)
+        for m in re.finditer(secret_scan.TOKEN, x):
+            t = m[0]
+            if sum(llr[at(a) * k + at(b)] for a, b in zip(t, t[1:])) / (len(t) - 1) >= threshold:
+                out.append((m.start(), 3, m.end()))
+        return sorted(out)
+
+    r = random.Random(15)
+    said = lambda n: "".join(r.choice(secret_scan.ALPHABET[:64]) for _ in range(n))
+    plain = lambda: "_".join(r.sample(secret_scan.PARTS, 4)) + f"_{r.randrange(2000)}"
+    texts = [" ".join(r.choice([plain(), said(r.randint(18, 40)), "token=" + said(30), "AKIA" + "Z9" * 9, "é", "0f" * 13, "word", "🙂"]) for _ in range(r.randint(0, 200))) for _ in range(60)]
+    d = spark.createDataFrame([(i, t, None, "mine") for i, t in enumerate(texts)], "doc_id long, text string, secret_spans string, _secret_merged string")
+    found = {x["doc_id"]: x for x in secret_scan.scan(d, llr, threshold=threshold, to="spans").collect()}
+    assert any(s[1] == 3 for t in texts for s in spans(t))
+    for i, t in enumerate(texts):
+        assert [tuple(s) for s in found[i]["spans"]] == spans(t)
+        assert (found[i]["secret_spans"], found[i]["_secret_merged"]) == (None, "mine")
+    masked = {x["doc_id"]: x["text"] for x in secret_scan.redact(secret_scan.scan(d, llr, threshold=threshold)).collect()}
+    for i, t in enumerate(texts):
+        out, at_ = [], 0
+        runs = []
+        for a, _, b in spans(t):
+            if runs and a <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], b)
+            else:
+                runs.append([a, b])
+        for a, b in runs:
+            out.append(t[at_:a] + "[secret]")
+            at_ = b
+        assert masked[i] == "".join(out) + t[at_:]
+
+
+def test_long_tokens_and_many_matches_take_seconds(spark):
+    import time
+
+    r = random.Random(16)
+    texts = ["".join(r.choice(secret_scan.ALPHABET[:62]) for _ in range(1_000_000)), " ".join(f"{i:032x}" for i in range(40_000))]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    llr, threshold = secret_scan.fit(d.limit(0))
+    began = time.time()
+    got = {x["doc_id"]: x["text"] for x in secret_scan.redact(secret_scan.scan(d, llr, threshold=threshold)).collect()}
+    assert got[1] == " ".join(["[secret]"] * 40_000) and got[0].startswith("[secret]") and len(got[0]) < 100
+    assert time.time() - began < 60
+
+
 def test_masking_cuts_the_spans_and_nothing_else(spark):
     llr = secret_scan.train(secret_scan.labelled_samples(spark))
     texts = ["no secret here", None, "é token = abcdef1234567890abcdef12 end", "AKIA" + "Q" * 20 + " and " + "0f" * 20]
