@@ -10,21 +10,26 @@ Retrieval is block-max pruned, over many passages at once. Common terms whose we
 reach any cutoff are left out of the first step (their sum only lowers the cutoffs); bounds of
 blocks of items are added up from the blocks' largest weights, and items of blocks whose bound
 reaches 1 (weights are in units of the cutoff) are scored exactly. Retrieved items are then verified by shared five-word
-runs of the passage with the item's question and answer together (SIMILARITY of all runs at least,
-and at least one of each). Items come as question and answer, or as one text, whose last quarter
-of words then counts as the answer.
+runs of the passage with the item's question and answer together (SIMILARITY of all runs at least),
+and by the question and the answer each: one of its runs at least, or all its words in a row if they
+are fewer than five. Items come as question and answer, or as one text, whose last quarter of words
+then counts as the answer.
 
-The items are split into shards of at most SHARD_WORDS words by item_id; each shard's index is
-broadcast by itself, and texts are read by themselves, without a shuffle of texts.
+The items are cut into shards of at most SHARD_WORDS words; each shard is broadcast by itself, a worker
+builds its index once, and texts are read by themselves, without a shuffle of texts.
 
 Defined results: null texts are empty; an item with fewer than five words is one run of all of
-them; one without words is never found; repeated item_ids each count; null item_ids are dropped;
-without items nothing is contaminated; other columns pass through untouched.
+them; one without words is never found, nor is an empty question or answer asked for; rows that repeat
+an item_id are items of their own, listed once each; null item_ids are dropped; repeated rows of texts
+each get their own result; of passages with equal shares the first is named; without items nothing is
+contaminated; other columns pass through untouched, but one named like the added one is replaced, so a
+caller can name that; a very long text is one chunk and is held by one task.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -40,9 +45,12 @@ K1, B = 1.2, 0.75
 SPAN = 3
 BLOCK = 16
 SHARD_WORDS = 2_000_000
+#: Indexes that a worker keeps; a job over more shards builds them in turn.
+KEPT = 4
 
 
 def _runs(h: np.ndarray, n: int = GRAM) -> list[tuple[int, ...]]:
+    """Runs of n words; of fewer words, all of them."""
     h = h.tolist()
     return [tuple(h[i : i + n]) for i in range(max(1, len(h) - n + 1))] if h else []
 
@@ -101,7 +109,18 @@ class Index:
         self.block = np.array([b for _, b in keys], np.int64)
         self.most = np.array([best[k] for k in keys])
         self.ptr = np.searchsorted(np.array([k for k, _ in keys], np.int64), np.arange(len(self.terms) + 1))
-        self.runs = [(set(_runs(np.concatenate([q, a]))), set(_runs(q)), set(_runs(a))) for _, q, a in self.items]
+        self.runs = [(set(_runs(np.concatenate([q, a]))), [(min(len(x), GRAM), set(_runs(x))) for x in (q, a) if len(x)]) for _, q, a in self.items]
+
+    _held: dict[str, "Index"] = {}
+
+    @classmethod
+    def load(cls, name: str, items) -> "Index":
+        """A shard's index, built once by a worker; items() gives the shard."""
+        if name not in cls._held:
+            while len(cls._held) >= KEPT:
+                del cls._held[next(iter(cls._held))]
+            cls._held[name] = cls(items())
+        return cls._held[name]
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each word among the rare terms, or -1."""
@@ -111,7 +130,7 @@ class Index:
         return np.where(self.terms[at] == hashes, at, -1)
 
     def search(self, w) -> Iterator[tuple[int, int, float, float, int, int]]:
-        """(document's position, item_id, shared share of the runs, BM25 score in cutoffs, first and last word) of each verified item of each passage."""
+        """(document's position, item's position, shared share of the runs, BM25 score in cutoffs, first and last word) of each verified item of each passage."""
         stride = max(1, self.longest * SPAN // 2)
         term = self.lookup(w.hashes)
         hit = np.flatnonzero(term >= 0)
@@ -139,19 +158,21 @@ class Index:
             hi = min(lo + 2 * stride, int(w.ptr[d + 1]))
             own = w.hashes[lo:hi]
             have = set(own.tolist())
-            runs = None
+            runs: dict[int, set] = {}
+
+            def said(n: int) -> set:
+                if n not in runs:
+                    runs[n] = set(_runs(own, n)) if len(own) >= n else set()
+                return runs[n]
+
             for i in range(b * BLOCK, min((b + 1) * BLOCK, len(self.items))):
                 score = sum(v for t, v in self.full[i].items() if t in have)
                 if score < 1 - 1e-9:
                     continue
-                m = len(self.items[i][1]) + len(self.items[i][2])
-                runs = set(_runs(own)) if runs is None else runs
-                mine = runs if m >= GRAM else {r for j in range(len(own) - m + 1) for r in [tuple(own[j : j + m].tolist())]}
-                every, q, a = self.runs[i]
-                share = len(every & mine) / len(every)
-                parts = [x for x in (q, a) if x and len(next(iter(x))) == GRAM]
-                if share >= SIMILARITY - 1e-9 and all(x & mine for x in parts):
-                    yield d, self.items[i][0], share, score, lo - int(w.ptr[d]), hi - int(w.ptr[d])
+                every, parts = self.runs[i]
+                share = len(every & said(min(GRAM, len(self.items[i][1]) + len(self.items[i][2])))) / len(every)
+                if share >= SIMILARITY - 1e-9 and all(x & said(n) for n, x in parts):
+                    yield d, i, share, score, lo - int(w.ptr[d]), hi - int(w.ptr[d])
 
 
 def split_items(items: DataFrame) -> DataFrame:
@@ -182,30 +203,30 @@ def shards(items: DataFrame, most: int = SHARD_WORDS) -> Iterator[list[tuple[int
         yield rows
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs with leaked_items: array of (item_id, share, score, first_word, last_word), the best passage of each found item, by item_id."""
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("score", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
+_KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("score", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
+
+
+def leaks(docs: DataFrame, items: DataFrame, to: str = "leaked_items") -> DataFrame:
+    """docs with leaked_items: array of (item_id, share, score, first_word, last_word), the best passage of each found item, by item_id and then place."""
     ddl = "array<struct<item_id:long,share:double,score:double,first_word:long,last_word:long>>"
-    out = docs.withColumn("leaked_items", F.array().cast(ddl))
+    out = docs.withColumn(to, F.array().cast(ddl))
     for shard in shards(items):
-        out = _against(out, shard, kind)
+        out = _against(out, shard, to)
     return out
 
 
-def _against(docs: DataFrame, shard: list[tuple[int, str, str]], kind: pa.DataType) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(shard)
-    built: list[Index] = []
+def _against(docs: DataFrame, shard: list[tuple[int, str, str]], to: str) -> DataFrame:
+    shared, name = docs.sparkSession.sparkContext.broadcast(shard), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not built:
-            built.append(Index(shared.value))
+        index = Index.load(name, lambda: shared.value)
         for b in chunks(batches):
             found: list[dict] = [{} for _ in range(b.num_rows)]
-            for d, item, share, score, lo, hi in built[0].search(folded_words(b.column("text"))):
-                if share > found[d].get(item, {"share": 0})["share"]:
-                    found[d][item] = {"item_id": item, "share": share, "score": score, "first_word": lo, "last_word": hi}
-            old = b.column("leaked_items").to_pylist()
-            rows = [sorted(o + list(f.values()), key=lambda x: x["item_id"]) for o, f in zip(old, found)]
-            yield pa.RecordBatch.from_arrays([c if n != "leaked_items" else pa.array(rows, kind) for n, c in zip(b.schema.names, b.columns)], names=b.schema.names)
+            for d, i, share, score, lo, hi in index.search(folded_words(b.column("text"))):
+                if share > found[d].get(i, {"share": 0})["share"]:
+                    found[d][i] = {"item_id": index.items[i][0], "share": share, "score": score, "first_word": lo, "last_word": hi}
+            old = b.column(to).to_pylist()
+            rows = [sorted(o + list(f.values()), key=lambda x: (x["item_id"], x["first_word"])) for o, f in zip(old, found)]
+            yield pa.RecordBatch.from_arrays([c if n != to else pa.array(rows, _KIND) for n, c in zip(b.schema.names, b.columns)], names=b.schema.names)
 
     return docs.mapInArrow(run, docs.schema)

@@ -80,7 +80,8 @@ def op4_exact_topk(spark, sf_dir):
 
 _FOLDED = r"regexp_extract_all(lower(coalesce(%s, '')), '[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+')"
 _RUNS = "SELECT DISTINCT {id}, array_to_string({w}[i:i + 4], ' ') AS g FROM {t}, unnest(range(1, len({w}) - 3)) u(i)"
-#: An item lies in a document if the document has four fifths of its five-word runs, some of its question and some of its answer among them.
+#: An item lies in a document if the document has four fifths of its five-word runs, and of its question and its answer one run each, or all words in a row if they are fewer than five.
+_PART = "(len({x}) = 0 OR CASE WHEN len({x}) < 5 THEN contains(' ' || array_to_string(d.ws, ' ') || ' ', ' ' || array_to_string({x}, ' ') || ' ') ELSE EXISTS (SELECT 1 FROM {r} r JOIN dr USING (g) WHERE r.item_id = m.item_id AND dr.doc_id = m.doc_id) END)"
 LEAKS_SQL = f"""
 WITH d AS (SELECT doc_id, {_FOLDED % 'text'} AS ws FROM documents), dr AS ({_RUNS.format(id='doc_id', w='ws', t='d')}),
 p AS (SELECT item_id, string_split_regex(text, '\\s+') AS s FROM benchmark),
@@ -89,9 +90,8 @@ w AS (SELECT item_id, list_concat(q, a) AS ws FROM b),
 e AS ({_RUNS.format(id='item_id', w='ws', t='w')}), qr AS ({_RUNS.format(id='item_id', w='q', t='b')}), ar AS ({_RUNS.format(id='item_id', w='a', t='b')}),
 n AS (SELECT item_id, count(*) AS n FROM e GROUP BY item_id),
 m AS (SELECT doc_id, item_id, count(*) AS c FROM dr JOIN e USING (g) GROUP BY doc_id, item_id),
-f AS (SELECT doc_id, item_id, c / n AS share FROM m JOIN n USING (item_id) WHERE c >= 0.8 * n - 1e-9
-  AND (item_id NOT IN (SELECT item_id FROM qr) OR EXISTS (SELECT 1 FROM qr JOIN dr USING (g) WHERE qr.item_id = m.item_id AND dr.doc_id = m.doc_id))
-  AND (item_id NOT IN (SELECT item_id FROM ar) OR EXISTS (SELECT 1 FROM ar JOIN dr USING (g) WHERE ar.item_id = m.item_id AND dr.doc_id = m.doc_id))),
+f AS (SELECT m.doc_id, m.item_id, c / n AS share FROM m JOIN n USING (item_id) JOIN b USING (item_id) JOIN d ON d.doc_id = m.doc_id
+  WHERE c >= 0.8 * n - 1e-9 AND {_PART.format(x='b.q', r='qr')} AND {_PART.format(x='b.a', r='ar')}),
 l AS (SELECT doc_id, list(item_id ORDER BY item_id) AS item_ids, list(share ORDER BY item_id) AS shares FROM f GROUP BY doc_id)
 SELECT doc_id, item_ids IS NOT NULL AS contaminated, coalesce(item_ids, []) AS item_ids, coalesce(shares, []) AS shares FROM documents LEFT JOIN l USING (doc_id)
 """

@@ -297,6 +297,21 @@ def test_leaks_with_edits_question_and_answer_and_shards(spark, monkeypatch):
     assert got == {i: [i] for i in range(20)} | {100 + i: [] for i in range(20)}
 
 
+def test_short_answers_are_verified_and_repeated_items_each_count(spark, monkeypatch):
+    r = random.Random(17)
+    said = lambda n: " ".join(f"w{r.randrange(900)}" for _ in range(n))
+    q = said(40)
+    items = [(1, q, "x y z"), (2, said(30), "seven"), (2, said(30), ""), (3, "so", "short"), (4, "", ""), (None, q, "x y z")]
+    texts = [(0, f"{said(20)} {q} {said(20)}"), (1, f"{said(20)} {q}, X y-z! {said(20)}"), (2, f"{q} z y x"), (3, items[1][1] + " seven " + items[2][1]), (4, items[1][1]), (5, "it is so short"), (6, "so very short"), (7, None)]
+    d = spark.createDataFrame([(i, t, "mine") for i, t in texts], "doc_id long, text string, leaked_items string")
+    b = spark.createDataFrame(items, "item_id long, question string, answer string")
+    for words in (2_000_000, 10):
+        monkeypatch.setattr(decontaminate, "SHARD_WORDS", words)
+        got = {x["doc_id"]: x for x in decontaminate.leaks(d, b, "found").collect()}
+        assert {i: [y["item_id"] for y in x["found"]] for i, x in got.items()} == {0: [], 1: [1], 2: [], 3: [2, 2], 4: [], 5: [3], 6: [], 7: []}
+        assert {x["leaked_items"] for x in got.values()} == {"mine"}
+
+
 def test_leaks_of_nothing(spark, empty, docs):
     b = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(empty, b).collect() == []
