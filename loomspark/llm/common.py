@@ -7,6 +7,7 @@ Two different words share a hash with a chance of about 2^-64.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Space, and tab to carriage return.
@@ -173,9 +175,24 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir; below the warehouse's where that is unset, as in tests."""
+    """A new folder below spark.checkpoint.dir; below the warehouse's where that is unset, as in tests. Its path names its file system."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    path = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return re.sub("^file:/+", "file:///", path)
+
+
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """A worker's file system for a path of Spark's, and the path in it."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

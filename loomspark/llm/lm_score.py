@@ -42,7 +42,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import chunks, mix, shared_dir, words
+from loomspark.llm.common import chunks, mix, opened, shared_dir, words
 
 RATIO = 1.5
 BITS, PROBES = 12, 4
@@ -229,8 +229,8 @@ def _flattened(spark: SparkSession, path: str, bits: int, orders: tuple[int, ...
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _ in batches:
-            files, top = fs.FileSystem.from_uri(path)
-            _, to = fs.FileSystem.from_uri(_flat(path))
+            files, top = opened(path)
+            _, to = opened(_flat(path))
             files.create_dir(to.rpartition("/")[0], recursive=True)
             temp, at, rows = f"{to}-{uuid.uuid4().hex}", 0, []
             with files.open_output_stream(temp) as out:
@@ -310,7 +310,7 @@ class Filter:
     def __init__(self, path: str, bits: int, segments: tuple[np.ndarray, np.ndarray]):
         self.shift = np.uint64(64 - bits)
         self.size, self.at = segments
-        files, flat = fs.FileSystem.from_uri(_flat(path))
+        files, flat = opened(_flat(path))
         if not self.size.any():
             self.raw = np.zeros(0, np.uint8)
         elif isinstance(files, fs.LocalFileSystem):

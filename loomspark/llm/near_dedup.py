@@ -31,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import _powers, checkpointed, chunks, folded_words, mix
+from loomspark.llm.common import _powers, checkpointed, chunks, folded_words, fresh, mix
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 26, 5
 WIDTH = BANDS * ROWS
 _MOST = 200_000
+#: A character of a word.
+WORD = r"[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]"
 #: Nodes and shingles of a block, and nodes and shingles that are multiplied at once, in comparing buckets as a whole.
 BLOCK, ITEMS, STRIP, _COLUMNS = 1024, 1_000_000, 256, 2048
 
@@ -106,7 +108,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, node, n, bands): a text's hash, its number of shingles and its buckets."""
+    """Rows (doc_id, mark, node, n, bands): a hash of the text as it is and one of its words, its number of shingles and its buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
@@ -115,9 +117,9 @@ def _signed(docs: DataFrame) -> DataFrame:
             keys = bands(signatures(doc, h, weight, b.num_rows)).view(np.int64)
             some = n > 0
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * keys.shape[1])]).astype(np.int32)), pa.array(keys[some].reshape(-1)))
-            yield pa.record_batch([b.column("doc_id"), pa.array(whole.view(np.int64), mask=~some), pa.array(n), lists], ["doc_id", "node", "n", "bands"])
+            yield pa.record_batch([b.column("doc_id"), b.column("mark"), pa.array(whole.view(np.int64), mask=~some), pa.array(n), lists], ["doc_id", "mark", "node", "n", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, node long, n long, bands array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -247,8 +249,8 @@ def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, least: float)
     return _verified(found, sets).filter(F.col("similarity") >= least).select("a", "b")
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Rows (doc_id, class_id) of every row of docs (doc_id, text)."""
+def _classed(docs: DataFrame, similarity: float) -> DataFrame:
+    """Rows (doc_id, mark, node, component, class_id) of every row of docs; the last two are null without words."""
     signed = checkpointed(_signed(docs))
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     dealt = nodes.select("node", "n", F.explode("bands").alias("bucket"))
@@ -277,5 +279,29 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         found = components(links.unionByName(rest))
     named = nodes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    of = named.join(names, "component").select("node", "class_id")
-    return signed.select("doc_id", "node").join(of, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    of = named.join(names, "component").select("node", "component", "class_id")
+    return signed.select("doc_id", "mark", "node").join(of, "node", "left")
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Rows (doc_id, class_id) of every row of docs (doc_id, text)."""
+    return _classed(docs, similarity).select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+
+
+def firsts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each class, as it is: of the smallest doc_id (rows without one come last), then of the smallest hash of the text, then of all columns. Rows without words all stay."""
+    rows = _classed(docs, similarity).filter("component is not null")
+    # Equal rows are counted before a class is gathered.
+    counted = rows.groupBy("component", "doc_id", "mark").agg(F.count("*").alias("n"))
+    best = counted.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "n")).alias("w"))
+    mark, n, at = (fresh(docs, x) for x in ("_mark", "_rows", "_at"))
+    best = checkpointed(best.select(F.col("w.doc_id").alias(at), F.col("w.mark").alias(mark), F.col("w.n").alias(n)))
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    bare = docs.filter(~worded)
+    kept = docs.filter(worded).join(best, F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & (F.xxhash64("text") == F.col(mark)))
+    once = kept.filter(F.col(n) == 1).select(*docs.columns)
+    if best.filter(F.col(n) > 1).limit(1).count():
+        whole = F.struct(*docs.columns)
+        more = kept.filter(F.col(n) > 1).groupBy(at, mark).agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("row"))
+        once = once.unionByName(more.select("row.*"))
+    return once.unionByName(bare)

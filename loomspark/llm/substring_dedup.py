@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import Words, _powers, chunks, mix, ragged, shared_dir, words
+from loomspark.llm.common import Words, _powers, chunks, mix, opened, ragged, shared_dir, words
 from loomspark.llm.fm_index import FMIndex
 
 WINDOW, GRAM = 50, 10
@@ -128,7 +128,7 @@ class _Filter:
         return cls._held[path]
 
     def __init__(self, path: str):
-        files, top = fs.FileSystem.from_uri(path)
+        files, top = opened(path)
         self.parts: dict[int, tuple[int, np.ndarray]] = {}
         for f in files.get_file_info(fs.FileSelector(top)):
             if f.path.endswith(".parquet"):

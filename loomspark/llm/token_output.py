@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import Memo, byte_sizes, chunks, hashed, not_single_spaced, ragged, words
+from loomspark.llm.common import Memo, byte_sizes, chunks, hashed, not_single_spaced, opened, ragged, words
 
 LENGTH, BATCH = 1024, 256
 #: Entries that a worker's memo of encoded words may hold; it starts anew beyond.
@@ -189,7 +189,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0, le
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        files, top = fs.FileSystem.from_uri(path)
+        files, top = opened(path)
         files.create_dir(top, recursive=True)
         enc, writer, sink, index, at = Encoder.load(tokenizer, special_as_text), None, None, [], 0
         temp = f"{top}/_temporary-{part:06d}-{uuid.uuid4().hex}"
@@ -224,7 +224,7 @@ class SequenceFile:
     """Random access to one file: sequence i, or any range of the file's token stream."""
 
     def __init__(self, uri: str):
-        files, path = fs.FileSystem.from_uri(uri)
+        files, path = opened(uri)
         self._source = pa.memory_map(path) if isinstance(files, fs.LocalFileSystem) else files.open_input_file(path)
         self._file = pa.ipc.open_file(self._source)
         self.length = self._file.schema.field("ids").type.list_size
@@ -269,7 +269,7 @@ def read(spark, path: str, parts: list[dict]) -> DataFrame:
             for k in b.column("id").to_pylist():
                 part, base = before[k]
                 name = f"{path}/part-{part:06d}"
-                files, index = fs.FileSystem.from_uri(f"{name}.index.arrow")
+                files, index = opened(f"{name}.index.arrow")
                 seqs = SequenceFile(f"{name}.arrow")
                 with files.open_input_file(index) as f:
                     reader = pa.ipc.open_file(f)

@@ -6,6 +6,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
+from loomspark.llm import near_dedup  # noqa: E402
 from test_operators import PIECES, _multiset, _similar  # noqa: E402
 
 RUDE = ["grumbolt", "snarfle", "vexoid"]
@@ -88,3 +89,21 @@ def test_stages(spark, sf_dir):
     for r in got:
         assert r["ids"] == sp.encode(texts[r["doc_id"]]) and r["round_trip"]
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).collect()) == sorted(wants[-1])
+
+
+def test_stages_on_odd_tables(spark, sf_dir):
+    schema = "doc_id long, text string, secret_spans string, leaked_items string, node long, _mark string, component long, n_chars long"
+    said = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, said, "s", "l", 1, "m", 2, 5), (None, said, "s", "l", 1, "m", 2, 5), (7, said, "t", None, 1, "m", 2, 5), (7, said, "s", "l", 1, "m", 2, 5), (7, said, "s", "l", 1, "m", 2, 5)]
+    rows += [(None, None, None, None, None, None, None, None)] * 2 + [(None, "other words token=0123456789abcdef0123456789abcdef", "s", "l", 1, "m", 2, 50), (9, "", "s", "l", 1, "m", 2, 0), (9, " .", "s", "l", 1, "m", 2, 2), (None, f"{said} more", "s", "l", 1, "m", 2, 5)]
+    docs = spark.createDataFrame(rows, schema)
+    kept = near_dedup.firsts(docs).collect()
+    assert sorted(str(r["doc_id"]) + str(r["text"]) for r in kept) == sorted(["7" + said, "NoneNone", "NoneNone", "None" + rows[7][1], "9", "9 ."])
+    masked = corpus_pipeline.mask_secrets(spark, docs, sf_dir)
+    assert masked.columns == docs.columns
+    assert [(r["text"], r["secret_spans"], r["n_chars"]) for r in masked.collect() if r["text"] and "other" in r["text"]] == [("other words [secret]", "s", 20)]
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            out = stage(spark, table, sf_dir)
+            assert out.columns == table.columns and (out.count() > 0) == (table is docs), name
+        assert corpus_pipeline.encode(spark, table, sf_dir).count() == table.count()
