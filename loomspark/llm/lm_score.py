@@ -10,7 +10,7 @@ more than MAX_FILTER bytes in all, workers map those of single tokens only, and
 Scoring: the level of an n-gram is found by probing level after level until one is missing; a level
 stands for the mean of its counts. With c of the probed levels, P0(w) = (1 - u) c(w) / sum of c for
 known tokens and u, the share of training tokens seen once, for unknown ones; then
-P(w | h) = (c(h w) + PRIOR P0(w)) / (c(h) + PRIOR). The first token's h is the text's begin.
+P(w | h) = (c(h w) + PRIOR P0(w)) / (c(h) + PRIOR). The first token of a text has P0.
 
 Routed bigrams: the most frequent of each bucket, at most HEAVY in all, go to all workers with the levels that
 the filter gives them; the others are sent, with the levels of h and w, to the buckets that hold their
@@ -210,7 +210,6 @@ class Model:
 
     path: str
     bits: int
-    segments: tuple[np.ndarray, np.ndarray]  # by order and bucket: bits, and the first one's place in the flat file
     tokens: int
     distinct: int
     once: int
@@ -224,30 +223,34 @@ def _flat(path: str) -> str:
     return f"{path}-filter/bits"
 
 
-def _flattened(spark: SparkSession, path: str, bits: int, orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Copies all segments of the orders, a few at a time, into one file that workers can map; returns sizes and places."""
+def _flattened(spark: SparkSession, path: str, bits: int, orders: tuple[int, ...]) -> None:
+    """Copies all segments of the orders, a few at a time, into one file that workers can map, and their sizes and places into one beside it.
+
+    One task copies at most MAX_FILTER bytes, or the segments of single tokens of a larger filter, some
+    1.5 bytes a distinct token.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _ in batches:
             files, top = opened(path)
             _, to = opened(_flat(path))
             files.create_dir(to.rpartition("/")[0], recursive=True)
-            temp, at, rows = f"{to}-{uuid.uuid4().hex}", 0, []
+            temp, at, places = f"{to}-{uuid.uuid4().hex}", 0, np.zeros((2, 2, 1 << bits), np.uint64)
             with files.open_output_stream(temp) as out:
                 for k in orders:
                     for f in sorted(x.path for x in files.get_file_info(fs.FileSelector(f"{top}/gram={k}", allow_not_found=True)) if x.path.endswith(".parquet")):
                         for b in pq.ParquetFile(files.open_input_file(f)).iter_batches(8, columns=["bucket", "size", "segment"]):
                             for r in b.to_pylist():
                                 out.write(r["segment"])
-                                rows.append((k, r["bucket"], r["size"], at * 8))
+                                places[:, k - 1, r["bucket"]] = r["size"], at * 8
                                 at += len(r["segment"])
+            with files.open_output_stream(f"{temp}.places") as out:
+                out.write(places.tobytes())
+            files.move(f"{temp}.places", f"{to}.places")
             files.move(temp, to)
-            yield pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["gram", "bucket", "size", "at"])
+            yield pa.record_batch([pa.array([at], pa.int64())], ["bytes"])
 
-    size, at = np.zeros((2, 1 << bits), np.uint64), np.zeros((2, 1 << bits), np.uint64)
-    for r in spark.range(0, 1, 1, 1).mapInArrow(run, "gram long, bucket long, size long, at long").collect():
-        size[r["gram"] - 1, r["bucket"]], at[r["gram"] - 1, r["bucket"]] = r["size"], r["at"]
-    return size, at
+    spark.range(0, 1, 1, 1).mapInArrow(run, "bytes long").collect()
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:
@@ -264,11 +267,11 @@ def train(docs: DataFrame, max_filter: int = MAX_FILTER, heavy: int = HEAVY) ->
     made.write.partitionBy("gram").parquet(path)
     stored = _stored(spark, path)
     routed = (stored.agg(F.sum("size")).first()[0] or 0) > max_filter * 8
-    segments = _flattened(spark, path, bits, (1,) if routed else (1, 2))
+    _flattened(spark, path, bits, (1,) if routed else (1, 2))
     one = stored.filter("gram = 1")
     total = one.agg(*[F.sum(c).alias(c) for c in ("tokens", "distinct", "once", "quantised")]).first()
     if total["tokens"] is None:
-        return Model(path, bits, segments, 0, 0, 0, 0.0, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), True)
+        return Model(path, bits, 0, 0, 0, 0.0, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), True)
     spread = {r["q"]: r["n"] for r in one.select(F.posexplode("levels").alias("q", "n")).groupBy("q").agg(F.sum("n").alias("n")).collect()}
     least, held = _LEVELS, 0
     while least and held + spread.get(least - 1, 0) <= heavy:
@@ -292,7 +295,7 @@ def train(docs: DataFrame, max_filter: int = MAX_FILTER, heavy: int = HEAVY) ->
         h2, q2 = (np.concatenate([np.zeros(0, k), *(np.frombuffer(r[c], k) for r in rows2)]) for c, k in (("hashes", np.uint64), ("counts", np.int8)))
         order2 = np.argsort(h2)
         pairs = (h2[order2], q2[order2])
-    return Model(path, bits, segments, total["tokens"], total["distinct"], total["once"], total["quantised"], (h[order], n[order].astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.int64)), least == 0, pairs)
+    return Model(path, bits, total["tokens"], total["distinct"], total["once"], total["quantised"], (h[order], n[order].astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.int64)), least == 0, pairs)
 
 
 class Filter:
@@ -301,16 +304,17 @@ class Filter:
     _held: dict[str, "Filter"] = {}
 
     @classmethod
-    def load(cls, path: str, bits: int, segments: tuple[np.ndarray, np.ndarray]) -> "Filter":
+    def load(cls, path: str, bits: int) -> "Filter":
         if path not in cls._held:
             cls._held.clear()
-            cls._held[path] = cls(path, bits, segments)
+            cls._held[path] = cls(path, bits)
         return cls._held[path]
 
-    def __init__(self, path: str, bits: int, segments: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, path: str, bits: int):
         self.shift = np.uint64(64 - bits)
-        self.size, self.at = segments
         files, flat = opened(_flat(path))
+        # By order and bucket: bits, and the first one's place in the flat file.
+        self.size, self.at = np.frombuffer(files.open_input_file(f"{flat}.places").read(), np.uint64).reshape(2, 2, 1 << bits)
         if not self.size.any():
             self.raw = np.zeros(0, np.uint8)
         elif isinstance(files, fs.LocalFileSystem):
@@ -334,7 +338,7 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     path, bits, n_all, v_all = model.path, model.bits, model.tokens, model.distinct
     unseen = (model.once + 1) / (n_all + 2)
     mass = model.quantised
-    shared = spark.sparkContext.broadcast((model.heavy, model.segments, model.pairs))
+    shared = spark.sparkContext.broadcast((model.heavy, model.pairs))
     complete, routed = model.complete, model.pairs is not None
     low = math.log10(n_all + 0.1 * (v_all + 1)) if n_all else -1.0
     routes = bits if routed else max(1, bits - 3)
@@ -352,8 +356,8 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        (heavy, counts), segments, frequent = shared.value
-        known = Filter.load(path, bits, segments)
+        (heavy, counts), frequent = shared.value
+        known = Filter.load(path, bits)
         first = TaskContext.get().partitionId() << 40
         held: dict[int, list] = {1: [], 2: []}
         n_held = {1: 0, 2: 0}

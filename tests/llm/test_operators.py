@@ -337,6 +337,35 @@ def test_lm_base_scores_are_exact(docs, heavy):
     assert sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"])
 
 
+@pytest.mark.parametrize("most", [lm_score.MAX_FILTER, 1])
+def test_lm_scores_are_those_of_quantised_counts(docs, most):
+    held = toxicity.fold(F.col("doc_id"), 10) == 0
+    got = lm_score.score(docs, lm_score.train(docs.filter(~held), max_filter=most), held).collect()
+    fold = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 10 == 0
+    words = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").lower()) if w] + [None]
+    rows = [(r["doc_id"], words(r["text"])) for r in docs.collect()]
+    one, two = collections.Counter(), collections.Counter()
+    for d, w in rows:
+        if not fold(d):
+            one.update(w)
+            two.update(zip(["begin", *w], w))
+    stands = lambda n: float(lm_score._VALUE[lm_score.level(np.array([n]))[0]]) if n else 0.0
+    mass = sum(stands(n) for n in one.values())
+    unseen = (sum(n == 1 for n in one.values()) + 1) / (sum(one.values()) + 2)
+    base = lambda w: (1 - unseen) * stands(one[w]) / mass if one[w] else unseen
+
+    def chance(h, w):
+        c = stands(one[h])
+        return (min(stands(two[h, w]), c) + lm_score.PRIOR * base(w)) / (c + lm_score.PRIOR)
+
+    want = {}
+    for d, w in rows:
+        score = math.log10(base(w[0])) + sum(math.log10(chance(h, x)) for h, x in zip(w, w[1:]))
+        want.setdefault(d, []).append(score)
+    close = [min(abs(r["score"] - x) for x in want[r["doc_id"]]) <= 0.01 * abs(r["score"]) + 0.01 for r in got]
+    assert len(close) == len(rows) and sum(close) >= 0.97 * len(close)
+
+
 def test_lm_of_nothing(empty, docs):
     held = F.lit(True)
     model = lm_score.train(empty)
@@ -346,7 +375,7 @@ def test_lm_of_nothing(empty, docs):
 
 def test_filter_levels_never_fall_below_the_counts(docs):
     model = lm_score.train(docs)
-    f = lm_score.Filter.load(model.path, model.bits, model.segments)
+    f = lm_score.Filter.load(model.path, model.bits)
     h, n = model.heavy
     q = f.levels(h, 1)
     assert (q >= lm_score.level(n)).all() and (q == lm_score.level(n)).mean() > 0.97
