@@ -3,7 +3,9 @@
 Suffixes are sorted by their first `depth` symbols, which is all that patterns of up to that
 length need: the rows that begin with such a pattern are contiguous, and stepping backwards
 from them counts symbols of the transformed text only up to the pattern's own bounds. The
-wavelet matrix holds packed bits with a running count per 64 of them.
+wavelet matrix holds packed bits with a 32-bit running count per 64 of them: 1.5 bits a symbol
+and level. With the suffixes' places (32 bits) and common prefixes (16 bits), an index of n symbols of
+an alphabet of s takes about n (0.19 log2 s + 6) bytes; what sorting needs is dropped.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ class Bits:
         pad = np.zeros(-len(bits) % 64 + 64, bool)
         self.words = np.packbits(np.concatenate([bits, pad]), bitorder="little").view(np.uint64)
         counts = np.bitwise_count(self.words).astype(np.int64)
-        self.before = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        self.before = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int32)
         self.ones = int(counts.sum())
 
     def rank(self, i: np.ndarray) -> np.ndarray:
@@ -72,21 +74,20 @@ class FMIndex:
         self.alphabet, back = np.unique(joined[real], return_inverse=True)
         codes = np.zeros(len(joined), np.int64)  # 0 ends a text
         codes[real] = back + 1
-        self.codes = codes
         n = len(codes)
         shifted = lambda r, k: np.concatenate([r[k:], np.zeros(min(k, n), np.int64)])[:n]
-        self.powers, k, r = [(1, codes)], 1, codes
+        powers, k, r = [(1, codes)], 1, codes
         while 2 * k <= depth:
             r = _ranks(r, shifted(r, k))
             k *= 2
-            self.powers.append((k, r))
+            powers.append((k, r))
         full = _ranks(r, shifted(r, depth - k)) if depth > k else r
         self.sa = np.argsort(full, kind="stable")
         lcp = np.zeros(n + 1, np.int64)
         if n:
             a, b, same = self.sa[:-1].copy(), self.sa[1:].copy(), np.zeros(n - 1, np.int64)
-            for k, r in reversed(self.powers):
-                for _ in range(1 + (k == self.powers[-1][0])):
+            for k, r in reversed(powers):
+                for _ in range(1 + (k == powers[-1][0])):
                     on = (same + k <= depth) & (a < n) & (b < n)
                     on[on] = r[a[on]] == r[b[on]]
                     same += on * k
@@ -94,8 +95,9 @@ class FMIndex:
             equal = full[self.sa[:-1]] == full[self.sa[1:]]
             lcp[1:n] = np.where(equal, depth, np.minimum(same, depth - 1))
         lcp[0] = lcp[n] = -1
-        self.lcp = lcp  # of each row with the one before
+        self.lcp = lcp.astype(np.int16 if depth < 1 << 15 else np.int64)  # of each row with the one before
         last = codes[self.sa - 1] if n else codes
+        self.sa = self.sa.astype(np.int32)
         self.wavelet = Wavelet(last, len(self.alphabet))
         self.smaller = np.searchsorted(np.sort(codes), np.arange(len(self.alphabet) + 2))
         self._wide: np.ndarray | None = None

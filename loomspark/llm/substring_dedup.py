@@ -2,14 +2,15 @@
 
 1. Anchors: each window's anchor is its smallest hash of GRAM words. Equal windows have equal
    anchors, so a window whose anchor lies in one document only can't repeat. Anchors of several documents
-   are kept in a filter (false hits only cost work), in segments that workers read from the shared folder.
+   are kept in a filter of at most MAX_FILTER bytes (false hits only cost work: where it is full, more
+   windows that don't recur are looked up), in segments that workers read from the shared folder.
 2. Segments: runs of a document's windows with the same kept anchor, with all their words. Equal
-   segments become one before any is gathered. Segments go to shards by anchor, so all places of
-   a window meet in one shard. An anchor with more than HOT different segments is dealt anew by single
+   segments become one before any is gathered. Segments are ordered by anchor, so all places of
+   a window meet. An anchor whose different segments have more than SHARD words is dealt anew by single
    windows, as equal windows of equal hash became one and others need not meet.
-3. Each shard builds FM-indexes over at most SHARD words of whole anchors and streams its segments
-   backwards through them: matching statistics of WINDOW or more are the windows that recur, and the
-   rows of the match give the smallest doc_id that holds it.
+3. Anchors are streamed in order: an FM-index is built over at most SHARD words of whole anchors, and
+   their segments are read backwards through it: matching statistics of WINDOW or more are the windows
+   that recur, and the rows of the match give the smallest doc_id that holds it.
 4. Runs of windows with an earlier holder go back to their documents, and the words they cover are removed.
 
 Defined results: a null text has no words; a document with a null doc_id neither loses words nor
@@ -28,14 +29,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import Words, _powers, chunks, mix, opened, ragged, shared_dir, words
+from loomspark.llm.common import Words, _powers, checkpointed, chunks, mix, opened, ragged, shared_dir, words
 from loomspark.llm.fm_index import FMIndex
 
 WINDOW, GRAM = 50, 10
 SHARD = 400_000
 #: Windows of a segment.
 RUN = 256
-HOT = 20_000
 BITS, PROBES, MAX_FILTER = 12, 3, 128 << 20
 FILTER_PARTS = 64
 
@@ -132,8 +132,9 @@ class _Filter:
         self.parts: dict[int, tuple[int, np.ndarray]] = {}
         for f in files.get_file_info(fs.FileSelector(top)):
             if f.path.endswith(".parquet"):
-                for r in pq.read_table(files.open_input_file(f.path)).to_pylist():
-                    self.parts[r["part"]] = r["size"], np.frombuffer(r["segment"], np.uint8)
+                for b in pq.read_table(files.open_input_file(f.path)).to_batches():
+                    for part, size, raw in zip(b.column("part").to_pylist(), b.column("size").to_pylist(), b.column("segment")):
+                        self.parts[part] = size, np.frombuffer(raw.as_buffer(), np.uint8)
 
     def holds(self, h: np.ndarray) -> np.ndarray:
         out = np.zeros(len(h), bool)
@@ -148,7 +149,7 @@ class _Filter:
 
 
 def _segments(docs: DataFrame, path: str, window: int, texts: bool) -> DataFrame:
-    """Rows (anchor, segment, doc_id, whole, start) of all segments, with their words if texts."""
+    """Rows (anchor, segment, doc_id, whole, start, n) of all segments, n words each, with these if texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = _Filter.load(path)
@@ -169,15 +170,15 @@ def _segments(docs: DataFrame, path: str, window: int, texts: bool) -> DataFrame
             p, q = _powers(0x2545F4914F6CDD1D, len(w.hashes) + 1)
             s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hashes * p[: len(w.hashes)], dtype=np.uint64)])
             name = mix((s[hi] - s[lo]) * q[lo] + (hi - lo).astype(np.uint64), 23) ^ mix(anchor, 29)
-            columns = [pa.array(anchor.view(np.int64)), pa.array(name.view(np.int64)), b.column("doc_id").take(pa.array(doc)), pa.array(_whole(w)[doc].view(np.int64)), pa.array((lo - w.ptr[doc]).astype(np.int32))]
-            names = ["anchor", "segment", "doc_id", "whole", "start"]
+            columns = [pa.array(anchor.view(np.int64)), pa.array(name.view(np.int64)), b.column("doc_id").take(pa.array(doc)), pa.array(_whole(w)[doc].view(np.int64)), pa.array((lo - w.ptr[doc]).astype(np.int32)), pa.array((hi - lo).astype(np.int32))]
+            names = ["anchor", "segment", "doc_id", "whole", "start", "n"]
             if texts:
                 raw = w.hashes.tobytes()
                 columns.append(pa.array([raw[8 * i : 8 * j] for i, j in zip(lo.tolist(), hi.tolist())], pa.binary()))
                 names.append("words")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, "anchor long, segment long, doc_id long, whole long, start int" + ", words binary" * texts)
+    return docs.mapInArrow(run, "anchor long, segment long, doc_id long, whole long, start int, n int" + ", words binary" * texts)
 
 
 _FOUND = pa.schema([("segment", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("holder", pa.int64())])
@@ -204,9 +205,11 @@ def _earlier(texts: list[np.ndarray], first: np.ndarray, last: np.ndarray, windo
     return text[new], at[new], np.diff(np.append(new, len(at))), least[new]
 
 
-def _shard(window: int):
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("key", "ascending"), ("first", "ascending")])
+def _recurring(rows: DataFrame, window: int, most: int) -> DataFrame:
+    """Rows (segment, at, n, holder) of the recurring windows of rows (key, segment, first, last, words), whose keys are streamed in order."""
+
+    def indexed(t: pa.Table) -> pa.Table:
+        """Of whole keys, `most` words at a time."""
         key, names = t.column("key").to_numpy(), t.column("segment").to_numpy()
         first, last = t.column("first").to_numpy(), t.column("last").to_numpy()
         texts = [np.frombuffer(x, np.uint64) for x in t.column("words").to_pylist()]
@@ -217,15 +220,34 @@ def _shard(window: int):
             a = borders[i]
             done = total[a - 1] if a else 0
             j = i + 1
-            while j < len(borders) - 1 and total[borders[j + 1] - 1] - done <= SHARD:
+            while j < len(borders) - 1 and total[borders[j + 1] - 1] - done <= most:
                 j += 1
             b = borders[j]
             text, at, n, least = _earlier(texts[a:b], first[a:b], last[a:b], window)
             out.append(pa.Table.from_arrays([pa.array(names[a:b][text]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(least)], schema=_FOUND))
             i = j
-        return pa.concat_tables(out) if out else _FOUND.empty_table()
+        return pa.concat_tables(out)
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            size += b.column("words").nbytes
+            if size > 8 * most:
+                t = pa.Table.from_batches(held)
+                key = t.column("key").to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))
+                if cut:
+                    yield from indexed(t.slice(0, cut)).to_batches()
+                    held = t.slice(cut).combine_chunks().to_batches()
+                    size = sum(x.column("words").nbytes for x in held)
+        if held:
+            yield from indexed(pa.Table.from_batches(held)).to_batches()
+
+    ordered = rows.select("key", "segment", "first", "last", "words").repartition("key").sortWithinPartitions("key", "first")
+    return ordered.mapInArrow(run, "segment long, at int, n int, holder long")
 
 
 def _by_window(rows: DataFrame, window: int) -> DataFrame:
@@ -246,40 +268,28 @@ def _by_window(rows: DataFrame, window: int) -> DataFrame:
     return rows.select("segment", "first", "last", "words").mapInArrow(run, "key long, segment long, place int, first long, last long, words binary")
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
-    """Rows (doc_id, whole, lo, hi): ranges of words of docs (doc_id long, text) under windows that start in an earlier document."""
-    spark = docs.sparkSession
+def repeats(docs: DataFrame, window: int = WINDOW, hot: int = SHARD) -> DataFrame:
+    """Rows (doc_id, whole, lo, hi): ranges of words of docs (doc_id long, text) under windows that start in an earlier document; hot: words of an index; an anchor with more is dealt anew."""
     known = docs.filter("doc_id is not null")
     path = _kept_filter(known, window)
-    shards = max(8, 2 * known.rdd.getNumPartitions())
+    places = checkpointed(_segments(known, path, window, False))
     distinct = _segments(known, path, window, True).groupBy("anchor", "segment").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("words").alias("words"))
-    found = None
-    counts = _segments(known, path, window, False).groupBy("anchor").agg(F.approx_count_distinct("segment", 0.02).alias("n"))
-    many = counts.filter(F.col("n") > hot).select("anchor")
+    counts = places.groupBy("anchor", "segment").agg(F.max("n").alias("n")).groupBy("anchor").agg(F.sum("n").alias("n"))
+    many = checkpointed(counts.filter(F.col("n") > hot).select("anchor"))
     hot_ids = many.limit(1).count() > 0
     usual = distinct.join(many, "anchor", "left_anti") if hot_ids else distinct
-    dealt = usual.withColumn("key", F.col("anchor")).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    found = dealt.select("shard", "key", "segment", "first", "last", "words").groupBy("shard").applyInArrow(_no_shard(_shard(window)), "segment long, at int, n int, holder long")
+    found = _recurring(usual.withColumnRenamed("anchor", "key"), window, hot)
     if hot_ids:
         single = _by_window(distinct.join(many, "anchor", "left_semi"), window)
         whole = single.groupBy("key").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.first("words").alias("words")).filter("first < last")
-        whole = whole.withColumn("segment", F.col("key")).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-        least = whole.select("shard", "key", "segment", "first", "last", "words").groupBy("shard").applyInArrow(_no_shard(_shard(window)), "segment long, at int, n int, holder long")
+        least = _recurring(whole.withColumn("segment", F.col("key")), window, hot)
         back = single.select("key", F.col("segment").alias("of"), "place").join(least, F.col("key") == least["segment"])
         found = found.unionByName(back.select(F.col("of").alias("segment"), F.col("place").alias("at"), F.lit(1).alias("n"), "holder"))
-    places = _segments(known, path, window, False).select("segment", "doc_id", "whole", "start")
-    hits = places.join(found, "segment").filter(F.col("holder") < F.col("doc_id"))
+    hits = places.select("segment", "doc_id", "whole", "start").join(found, "segment").filter(F.col("holder") < F.col("doc_id"))
     return hits.select("doc_id", "whole", (F.col("start") + F.col("at")).alias("lo"), (F.col("start") + F.col("at") + F.col("n") - 1 + window).alias("hi"))
 
 
-def _no_shard(f):
-    def run(t: pa.Table) -> pa.Table:
-        return f(t.drop_columns(["shard"]))
-
-    return run
-
-
-def dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, hot: int = SHARD) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, removed, kept): removed holds ranges of words (lo, hi); kept is the other words, joined by a space."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = repeats(docs, window, hot).groupBy("doc_id").agg(F.collect_list(F.struct("whole", "lo", "hi")).alias("spans"))

@@ -203,7 +203,7 @@ def test_fm_index_matching_statistics():
                 k += 1
 
 
-@pytest.mark.parametrize("window,hot", [(50, 20_000), (12, 20_000), (12, 1), (3, 2)])
+@pytest.mark.parametrize("window,hot", [(50, 400_000), (50, 20_000), (12, 20_000), (12, 900), (12, 1), (3, 2)])
 def test_substring_dedup(docs, window, hot):
     rows = sorted(((r["doc_id"], re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in docs.collect()), key=lambda x: (-1 if x[0] is None else x[0], x[1]))
     first = {}
