@@ -7,7 +7,8 @@ sum of smaller over sum of larger weights, is SIMILARITY or more. Classes are co
 Signatures: the weight axis is cut into dyadic blocks (0,1], (1,2], (2,4], ... Each shingle has a
 Poisson process on each block that its weight reaches, at a rate of WIDTH x the block's width;
 its points come in ascending time, each with a random signature place and a random position in the
-block, given by successive halvings, and a point counts if it lies below the weight. A place keeps the earliest time, so two
+block (32 bits, each of which halves the block), and a point counts if it lies below the weight. What a
+process gives thus depends on the shingle and the block alone. A place keeps the earliest time, so two
 texts agree in a place with a probability of exactly their similarity. A process is followed only
 while its next point can still be earlier than the text's latest place.
 
@@ -15,7 +16,8 @@ Links: equal texts are one node from the start. Each of BANDS bands deals nodes
 node of a bucket is verified against the bucket's first one (the node whose buckets are the
 fullest), so a bucket of n nodes gives n - 1 candidates. Where the verified links leave a bucket in more than one component, its nodes of
 different components are compared as well, in blocks, without making rows of their pairs. No bucket is capped.
-A link of similarity s is overlooked with a probability of (1 - s^ROWS)^BANDS, 2e-5 at most.
+A link of similarity s is overlooked with a probability of (1 - s^ROWS)^BANDS, 3.3e-5 at most; links
+below SIMILARITY are not made, so a copy of which a fifth of the shingles changed is not one.
 
 Defined results: a null text or one without words is a class of its own; equal texts are one class
 whatever their rows' other columns; a class is named by its smallest doc_id, which is null if its

@@ -8,9 +8,11 @@ first 4 to 8 letters (PREFIXES) of a longer one. An example's vector holds its s
 their largest weight. A text's nearest examples are exact: blocks are taken by falling upper
 bound until the bound falls below the k-th similarity found.
 
-The score is the similarity-weighted vote of the neighbours, drawn towards the rate of toxic ones
-among examples without any selected term by a weight of SHRINK. A text without selected terms gets that
-rate. The model's size is bounded by `examples`; scoring reads each row by itself, without a shuffle.
+The vote is similarity-weighted over the neighbours, drawn towards the rate of toxic ones among examples
+without any selected term by a weight of SHRINK. A text without selected terms has that rate as its
+score. The score of others is the vote through a logistic curve, which is fitted to the votes that CALIBRATION
+of the examples get from the others; with fewer than LEAST examples of either label it is the vote itself.
+The model's size is bounded by `examples`; scoring reads each row by itself, without a shuffle.
 
 Defined results: a null text is empty; an empty one has no terms; null doc_ids are scored but
 never trained on; repeated labels of a document count once (toxic if any says so), null labels
@@ -39,6 +41,8 @@ NEIGHBOURS = 15
 SHRINK = 0.5
 #: A term is selected if it is this many times likelier in toxic examples and its likelihood-ratio statistic is this high.
 LIFT, EVIDENCE = 3.0, 22.0
+#: Examples whose votes the curve is fitted to, and examples of each label that this takes.
+CALIBRATION, LEAST = 2000, 20
 BLOCK = 32
 _WORD = re.compile(r"\w+")
 
@@ -79,6 +83,7 @@ class Model:
         self.idf = weights
         self.memo: dict[str, tuple[str, ...]] = {}
         self.base = (empty[0] + 0.5) / (empty[1] + 1)
+        self.curve: tuple[float, float] | None = None
         # Examples with the same strongest term stand together, so that blocks differ in their bounds.
         vectors = sorted(vectors, key=lambda v: (max(v[2], key=lambda t: (v[2][t], t)), v[0]))
         self.ids, self.labels = [v[0] for v in vectors], np.array([v[1] for v in vectors], float)
@@ -123,11 +128,47 @@ class Model:
             best = sorted(best, key=lambda p: (-p[0], self.ids[p[1]]))[:k]
         return best
 
+    def vote(self, near: list[tuple[float, int]]) -> float:
+        up = sum(s * self.labels[i] for s, i in near) + SHRINK * self.base
+        return min(1.0, up / (sum(s for s, _ in near) + SHRINK))
+
+    def calibrate(self, vectors: list[tuple[int, int, dict[str, float]]]) -> None:
+        """Fits the curve to the votes that examples get from the others: those of smallest hash of doc_id."""
+        place = {d: i for i, d in enumerate(self.ids)}
+        order = mix(np.array([v[0] for v in vectors], np.int64).view(np.uint64), 5).argsort(kind="stable")[:CALIBRATION]
+        votes, labels = [], []
+        for j in order.tolist():
+            d, label, v = vectors[j]
+            votes.append(self.vote([p for p in self.nearest(v, NEIGHBOURS + 1) if p[1] != place[d]][:NEIGHBOURS]))
+            labels.append(label)
+        if min(labels.count(0), labels.count(1)) >= LEAST:
+            self.curve = logistic(np.array(votes), np.array(labels, float))
+
     def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
         v = self.vector(text)
         near = self.nearest(v) if v else []
-        up = sum(s * self.labels[i] for s, i in near) + SHRINK * self.base
-        return min(1.0, up / (sum(s for s, _ in near) + SHRINK)), near
+        p = self.vote(near)
+        if near and self.curve:
+            p = 1 / (1 + math.exp(-max(-500.0, min(500.0, self.curve[0] * p + self.curve[1]))))
+        return p, near
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(a, b) of the likeliest curve 1 / (1 + exp(-(a x + b))), a at least 0, with labels drawn in by one row of each."""
+    n1, n0 = y.sum(), len(y) - y.sum()
+    t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    a, b = 1.0, 0.0
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -500, 500)))
+        w = p * (1 - p) + 1e-9
+        g = np.array([((p - t) * x).sum() + 1e-3 * a, (p - t).sum()])
+        h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum()]])
+        step = np.linalg.solve(h, g)
+        step *= min(1.0, 5 / max(1e-12, np.abs(step).max()))
+        a, b = max(0.0, a - step[0]), b - step[1]
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(a), float(b)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, examples: int = EXAMPLES) -> Model:
@@ -173,7 +214,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, examples: int = EXA
         norm = math.sqrt(sum(x * x for x in v.values()))
         vectors.append((r["doc_id"], r["toxic"], {t: x / norm for t, x in v.items()}))
     hit = sum(v[1] for v in vectors)
-    return Model(idf, vectors, (bad - hit, bad + good - len(vectors)))
+    model = Model(idf, vectors, (bad - hit, bad + good - len(vectors)))
+    model.calibrate(vectors)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -611,6 +611,41 @@ def test_nearest_examples_are_exact(monkeypatch):
         assert [round(s, 9) for s, _ in got] == [round(s, 9) for s, _ in want]
 
 
+def test_scores_are_calibrated_votes_of_the_nearest(spark):
+    r = random.Random(18)
+    rude = ["grumbolt", "snarfle", "vexoid", "quibzor", "drakkent", "worbly", "zanfit", "plomusk"]
+    plain = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    rows, labels = [], []
+    for i in range(2400):
+        own = [r.choice(rude) for _ in range(r.randint(1, 5))] if i % 2 else []
+        rows.append((i, " ".join([r.choice(plain) for _ in range(30)] + own), len(own)))
+        labels.append((i, int(r.random() < (0.01, 0.4, 0.6, 0.75, 0.85, 0.95)[len(own)])))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string, n long"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, known, toxicity.fold(F.col("doc_id"), 3) != 1)
+    assert model.curve
+    got = {x["doc_id"]: x for x in toxicity.score(docs, model).collect()}
+    held = [i for i, _, n in rows if n and zlib.crc32(str(i).encode()) % 3 == 1]
+    said, true = np.array([got[i]["score"] for i in held]), np.array([labels[i][1] for i in held])
+    assert abs(said.mean() - true.mean()) < 0.06
+    low = said < np.median(said)
+    assert all(abs(said[k].mean() - true[k].mean()) < 0.1 for k in (low, ~low))
+    for i, _, _ in rows[:200]:
+        near = [(x["similarity"], x["toxic"]) for x in got[i]["evidence"]]
+        assert near == sorted(near, key=lambda p: -p[0]) and len(near) <= toxicity.NEIGHBOURS
+        vote = (sum(s * y for s, y in near) + toxicity.SHRINK * model.base) / (sum(s for s, _ in near) + toxicity.SHRINK)
+        want = 1 / (1 + math.exp(-(model.curve[0] * vote + model.curve[1]))) if near else model.base
+        assert abs(got[i]["score"] - want) < 1e-9
+
+
+def test_logistic_curves_are_the_likeliest():
+    r = random.Random(19)
+    x = np.array([r.random() for _ in range(4000)])
+    y = np.array([float(r.random() < 1 / (1 + math.exp(-(6 * v - 3)))) for v in x])
+    a, b = toxicity.logistic(x, y)
+    assert abs(a - 6) < 0.8 and abs(b + 3) < 0.5
+    assert toxicity.logistic(x, 1 - y)[0] == 0
+
+
 def test_toxicity_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(docs, none, F.lit(True))
