@@ -5,13 +5,15 @@ another character, so words are segmented by themselves. Distinct words are sort
 their trie depth-first: what was computed for a prefix stays on a stack and is used again by all
 words that share it, and each terminal keeps its result.
 
-Two recurrences run over the same trie:
-
-* unigram models: Viterbi, the best score of each prefix and its last piece;
-* BPE models: the last piece of each prefix. Greedy merging of a prefix is merging of a shorter
-  prefix plus one piece, and the piece that ends there is the one whose pair with the shorter
-  prefix's last piece merges back into just these two. Highest-scoring paths over the merge ranks
-  would not be what such a model's encoder gives; this recurrence is.
+Both kinds of models run Viterbi over the same trie, keeping the forward score of each prefix and the
+last piece of its best path; they differ in the edges of the lattice:
+
+* unigram models: every piece is an edge;
+* BPE models: a piece is an edge only if its pair with the last piece of the path before merges back
+  into just these two. Greedy merging of a prefix is merging of a shorter prefix plus one such piece,
+  and exactly one ends at each prefix (tested), so the search for edges ends with the first. Without
+  this rule the paths of highest score over the merge ranks are not what such a model's encoder
+  gives; with it they are.
 """
 
 from __future__ import annotations
@@ -159,7 +161,8 @@ class Pieces:
         return out
 
     def _forward_bpe(self, w: str, last: list[str], best: list[float], value: list, codes: dict) -> None:
-        suffixes, pairs = self._suffixes, self.pairs
+        """The only edge that ends at each prefix, its forward score and value."""
+        suffixes, pairs, scores = self._suffixes, self.pairs, self.scores
         for i in range(len(last), len(w) + 1):
             j = at = i - 1
             found = w[j]
@@ -182,6 +185,7 @@ class Pieces:
                     found, at = t, j
                     break
             last.append(found)
+            best.append(best[at] + scores.get(found, self.worst))
             value.append(value[at] + codes[found])
 
     def _forward_unigram(self, w: str, last: list[str], best: list[float], value: list, codes: dict) -> None:

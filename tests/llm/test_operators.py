@@ -457,6 +457,13 @@ def test_bpe_recurrence_is_greedy_merging():
     words = {"".join(r.choice("abcde") for _ in range(r.randint(0, 12))) for _ in range(2000)}
     got = p.segment(words, lambda t: [t], [])
     assert all(got[w] == p.merge(w) for w in words)
+    # One edge ends at each prefix: Viterbi over the lattice has one path.
+    for w in list(words)[:300]:
+        paths = {0: [""]}
+        for i in range(1, len(w) + 1):
+            ends = [w[j:i] for j in range(i) if (w[j:i] in table and p.merge(w[j:i]) == [w[j:i]] or i - j == 1) and (not j or p.merge(paths[j][0] + w[j:i]) == [paths[j][0], w[j:i]])]
+            assert len(ends) == 1
+            paths[i] = ends
 
 
 # secret_scan
