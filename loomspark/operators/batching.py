@@ -117,6 +117,21 @@ def collated(df: DataFrame, batch: str, columns: dict[str, Column], left: tuple[
     return df.drop(*[f"_{c}_most" for c in columns])
 
 
+def collated_records(df: DataFrame, batch: str, key: str, gan: bool = False, dpo: bool = False, speaker: bool = False) -> DataFrame:
+    """Training records of batches, longest speech_feat first (place): padded token, frame and sample columns with their lengths.
+
+    speech and pitch_feat are kept only if gan, reject_speech_token only if dpo; embedding is the
+    speaker's or the utterance's.
+    """
+    whole, none = F.lit(0).cast("long"), F.lit(0.0)
+    columns = {"text_token": whole, "speech_token": whole, "speech_feat": F.array_repeat(none, F.greatest(F.size(F.get("speech_feat", F.lit(0))), F.lit(0)))}
+    columns |= {"speech": none, "pitch_feat": none} if gan else {}
+    columns |= {"reject_speech_token": whole} if dpo else {}
+    place = F.row_number().over(Window.partitionBy(batch).orderBy(F.size("speech_feat").desc(), key)) - 1
+    rows = df.select(batch, key, place.cast("long").alias("place"), F.col("spk_embedding" if speaker else "utt_embedding").alias("embedding"), *columns)
+    return collated(rows, batch, columns)
+
+
 def cropped(array: Column, size: int, start: Column, fill: Column) -> Column:
     """`size` values from start on (taken modulo the places there are), or all and then fill."""
     n = F.size(array)

@@ -146,3 +146,28 @@ def _(spark, sf):
 @query("b17_conditioning", f"SELECT doc_id, list_transform(ids, lambda v, i: CASE WHEN i <= r THEN v ELSE 0 END) AS ids FROM (SELECT *, CASE WHEN {coin_sql('6', 'doc_id')} < 0.5 THEN 0 ELSE trunc({coin_sql('7', 'doc_id')} * (trunc(len(ids) * 0.3) + 1)) END AS r FROM ({IDS}))")
 def _(spark, sf):
     return ids(spark, sf).select("doc_id", bt.conditioning(F.col("ids"), F.col("doc_id"), 6).alias("ids"))
+
+
+def _records(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 7 + 1).cast("int").alias("n"), "embedding", F.expr("vec_id div 16").alias("batch"))
+    frames = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.slice("embedding", i * 8 - 7, F.lit(8)))
+    tokens = lambda k: F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.col("vec_id") + i * k)
+    return e.select("batch", "vec_id", tokens(1).alias("text_token"), tokens(2).alias("speech_token"), frames.alias("speech_feat"), F.slice("embedding", F.lit(1), F.col("n") * 2).alias("speech"), F.slice("embedding", F.lit(9), F.col("n")).alias("pitch_feat"), tokens(3).alias("reject_speech_token"), F.lit("spk").alias("spk_embedding"), F.lit("utt").alias("utt_embedding"))
+
+
+def _record_sql(columns):
+    pads = {"text_token": ("list_transform(range(1, n + 1), lambda i: vec_id + i)", "0"), "speech_token": ("list_transform(range(1, n + 1), lambda i: vec_id + i * 2)", "0"), "reject_speech_token": ("list_transform(range(1, n + 1), lambda i: vec_id + i * 3)", "0"),
+            "speech_feat": ("list_transform(range(1, n + 1), lambda i: embedding[i * 8 - 7:i * 8])", "[0, 0, 0, 0, 0, 0, 0, 0]"), "speech": ("embedding[1:n * 2]", "0"), "pitch_feat": ("embedding[9:n + 8]", "0")}
+    made = ", ".join(f"list_concat({c}, list_transform(range(0, max(len({c})) OVER w - len({c})), lambda i: {pads[c][1]})) AS {c}, len({c})::INT AS {c}_len" for c in columns)
+    raw = ", ".join(f"{pads[c][0]} AS {c}" for c in columns)
+    return f"batch, vec_id, row_number() OVER (PARTITION BY batch ORDER BY n DESC, vec_id) - 1 AS place, {made} FROM (SELECT vec_id // 16 AS batch, vec_id, n, {raw} FROM (SELECT vec_id, embedding, vec_id % 7 + 1 AS n FROM embeddings)) WINDOW w AS (PARTITION BY batch)"
+
+
+@query("b07_collated_records", f"SELECT 'utt' AS embedding, {_record_sql(['text_token', 'speech_token', 'speech_feat'])}")
+def _(spark, sf):
+    return bt.collated_records(_records(spark, sf), "batch", "vec_id")
+
+
+@query("b07_collated_records_gan_dpo", f"SELECT 'spk' AS embedding, {_record_sql(['text_token', 'speech_token', 'speech_feat', 'speech', 'pitch_feat', 'reject_speech_token'])}")
+def _(spark, sf):
+    return bt.collated_records(_records(spark, sf), "batch", "vec_id", gan=True, dpo=True, speaker=True)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomspark.functions import audio, text
+from loomspark.operators import joins
 from loomspark.registry import query
 from loomspark.runtime import table, work_dir
 from loomspark.sources import files
@@ -157,3 +159,30 @@ def _(spark, sf):
     d = table(spark, sf, "documents")
     prefix = F.when(F.col("doc_id") % 3 == 0, F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 8)).otherwise("zz")
     return d.select("doc_id", files.verified(F.col("text"), prefix).alias("ok"))
+
+
+@query("s10_decoded_audio", "SELECT vec_id, i - 1 AS i, greatest(-32768, least(32767, trunc(embedding[i]::DOUBLE * 4 * 32768))) / 32768 AS v FROM embeddings, unnest(range(1, len(embedding) + 1)) t(i)")
+def _(spark, sf):
+    x = F.transform("embedding", lambda v: v.cast("double") * 4)
+    e = table(spark, sf, "embeddings").select("vec_id", audio.waveform(audio.wav_bytes(x, 24_000), 24_000).alias("x"))
+    return e.select("vec_id", F.posexplode("x").alias("i", "v")).withColumn("i", F.col("i").cast("long"))
+
+
+@query("s15_retried", """WITH a AS (SELECT user_id, props, event_id % 4 = 0 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+g AS (SELECT user_id, min(n) FILTER (ok) AS attempt, max(n) AS tried FROM a WHERE n <= 8 GROUP BY user_id)
+SELECT g.user_id, attempt, props AS text, 5.0::DOUBLE * coalesce(attempt - 1, least(tried, 7)) * (coalesce(attempt - 1, least(tried, 7)) + 1) AS waited FROM g LEFT JOIN a ON a.user_id = g.user_id AND a.n = g.attempt""")
+def _(spark, sf):
+    k = F.col("event_id") % 4
+    raw = F.when(k == 0, F.col("props")).when(k == 1, F.concat(F.lit("{"), "props")).when(k == 2, F.lit("  ")).otherwise(F.concat(F.lit('{"error":'), "props", F.lit("}")))
+    e = joins.occurrence(table(spark, sf, "events").withColumn("text", text.without_controls(raw)), ["user_id"], "event_id", "n")
+    return files.first_valid(e, "user_id", "n", "text", text.envelope(F.col("text")))
+
+
+@query("s09_dumps", "SELECT question_key, loss FROM (SELECT 'q' || (doc_id % 400) AS question_key, n_chars AS loss, row_number() OVER (PARTITION BY doc_id % 400 ORDER BY lang, doc_id) AS r FROM documents WHERE doc_id % 7 > 0) WHERE r = 1")
+def _(spark, sf):
+    # One file for each document; every seventh can't be read.
+    path = work_dir(spark, "dumps")
+    good = F.to_json(F.struct(F.concat(F.lit("q"), (F.col("doc_id") % 400).cast("string")).alias("question_key"), F.col("n_chars").alias("loss")))
+    d = table(spark, sf, "documents").select("lang", F.format_string("%012d", "doc_id").alias("name"), F.when(F.col("doc_id") % 7 > 0, good).otherwise("{").alias("dump"))
+    files.write_each(d, path, "lang", "name", "dump")
+    return files.read_dumps(spark, path, "question_key string, loss long")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomspark.functions import text
 from loomspark.registry import query
-from loomspark.runtime import table, work_dir
+from loomspark.runtime import hash32_sql, table, work_dir
 from loomspark.streaming import sessions
 
 ROWS = "SELECT user_id AS key, event_id AS seq, event_id % 50 AS token, event_type IN ('click', 'view') AS is_text, event_id = max(event_id) OVER (PARTITION BY user_id) AS last FROM events"
@@ -107,3 +108,16 @@ def _(spark, sf):
     ids = lambda on: F.transform(F.array_sort(F.collect_list(F.when(on, F.struct("seq", "token")))), lambda x: x["token"])
     out = r.groupBy("key").agg(ids(F.col("is_text")).alias("text_ids"), ids(~F.col("is_text")).alias("audio_ids"))
     return out.filter((F.size("text_ids") > 0) & (F.size("audio_ids") > 0))
+
+
+@query("t09_multiplexed", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS turn, event_id = max(event_id) OVER (PARTITION BY user_id) AS closes FROM events")
+def _(spark, sf):
+    return sessions.multiplexed(table(spark, sf, "events").select("user_id", "event_id"), "user_id", "event_id")
+
+
+@query("t10_fed_text", f"""WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS ws FROM conversations),
+r AS (SELECT conv_id, turn, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS place, {hash32_sql('word')} % 50000 AS id FROM r""")
+def _(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", text.encoded(F.col("text")).alias("ids"))
+    return sessions.fed(c, "conv_id", "turn", "ids")

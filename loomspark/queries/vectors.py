@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomspark.functions import audio
 from loomspark.functions import scalars as sc
 from loomspark.operators import quantize as qz
 from loomspark.queries.joins import BOOK_SQL, NEAREST_SQL, SERIES_SQL, book, series
@@ -156,3 +157,21 @@ def _(spark, sf):
 @query("x39_hand_over", "SELECT s AS step, round(CASE WHEN s < 100 THEN 0 WHEN s > 300 THEN 1 ELSE 1 / (1 + exp(-(((s - 100) / 200.0::DOUBLE - 0.5) * 6))) END, 6) AS p FROM range(0, 500) t(s)")
 def _(spark, sf):
     return spark.range(0, 500).select(F.col("id").alias("step"), F.round(sc.hand_over(F.col("id"), 100, 300), 6).alias("p"))
+
+
+def clips(spark, sf):
+    """Waveforms of a series' vectors one after the other."""
+    s = series(spark, sf).groupBy("series").agg(F.array_sort(F.collect_list(F.struct("t", "vec"))).alias("x"))
+    return s.select("series", F.flatten(F.transform("x", lambda v: F.transform(v["vec"], lambda y: y.cast("double")))).alias("x"))
+
+
+@query("c10_resampled")
+def _(spark, sf):
+    x = clips(spark, sf).select("series", audio.waveform(audio.wav_bytes(F.col("x"), 16_000), 24_000).alias("x"))
+    return x.select("series", F.size("x").cast("long").alias("n"), F.transform("x", lambda v: F.round(v, 6)).alias("x"))
+
+
+@query("c10_fbank_and_f0")
+def _(spark, sf):
+    x = clips(spark, sf).withColumn("feat", audio.fbank(F.col("x")))
+    return x.select("series", F.size("feat").cast("long").alias("frames"), "feat", audio.f0(F.col("x"), F.size("feat")).alias("f0"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -14,9 +15,11 @@ MOST_RANGES = 10_000
 
 
 def work_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir, or below the warehouse where that is unset."""
+    """A new folder below spark.checkpoint.dir, or below the warehouse where that is unset; its path names its file system."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    path = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return re.sub("^file:/+", "file:///", path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

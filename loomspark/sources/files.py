@@ -7,8 +7,11 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_parquet_rows(spark: SparkSession, path: str, columns: Iterable[str] | None = None, skip_corrupt: bool = True) -> DataFrame:
@@ -183,4 +186,36 @@ def audio_pairs(df: DataFrame, path: str = "path") -> DataFrame:
     return df.withColumn("reference", F.concat_ws("/", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), file))
 
 
-CONTROL = re.compile(r"[\x00-\x1f\x7f]")
+def write_each(df: DataFrame, path: str, folder: str, name: str, text: str, suffix: str = ".json") -> None:
+    """A file <folder>/<name><suffix> with each row's text, by the workers' file systems."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        files, top = fs.FileSystem.from_uri(path)
+        for b in batches:
+            for where, what, said in zip(*(b.column(c).to_pylist() for c in (folder, name, text))):
+                files.create_dir(f"{top}/{where}", recursive=True)
+                with files.open_output_stream(f"{top}/{where}/{what}{suffix}") as out:
+                    out.write(said.encode())
+            yield pa.record_batch([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    df.select(folder, name, text).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def read_dumps(spark: SparkSession, path: str, schema: str, key: str = "question_key", suffix: str = ".json") -> DataFrame:
+    """One row for each key of the JSON dumps in a folder and the folders in it; files that can't be read go, a missing key is the file's stem, and of a repeated key the first file's stays."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(path)
+    below = F.split(F.substring_index(F.regexp_replace("path", r"/+", "/"), "/" + os.path.basename(path.rstrip("/")) + "/", -1), "/")
+    rows = raw.select(below.alias("_at"), F.col("content").cast("string").alias("_raw")).filter(F.size("_at") <= 2)
+    rows = rows.withColumn("_r", F.from_json("_raw", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})).filter(F.col("_r").isNotNull() & F.col("_r._bad").isNull())
+    stem = F.regexp_replace(F.element_at("_at", -1), re.escape(suffix) + "$", "")
+    named = rows.withColumn("_key", F.coalesce(F.nullif(F.col(f"_r.{key}"), F.lit("")), stem))
+    best = named.groupBy("_key").agg(F.min_by("_r", "_at").alias("_r"))
+    return best.select(F.col("_key").alias(key), *[F.col(f"_r.{f.name}").alias(f.name) for f in T._parse_datatype_string(schema).fields if f.name != key])
+
+
+def first_valid(responses: DataFrame, key: str, attempt: str, text: str, state: Column, most: int = 8, delay: float = 10.0) -> DataFrame:
+    """(key, attempt, text, waited): the first attempt whose state is 'ok' among the first `most`, and the seconds of linear back-off before it; without one, attempt and text are null and waited covers all."""
+    tried = responses.filter(F.col(attempt) <= most).select(key, F.col(attempt).cast("long").alias("_n"), F.col(text).alias("_text"), (state == "ok").alias("_ok"))
+    got = tried.groupBy(key).agg(F.min(F.when(F.col("_ok"), F.struct("_n", "_text"))).alias("_best"), F.max("_n").alias("_last"))
+    failed = F.coalesce(F.col("_best._n") - 1, F.least(F.col("_last"), F.lit(most - 1).cast("long")))
+    return got.select(key, F.col("_best._n").alias("attempt"), F.col("_best._text").alias("text"), (failed * (failed + 1) / 2 * delay).alias("waited"))

@@ -227,6 +227,20 @@ def streamed(rows: DataFrame, processor: Folded, work: str) -> DataFrame:
     return spark.read.schema(processor.output).parquet(f"{work}/sink")
 
 
+def multiplexed(rows: DataFrame, key: str, seq: str) -> DataFrame:
+    """rows of interleaved requests with their turn in their own request's queue, and whether they close it."""
+    w = Window.partitionBy(key).orderBy(seq)
+    return rows.withColumn("turn", (F.row_number().over(w) - 1).cast("long")).withColumn("closes", F.lead(seq).over(w).isNull())
+
+
+def fed(rows: DataFrame, key: str, seq: str, ids: str) -> DataFrame:
+    """(key, place, id): the ids of a request's text pieces, which come one after the other, as one sequence."""
+    w = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    n = F.greatest(F.size(ids), F.lit(0))
+    started = rows.withColumn("_start", F.coalesce(F.sum(n).over(w), F.lit(0).cast("long")))
+    return started.select(key, "_start", F.posexplode(ids).alias("_i", "id")).select(key, (F.col("_start") + F.col("_i")).alias("place"), "id")
+
+
 def first_output(rows: DataFrame, key: str, ts: str, kind: str, first: str, out: str) -> DataFrame:
     """(key, latency, n): seconds from a key's first `first` row to its first `out` row, and how many rows `out` has."""
     at = lambda k: F.min(F.when(F.col(kind) == k, F.col(ts)))

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -194,3 +195,59 @@ def test_lcs_alignment_deals_all_events(spark, tmp_path):
     spark.createDataFrame([(i, 1, "view") for i in range(8)], "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
     got = queries.QUERIES["j08_lcs_alignment"](spark, str(tmp_path)).collect()
     assert sorted((r["key"], r["i"], r["j"]) for r in got) == [(1, 0, 3), (1, 2, 5), (1, 4, 7)]
+
+
+def test_wav_files_and_resampling():
+    from loomspark.functions import audio
+
+    x = np.sin(np.arange(1600) / 16000 * 2 * np.pi * 440) * 0.9
+    got, rate = audio.parse_wav(audio.make_wav(x, 16000))
+    assert rate == 16000 and np.abs(got - x).max() < 1 / 32768
+    raw = b"".join(struct.pack("<ff", v, 0) for v in x)
+    stereo = b"RIFF" + struct.pack("<I", 0) + b"WAVELIST\x03\x00\x00\x00abc\x00fmt " + struct.pack("<IHHIIHH", 16, 3, 2, 8000, 64000, 8, 32) + b"data" + struct.pack("<I", len(raw)) + raw
+    got, rate = audio.parse_wav(stereo)
+    assert rate == 8000 and np.abs(got - x / 2).max() < 1e-6
+    with pytest.raises(ValueError):
+        audio.parse_wav(b"no")
+    up = audio.resample(x, 16000, 24000)
+    want = np.sin(np.arange(2400) / 24000 * 2 * np.pi * 440) * 0.9
+    assert len(up) == 2400 and np.abs(up - want)[50:-50].max() < 0.01
+    down = audio.resample(want, 24000, 16000)
+    assert len(down) == 1600 and np.abs(down - x)[50:-50].max() < 0.01
+
+
+def test_mel_frames_and_pitch(spark):
+    from loomspark.functions import audio
+
+    x = np.sin(np.arange(24000) / 24000 * 2 * np.pi * 220) * 0.5
+    m = audio.log_mel(x)
+    y = np.pad(x, 720, "reflect")
+    for t in (0, 7, len(m) - 1):
+        spec = np.abs(np.fft.rfft(y[t * 480 : t * 480 + 1920] * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(1920) / 1920))))
+        assert np.allclose(m[t], np.log(np.maximum(audio.mel_weights(80, 1920, 24000, 8000.0) @ np.sqrt(spec**2 + 1e-9), 1e-5)))
+    assert m.shape == (50, 80) and audio.log_mel(np.zeros(3)).shape[1] == 80
+    p = audio.pitch(x, 24000, 480)
+    assert np.abs(p[3:-3] - 220).max() < 2 and (audio.pitch(np.zeros(2400), 24000, 480) == 0).all()
+    df = spark.createDataFrame([(1, audio.make_wav(x, 24000)), (2, None)], "id long, content binary")
+    got = {r["id"]: r["x"] for r in df.select("id", audio.waveform(F.col("content"), 24000).alias("x")).collect()}
+    assert got[2] is None and np.abs(np.array(got[1]) - x).max() < 1 / 32768
+    with pytest.raises(Exception, match="below"):
+        spark.createDataFrame([(audio.make_wav(x, 8000),)], "c binary").select(audio.waveform(F.col("c"), 24000)).collect()
+
+
+def test_dumps_of_folders_first_key_wins_and_bad_files_go(spark, tmp_path):
+    from loomspark.sources import files
+
+    for name, said in {"b.json": '{"question_key": "k", "loss": 2}', "a/z.json": '{"question_key": "k", "loss": 1}', "c.json": '{"loss": 3}', "d.json": "{", "e.txt": '{"question_key": "t"}', "x/y/z.json": '{"question_key": "deep"}'}.items():
+        (tmp_path / "top" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "top" / name).write_text(said)
+    got = files.read_dumps(spark, str(tmp_path / "top"), "question_key string, loss long").collect()
+    assert sorted((r["question_key"], r["loss"]) for r in got) == [("c", 3), ("k", 1)]
+
+
+def test_paths_are_expanded(monkeypatch):
+    from loomspark.sources import files
+
+    monkeypatch.setenv("DATA", "/data")
+    monkeypatch.setenv("HOME", "/home/me")
+    assert (files.expand("$DATA/a"), files.expand("~/b"), files.expand("c")) == ("/data/a", "/home/me/b", "c")
