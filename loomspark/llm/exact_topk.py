@@ -3,13 +3,14 @@
 Vectors become integers, and their dimensions are cut into SLICES. A slice gives each query a
 score list; a score is the sum over an object's lists.
 
-1. Each cell of (queries x candidates) gathers the heads of its local lists. Heads are completed
-   by the object's other lists, which lie in the same block, so the k-th best of all gathered
-   scores is a floor that the k-th best score of all can't be below.
+1. Every query gathers the heads of its local lists over one block of candidates, the fullest.
+   Heads are completed by the object's other lists, which lie in the same block, so the k-th best
+   of the gathered scores is a floor that the k-th best score of all can't be below.
 2. The floor / SLICES is the safe cutoff: an object that reaches the floor reaches the cutoff in
    some list. Cutoffs go back to the queries, and every list gives up all entries from it on;
    what an object lacks counts as the cutoff at most, and objects whose sum then stays below the
-   floor are dropped.
+   floor are dropped. A block whose longest vector can't lift any of a block's queries to its floor
+   is passed over without products. Products of all other blocks are made here, once.
 3. The scores of the remaining ones are resolved exactly; each cell keeps its k best, and these are merged.
 
 Queries and candidates are packed into blocks and dealt over a grid of cells, each of at most
@@ -114,6 +115,9 @@ def _heads(q, c, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 def _resolved(q, c, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Phases 2 and 3: entries from the cutoff on, pruned by their upper bounds, then resolved."""
+    length = lambda m: np.sqrt((m.astype(np.float64) ** 2).sum(1))
+    if (length(q[1]) * length(c[1]).max(initial=0) * (1 + 1e-9) < q[2]).all():
+        return
     lists = _lists(q[1], c[1])
     cut = (q[2] / SLICES)[:, None]
     known, upper = np.zeros(lists[0].shape, bool), np.zeros(lists[0].shape)
@@ -164,9 +168,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "emb
     rows = quantised(vectors, vector, scale)
     asked = rows.filter(F.coalesce(is_query, F.lit(False))).dropDuplicates(["vec_id"])
     candidates = checkpointed(_packed(rows.select("vec_id", "v", none), CANDIDATES))
-    n_queries, n_blocks = asked.count(), candidates.count()
-    sides = (max(1, -(-n_queries // (QUERIES * SIDE))), max(1, -(-n_blocks // SIDE)))
-    heads = _over_cells(_packed(asked.select("vec_id", "v", none), QUERIES), candidates, sides, _heads, k)
+    n_queries, blocks = asked.count(), candidates.agg(F.count("*").alias("n"), F.max_by("seq", F.struct(F.length("ids"), "seq")).alias("fullest")).first()
+    sides = (max(1, -(-n_queries // (QUERIES * SIDE))), max(1, -(-blocks["n"] // SIDE)))
+    fullest = candidates.filter(F.col("seq") == F.lit(blocks["fullest"]))
+    heads = _over_cells(_packed(asked.select("vec_id", "v", none), QUERIES), fullest, (sides[0], 1), _heads, k)
     kth = F.when(F.size("best") == k, -F.element_at("best", k)["neg"].cast("double")).otherwise(F.lit(float("-inf")))
     cutoffs = heads.select(F.col("query_id").alias("vec_id"), kth.alias("floor"))
     second = _packed(asked.join(cutoffs, "vec_id").select("vec_id", "v", "floor"), QUERIES)
