@@ -41,6 +41,13 @@ def _places(frames: Column, places: tuple[int, ...]) -> Column:
     return F.flatten(F.transform(frames, lambda f: F.transform(F.array(*map(F.lit, places)), lambda i: F.get(f, i))))
 
 
+def _chunk(a: Column, start: Column, n: int, f=lambda x: x) -> Column:
+    """f of the n values from start on, fewer at the end; a slice inside a lambda would copy the whole array for each chunk."""
+    stop = F.least(start + n, F.size(a)) - 1
+    places = F.when(stop >= start, F.sequence(start, stop)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: f(F.get(a, i)))
+
+
 def layer_shift(x: Column, layer: Column | int) -> Column:
     """An audio id's place in the joint vocabulary."""
     return x + TEXT_VOCAB + layer * AUDIO_VOCAB
@@ -113,7 +120,7 @@ def hierarchy(frames: Column, levels: int = 3) -> Column:
 
 def interleaved(text: Column, speech: Column, text_chunk: int = 13, speech_chunk: int = 26) -> Column:
     """(token, is_text) in turns of text_chunk and speech_chunk until both are used up."""
-    part = lambda a, i, n, t: F.transform(F.slice(a, i * n + 1, F.lit(n)), lambda x: F.struct(x.alias("token"), F.lit(t).alias("is_text")))
+    part = lambda a, i, n, t: _chunk(a, i * n, n, lambda x: F.struct(x.alias("token"), F.lit(t).alias("is_text")))
 
     def dealt(text: Column, speech: Column) -> Column:
         rounds = F.greatest(F.ceil(F.size(text) / text_chunk), F.ceil(F.size(speech) / speech_chunk)).cast("int")
@@ -129,7 +136,7 @@ def with_fill(text: Column, speech: Column, fill: int, text_chunk: int = 5, spee
     def dealt(text: Column, speech: Column) -> Column:
         rounds = F.floor(F.size(text) / text_chunk).cast("int")
         turns = F.when(rounds > 0, F.sequence(F.lit(0), rounds - 1)).otherwise(F.array().cast("array<int>"))
-        body = F.flatten(F.transform(turns, lambda i: F.concat(F.slice(text, i * text_chunk + 1, F.lit(text_chunk)), F.slice(speech, i * speech_chunk + 1, F.lit(speech_chunk)))))
+        body = F.flatten(F.transform(turns, lambda i: F.concat(_chunk(text, i * text_chunk, text_chunk), _chunk(speech, i * speech_chunk, speech_chunk))))
         rest = lambda a, n: F.slice(a, rounds * n + 1, F.greatest(F.size(a), F.lit(1)))
         return F.concat(body, rest(text, text_chunk), F.array(_long(fill)), rest(speech, speech_chunk))
 

@@ -47,20 +47,23 @@ def row_index(df: DataFrame, key: str, name: str = "row", width: int = 100_000)
 
     Rows are numbered inside ranges of about `width` rows, cut at quantiles of the key however it is
     spread, and each range starts at the number of rows in the ranges before it; only the ranges'
-    counts, at most MOST_RANGES, are brought into one order.
+    counts, at most MOST_RANGES, are brought into one order. Up to `width` rows are one range.
     """
     from pyspark.ml.feature import Bucketizer
 
-    at = df.select(F.col(key).cast("double").alias("_at"))
-    k = min(MOST_RANGES, df.select(key).count() // width + 1)
-    borders = sorted(set(at.approxQuantile("_at", [i / k for i in range(1, k)], 0.25 / k))) if k > 1 else []
-    ranged = df.withColumn("_at", F.col(key).cast("double"))
-    if borders:
-        ranged = Bucketizer(splits=[float("-inf"), *borders, float("inf")], inputCol="_at", outputCol="_range").transform(ranged)
-    else:
-        ranged = ranged.withColumn("_range", F.lit(0.0))
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    keys = df.select(F.col(key).cast("double").alias("_at")).persist()
+    k = min(MOST_RANGES, keys.count() // width + 1)
+    borders = sorted(set(keys.approxQuantile("_at", [i / k for i in range(1, k)], 0.25 / k))) if k > 1 else []
+    if not borders:
+        keys.unpersist()
+        return df.withColumn(name, (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
+    cut = Bucketizer(splits=[float("-inf"), *borders, float("inf")], inputCol="_at", outputCol="_range")
+    starts, n = [], 0
+    for r in cut.transform(keys).groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect():
+        starts.append((r["_range"], n))
+        n += r["n"]
+    keys.unpersist()
+    ranged = cut.transform(df.withColumn("_at", F.col(key).cast("double")))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
-    return ranged.withColumn("_inside", inside).join(starts, "_range").withColumn(name, (F.col("_start") + F.col("_inside")).cast("long")).drop("_range", "_at", "_inside", "_start")
+    known = F.broadcast(df.sparkSession.createDataFrame(starts, "_range double, _start long"))
+    return ranged.withColumn("_inside", inside).join(known, "_range").withColumn(name, (F.col("_start") + F.col("_inside")).cast("long")).drop("_range", "_at", "_inside", "_start")
