@@ -7,8 +7,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.runtime import row_index, work_dir
+
 #: A lookup side is broadcast up to so many rows; beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
+#: A codebook goes to all tasks up to so many codes; beyond, points meet it cell by cell.
+BOOK_ROWS = 65_536
+#: Numbers of either side in a cell (128 MB).
+CELL_NUMBERS = 1 << 24
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -108,26 +114,68 @@ def series_similarity(frames: DataFrame, series: str, t: str, vec: str, most: in
     return a.join(b, series).select(series, "i", "j", ((dot(F.col("a"), F.col("b")) / (F.col("na") * F.col("nb")) + 1) / 2).alias("similarity"))
 
 
-def codebook(codes: DataFrame, code: str = "code", vec: str = "vec", most: int = 65_536) -> list[tuple[int, list[float]]]:
-    """The rows of a codebook, which a caller may hand to all tasks; one of more than `most` codes raises."""
-    rows = codes.select(code, vec).orderBy(code).limit(most + 1).collect()
+def codebook(codes: DataFrame, code: str = "code", vec: str = "vec", most: int = BOOK_ROWS) -> tuple[np.ndarray, np.ndarray] | None:
+    """Names and vectors of a codebook in order of the names, which a caller may hand to all tasks; None where it has more than `most` codes."""
+    rows = codes.select(code, vec).limit(most + 1).collect()
     if len(rows) > most:
-        raise ValueError(f"a codebook of more than {most} codes")
-    return [(r[0], list(r[1])) for r in rows]
-
-
-def nearest_code(points: DataFrame, codes: DataFrame, vec: str = "vec", to: str = "code") -> DataFrame:
-    """points with the code of smallest squared distance, the smaller code of equals: blocks of points against the broadcast matrix."""
-    rows = codebook(codes)
-    book = points.sparkSession.sparkContext.broadcast((np.array([c for c, _ in rows]), np.array([v for _, v in rows], np.float64)))
+        return None
+    rows.sort(key=lambda r: r[0])
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
+
+
+def nearest_rows(x: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of x the first row of m of smallest squared distance, and that distance less the square of x; 1,024 x 4,096 products at a time."""
+    at, least, square = np.zeros(len(x), np.int64), np.full(len(x), np.inf), (m * m).sum(1)
+    for i in range(0, len(x), 1024):
+        for j in range(0, len(m), 4096):
+            d = np.round(square[j : j + 4096] - 2 * x[i : i + 1024] @ m[j : j + 4096].T, 12)
+            k = d.argmin(1)
+            v = d[np.arange(len(d)), k]
+            better = np.flatnonzero(v < least[i : i + 1024])
+            at[i + better], least[i + better] = j + k[better], v[better]
+    return at, least
+
+
+def _nearest_of_many(points: DataFrame, codes: DataFrame, vec: str, to: str, cell: int) -> DataFrame:
+    """nearest_code for a codebook of any size: a grid of cells of at most about `cell` numbers of each side, and the least of a point's cells.
+
+    Points are written to the shared folder with a number each, so that a repeated task numbers none anew.
+    """
+    spark = points.sparkSession
+    path = work_dir(spark, "points")
+    points.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    kept = spark.read.parquet(path)
+    rows = max(1, cell // max(1, codes.select(F.size("vec")).first()[0]))
+    across, down = -(-codes.count() // rows), max(1, -(-kept.count() // rows))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = kept.select("_id", F.col(vec).alias("x"), F.pmod(F.xxhash64("_id"), F.lit(down)).alias("i"), spread(across).alias("j"))
+    right = row_index(codes.select("code", F.col("vec").alias("x")), "code", "_row").select("code", "x", spread(down).alias("i"), F.expr(f"_row div {rows}").alias("j"))
+
+    def run(p: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(b):
+            return pd.DataFrame({"_id": [], "d": [], "code": []}).astype({"_id": "int64", "d": "float64", "code": "int64"})
+        b = b.sort_values("code")
+        at, d = nearest_rows(np.stack(p["x"].to_list()).astype(np.float64), np.stack(b["x"].to_list()).astype(np.float64))
+        return pd.DataFrame({"_id": p["_id"], "d": d, "code": b["code"].to_numpy()[at]})
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "_id long, d double, code long")
+    best = found.groupBy("_id").agg(F.min(F.struct("d", "code"))["code"].alias(to))
+    return kept.drop(to).join(best, "_id").drop("_id")
+
+
+def nearest_code(points: DataFrame, codes: DataFrame, vec: str = "vec", to: str = "code", most: int = BOOK_ROWS, cell: int = CELL_NUMBERS) -> DataFrame:
+    """points with the code of smallest squared distance, the smaller code of equals.
+
+    A codebook of at most `most` codes goes to all tasks; a larger one is compared cell by cell.
+    """
+    rows = codebook(codes, most=most)
+    if rows is None:
+        return _nearest_of_many(points, codes, vec, to, cell)
+    book = points.sparkSession.sparkContext.broadcast(rows)
 
     @F.pandas_udf("long")
     def nearest(v: pd.Series) -> pd.Series:
         names, m = book.value
-        out, half = [], (m * m).sum(1)
-        for i in range(0, len(v), 1024):
-            x = np.stack(v.iloc[i : i + 1024].to_list()).astype(np.float64)
-            out.append(names[np.argmin(np.round(half[None, :] - 2 * x @ m.T, 12), axis=1)])
-        return pd.Series(np.concatenate(out) if out else [])
+        return pd.Series(names[nearest_rows(np.stack(v.to_list()).astype(np.float64), m)[0]] if len(v) else [], dtype="int64")
 
     return points.withColumn(to, nearest(vec))

@@ -11,42 +11,54 @@ from pyspark.sql import functions as F
 
 from loomspark.operators import joins
 from loomspark.operators.batching import seeds
-from loomspark.runtime import row_index
+from loomspark.runtime import row_index, work_dir
 
 
-def kmeans_step(points: DataFrame, codes: DataFrame, vec: str = "vec") -> DataFrame:
+def kmeans_step(points: DataFrame, codes: DataFrame, vec: str = "vec", most: int = joins.BOOK_ROWS) -> DataFrame:
     """(code, vec, n): means of the points nearest to each code; a code without points keeps its vector.
 
-    Each task adds its points up by code, so only (tasks x codes) sums are shuffled.
+    Each task adds its points up by code, so only (tasks x codes) sums are shuffled. Beyond `most`
+    codes the points are compared cell by cell and added up by code and place.
     """
-    rows = joins.codebook(codes)
-    book = points.sparkSession.sparkContext.broadcast((np.array([c for c, _ in rows], np.int64), np.array([v for _, v in rows], np.float64)))
+    rows = joins.codebook(codes, most=most)
+    if rows is None:
+        near = joins.nearest_code(points.select(vec), codes, vec, "code", most)
+        flat = near.select("code", F.lit(1).cast("long").alias("n"), F.posexplode(vec).alias("pos", "x"))
+    else:
+        flat = _sums(points.select(vec), rows, vec).select("code", "n", F.posexplode("total").alias("pos", "x"))
+    flat = flat.groupBy("code", "pos").agg((F.sum(F.col("x").cast("double")) / F.sum("n")).alias("x"), F.sum("n").alias("n"))
+    means = flat.groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("mean"), F.max("n").alias("n"))
+    old = codes.select("code", F.transform("vec", lambda v: v.cast("double")).alias("vec"))
+    return old.join(means, "code", "left").select("code", F.coalesce("mean", "vec").alias("vec"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def _sums(points: DataFrame, rows: tuple[np.ndarray, np.ndarray], vec: str) -> DataFrame:
+    """(code, total, n) of each task's points by their nearest code."""
+    book = points.sparkSession.sparkContext.broadcast(rows)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, m = book.value
-        total, n, half = np.zeros_like(m), np.zeros(len(m), np.int64), (m * m).sum(1)
+        total, n = np.zeros_like(m), np.zeros(len(m), np.int64)
         for b in batches:
-            for i in range(0, len(b), 1024):
-                x = np.stack(b[vec].iloc[i : i + 1024].to_list()).astype(np.float64)
-                near = np.argmin(np.round(half[None, :] - 2 * x @ m.T, 12), axis=1)
-                np.add.at(total, near, x)
-                n += np.bincount(near, minlength=len(m))
+            if not len(b):
+                continue
+            x = np.stack(b[vec].to_list()).astype(np.float64)
+            near = joins.nearest_rows(x, m)[0]
+            np.add.at(total, near, x)
+            n += np.bincount(near, minlength=len(m))
         on = np.flatnonzero(n)
         yield pd.DataFrame({"code": names[on], "total": list(total[on]), "n": n[on]})
 
-    sums = points.select(vec).mapInPandas(partial, "code long, total array<double>, n long")
-    flat = sums.select("code", "n", F.posexplode("total").alias("pos", "x")).groupBy("code", "pos").agg((F.sum("x") / F.sum("n")).alias("x"), F.sum("n").alias("n"))
-    means = flat.groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("mean"), F.max("n").alias("n"))
-    old = codes.select("code", F.transform("vec", lambda v: v.cast("double")).alias("vec"))
-    return old.join(means, "code", "left").select("code", F.coalesce("mean", "vec").alias("vec"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return points.mapInPandas(partial, "code long, total array<double>, n long")
 
 
 def kmeans(points: DataFrame, key: str, k: int, iterations: int = 10, seed: int = 0, vec: str = "vec") -> DataFrame:
-    """(code, vec, n) after some steps from hashed seeds; the codebook comes to the driver each step, the points never."""
+    """(code, vec, n) after some steps from hashed seeds; each step's codebook is a table of the shared folder."""
     codes = seeds(points.select(key, vec), key, k, seed).select("code", F.col(vec).alias("vec"))
     for _ in range(iterations):
-        rows = kmeans_step(points, codes, vec).collect()
-        codes = points.sparkSession.createDataFrame([(r["code"], list(r["vec"]), r["n"]) for r in rows], "code long, vec array<double>, n long")
+        path = work_dir(points.sparkSession, "codes")
+        kmeans_step(points, codes, vec).write.parquet(path)
+        codes = points.sparkSession.read.parquet(path)
     return codes
 
 
@@ -75,20 +87,19 @@ def replace_dead(codes: DataFrame, points: DataFrame, key: str, threshold: float
     return codes.join(joins.small(got), "code", "left").withColumn(vec, F.coalesce(F.col("_fresh"), F.col(vec))).drop("_fresh")
 
 
-def residual_codes(points: DataFrame, books: list[DataFrame], vec: str = "vec") -> DataFrame:
-    """points with codes (array, one for each book) and the residual vector that is left."""
-    sc, many = points.sparkSession.sparkContext, []
-    for b in books:
-        rows = joins.codebook(b)
-        many.append((np.array([c for c, _ in rows], np.int64), np.array([v for _, v in rows], np.float64)))
-    shared = sc.broadcast(many)
+def residual_codes(points: DataFrame, books: list[DataFrame], vec: str = "vec", most: int = joins.BOOK_ROWS) -> DataFrame:
+    """points with codes (array, one for each book) and the residual vector that is left. A book of more than `most` codes is compared cell by cell."""
+    many = [joins.codebook(b, most=most) for b in books]
+    if any(m is None for m in many):
+        return _residual_by_book(points, books, vec, most)
+    shared = points.sparkSession.sparkContext.broadcast(many)
 
     @F.pandas_udf("struct<codes:array<bigint>,residual:array<double>>")
     def encode(v: pd.Series) -> pd.DataFrame:
         x = np.stack(v.to_list()).astype(np.float64) if len(v) else np.zeros((0, 1))
         codes = []
-        for names, m in shared.value:
-            near = np.concatenate([np.argmin(np.round((m * m).sum(1)[None, :] - 2 * x[i : i + 1024] @ m.T, 12), axis=1) for i in range(0, len(x), 1024)]) if len(x) else np.zeros(0, int)
+        for names, m in shared.value if len(v) else []:
+            near = joins.nearest_rows(x, m)[0]
             codes.append(names[near])
             x = x - m[near]
         return pd.DataFrame({"codes": list(np.stack(codes, 1)) if len(x) else [], "residual": list(x)})
@@ -96,6 +107,16 @@ def residual_codes(points: DataFrame, books: list[DataFrame], vec: str = "vec")
     return points.withColumn("_r", encode(vec)).withColumn("codes", F.col("_r.codes")).withColumn("residual", F.col("_r.residual")).drop("_r")
 
 
+def _residual_by_book(points: DataFrame, books: list[DataFrame], vec: str, most: int) -> DataFrame:
+    """residual_codes, one book after the other."""
+    out = points.withColumn("codes", F.array().cast("array<bigint>")).withColumn("residual", F.transform(vec, lambda x: x.cast("double")))
+    for b in books:
+        near = b.select(F.col("code").alias("_code"), F.transform("vec", lambda x: x.cast("double")).alias("_near"))
+        out = joins.nearest_code(out, b, "residual", "_code", most).join(joins.small(near), "_code")
+        out = out.withColumn("codes", F.concat("codes", F.array("_code"))).withColumn("residual", F.zip_with("residual", "_near", lambda x, y: x - y)).drop("_code", "_near")
+    return out
+
+
 def residual_decode(df: DataFrame, books: list[DataFrame], codes: str = "codes") -> DataFrame:
     """df with the sum of its codes' vectors."""
     out = None

@@ -251,3 +251,21 @@ def test_paths_are_expanded(monkeypatch):
     monkeypatch.setenv("DATA", "/data")
     monkeypatch.setenv("HOME", "/home/me")
     assert (files.expand("$DATA/a"), files.expand("~/b"), files.expand("c")) == ("/data/a", "/home/me/b", "c")
+
+
+def test_codebooks_beyond_the_broadcast_bound_give_the_same(spark):
+    rng = np.random.default_rng(3)
+    names = [int(c) for c in rng.permutation(60) * 7]
+    codes = spark.createDataFrame([(c, [float(v) for v in rng.integers(-3, 4, 4)]) for c in names], "code long, vec array<double>")
+    points = spark.createDataFrame([(i, [float(v) for v in rng.integers(-3, 4, 4)]) for i in range(300)], "id long, vec array<float>")
+    whole = {r["id"]: r["code"] for r in joins.nearest_code(points, codes).collect()}
+    cells = {r["id"]: r["code"] for r in joins.nearest_code(points, codes, most=10, cell=60).collect()}
+    book, x = sorted(map(tuple, codes.collect())), {r["id"]: r["vec"] for r in points.collect()}
+    want = {i: min(((sum((a - b) ** 2 for a, b in zip(v, m)), c) for c, m in book))[1] for i, v in x.items()}
+    assert whole == want and cells == want
+    step = lambda most: sorted((r["code"], r["n"], [round(v, 9) for v in r["vec"]]) for r in quantize.kmeans_step(points, codes, most=most).collect())
+    assert step(10) == step(60)
+    half = codes.select("code", F.transform("vec", lambda v: v / 2).alias("vec"))
+    residual = lambda most: {r["id"]: (r["codes"], r["residual"]) for r in quantize.residual_codes(points, [codes, half], most=most).collect()}
+    assert residual(10) == residual(60)
+    assert joins.nearest_code(points.limit(0), codes, most=10).count() == 0
