@@ -69,7 +69,21 @@ def _(spark, sf):
     return joins.merge_alignments(ab, ac, "key")
 
 
-@query("j08_lcs_alignment")
+#: Rows of the table of lengths, one by one, then the walk back from its last corner.
+LCS_SQL = """WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS pos, length(event_type) + event_id % 3 AS tok FROM events),
+x AS (SELECT key, list(pos ORDER BY pos) AS xs, list(tok ORDER BY pos) AS a FROM e WHERE pos % 2 = 0 GROUP BY key),
+y AS (SELECT key, list(pos ORDER BY pos) AS ys, list(tok ORDER BY pos) AS b FROM e WHERE pos % 2 = 1 GROUP BY key),
+s AS MATERIALIZED (SELECT * FROM x JOIN y USING (key)),
+f AS (SELECT key, 0::BIGINT AS i, [list_transform(range(len(b) + 1), lambda z: 0::BIGINT)] AS best FROM s
+ UNION ALL SELECT f.key, i + 1, list_append(best, list_prepend(0::BIGINT, list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(best[i + 1][k + 1], CASE WHEN b[k] = a[i + 1] THEN best[i + 1][k] + 1 ELSE 0 END))))))
+  FROM f JOIN s ON f.key = s.key WHERE i < len(a)),
+g AS (SELECT s.key, len(a) AS i, len(b) AS j, FALSE AS pair, best FROM f JOIN s ON f.key = s.key WHERE f.i = len(a)
+ UNION ALL SELECT g.key, CASE WHEN a[i] = b[j] OR best[i][j + 1] >= best[i + 1][j] THEN i - 1 ELSE i END, CASE WHEN a[i] <> b[j] AND best[i][j + 1] >= best[i + 1][j] THEN j ELSE j - 1 END, a[i] = b[j], best
+  FROM g JOIN s ON g.key = s.key WHERE i > 0 AND j > 0)
+SELECT s.key, xs[i + 1] AS i, ys[j + 1] AS j FROM g JOIN s ON g.key = s.key WHERE pair"""
+
+
+@query("j08_lcs_alignment", LCS_SQL)
 def _(spark, sf):
     return joins.align_lcs(_run(spark, sf, 0, 2), _run(spark, sf, 1, 2), "key", "tok", "pos")
 

@@ -79,7 +79,24 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(tx.plain_marks(marked()).cast("binary")).alias("x"))
 
 
-@query("x10_spelt_numbers")
+#: Groups of three digits, each in words with its scale; texts are put together from what is between the digit runs and these words.
+SPELT_SQL = r"""WITH v AS (SELECT string_split('zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen', ' ') AS ones,
+ string_split('- - twenty thirty forty fifty sixty seventy eighty ninety', ' ') AS tens, string_split('- thousand million billion trillion quadrillion quintillion', ' ') AS scales),
+r AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[0-9]+')) AS d FROM documents),
+z AS (SELECT d, ltrim(d, '0') AS z FROM r WHERE length(d) <= 21),
+g AS (SELECT d, k, substr(lpad(z, ((length(z) + 2) // 3 * 3)::INT, '0'), ((length(z) + 2) // 3 - 1 - k) * 3 + 1, 3)::INT AS low FROM z, unnest(range(0, (length(z) + 2) // 3)) t(k)),
+h AS (SELECT d, k, low, low // 100 AS hundreds, low % 100 AS rest FROM g WHERE low > 0),
+w AS (SELECT d, k, low, concat_ws(' and ', CASE WHEN hundreds > 0 THEN ones[hundreds + 1] || ' hundred' END, CASE WHEN rest = 0 THEN NULL WHEN rest < 20 THEN ones[rest + 1] WHEN rest % 10 = 0 THEN tens[rest // 10 + 1] ELSE tens[rest // 10 + 1] || '-' || ones[rest % 10 + 1] END)
+ || CASE WHEN k > 0 THEN ' ' || scales[k + 1] ELSE '' END AS word FROM h, v),
+n AS (SELECT d, string_agg(CASE WHEN k = top THEN '' WHEN k = 0 AND low < 100 THEN ' and ' ELSE ', ' END || word, '' ORDER BY k DESC) AS words FROM (SELECT *, max(k) OVER (PARTITION BY d) AS top FROM w) GROUP BY d
+ UNION ALL SELECT d, 'zero' FROM z WHERE z = ''
+ UNION ALL SELECT d, array_to_string(list_transform(string_split(d, ''), lambda c: ones[c::INT + 1]), ' ') FROM r, v WHERE length(d) > 21),
+t AS (SELECT doc_id, text, regexp_split_to_array(text, '[0-9]+') AS ps, regexp_extract_all(text, '[0-9]+') AS ds FROM documents),
+u AS (SELECT doc_id, i, ps[i] AS p, ds[i] AS d FROM t, unnest(range(1, coalesce(len(ps), 1) + 1)) x(i))
+SELECT doc_id, string_agg(p || coalesce(words, ''), '' ORDER BY i) AS spelt FROM u LEFT JOIN n ON u.d = n.d GROUP BY doc_id"""
+
+
+@query("x10_spelt_numbers", SPELT_SQL)
 def _(spark, sf):
     return tx.spelt_numbers(table(spark, sf, "documents").select("doc_id", "text"), "text", "spelt").drop("text")
 

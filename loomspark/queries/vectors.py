@@ -23,9 +23,19 @@ def _(spark, sf):
     return out.select("code", "n", F.posexplode("vec").alias("pos", "x")).select("code", F.col("pos").cast("long").alias("pos"), F.round("x", 5).alias("x"), "n")
 
 
-@query("c01_kmeans")
+def _kmeans_sql(k: int, steps: int) -> str:
+    parts = [f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {hash32_sql('0', 'vec_id')}, vec_id) - 1 AS code, vec, 0::BIGINT AS n FROM e QUALIFY code < {k})"]
+    for i in range(steps):
+        parts.append(f"""n{i} AS MATERIALIZED (SELECT e.vec_id, arg_min(c.code, struct_pack(d := round(list_distance(e.vec, c.vec) ** 2, 9), c := c.code)) AS code FROM e, c{i} c GROUP BY e.vec_id),
+m{i} AS (SELECT code, list(x ORDER BY i) AS vec, max(n) AS n FROM (SELECT n.code, i, avg(e.vec[i]) AS x, count(*) AS n FROM e JOIN n{i} n USING (vec_id), unnest(range(1, 65)) t(i) GROUP BY n.code, i) GROUP BY code),
+c{i + 1} AS MATERIALIZED (SELECT c.code, coalesce(m.vec, c.vec) AS vec, coalesce(m.n, 0) AS n FROM c{i} c LEFT JOIN m{i} m USING (code))""")
+    return f"WITH e AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS vec FROM embeddings),\n" + ",\n".join(parts) + f"\nSELECT code, i - 1 AS pos, round(vec[i], 5) AS x, n FROM c{steps}, unnest(range(1, 65)) t(i)"
+
+
+@query("c01_kmeans", _kmeans_sql(16, 5))
 def _(spark, sf):
-    return qz.kmeans(points(spark, sf), "vec_id", 16, 5)
+    out = qz.kmeans(points(spark, sf), "vec_id", 16, 5).select("code", F.posexplode("vec").alias("pos", "x"), "n")
+    return out.select(F.col("code").cast("long").alias("code"), F.col("pos").cast("long").alias("pos"), F.round("x", 5).alias("x"), "n")
 
 
 @query("c02_ema_update", """WITH s AS (SELECT label AS code, count(*) AS n, list_transform(range(1, 65), lambda i: 0) AS z FROM embeddings GROUP BY label),
@@ -66,16 +76,44 @@ def _(spark, sf):
     return out.select("vec_id", (gap < 1e-9).alias("same"))
 
 
-@query("c05_segments")
+def _segments_sql(sign: int, value: str, threshold: float = 0.7) -> str:
+    """Densities and distances of 50 frames each, then the seeds by falling score: as many frames to the right as fit, then to the left, four in all."""
+    ok = "coalesce(free[%s] AND sim[seed + 1][%s] - 0.2::DOUBLE * score[%s] > %s::DOUBLE, FALSE)"
+    run = "list_max(list_filter(range(0, %s), lambda q: coalesce(list_bool_and(list_transform(range(1, q + 1), lambda z: %s)), TRUE)))"
+    right, left = (ok % (at, at, at, threshold) for at in ("seed + 1 + z", "greatest(seed + 1 - z, 0)"))
+    return f"""WITH RECURSIVE s AS ({SERIES_SQL}),
+p AS MATERIALIZED (SELECT a.series, a.t AS i, b.t AS j, (list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]) + 1) / 2 AS sim FROM s a JOIN s b ON a.series = b.series),
+k AS MATERIALIZED (SELECT series, i, exp({sign} * avg(sim)) AS rho FROM (SELECT *, row_number() OVER (PARTITION BY series, i ORDER BY sim DESC) AS r FROM p) WHERE r BETWEEN 2 AND 11 GROUP BY series, i),
+d AS (SELECT p.series, p.i, any_value(x.rho) * coalesce(min({value}) FILTER (y.rho > x.rho), max({value})) AS score FROM p JOIN k x ON p.series = x.series AND p.i = x.i JOIN k y ON p.series = y.series AND p.j = y.i GROUP BY p.series, p.i),
+w AS (SELECT series, list(line ORDER BY i) AS sim FROM (SELECT series, i, list(sim ORDER BY j) AS line FROM p GROUP BY series, i) GROUP BY series),
+m AS MATERIALIZED (SELECT * FROM (SELECT series, list(score ORDER BY i) AS score, list(i ORDER BY score DESC, i) AS seeds FROM d GROUP BY series) JOIN w USING (series)),
+f AS (SELECT series, 1::BIGINT AS step, list_transform(score, lambda x: TRUE) AS free, -1::BIGINT AS lo, -1::BIGINT AS hi FROM m
+ UNION ALL SELECT series, step + 1, list_transform(free, lambda x, q: x AND (lo2 < 0 OR q - 1 < lo2 OR q - 1 > hi2)), lo2, hi2 FROM
+ (SELECT *, CASE WHEN free[seed + 1] THEN seed - {run % ("4 - r", left)} ELSE -1 END AS lo2, CASE WHEN free[seed + 1] THEN seed + r ELSE -1 END AS hi2 FROM
+ (SELECT *, {run % ("4", right)} AS r FROM (SELECT f.*, seeds[step] AS seed, score, sim FROM f JOIN m ON f.series = m.series WHERE step <= len(seeds)))))
+SELECT series, row_number() OVER (PARTITION BY series ORDER BY lo) - 1 AS segment, lo AS start, hi - lo + 1 AS length FROM f WHERE lo >= 0"""
+
+
+@query("c05_segments", _segments_sql(-1, "sim"))
 def _(spark, sf):
     return qz.segments(series(spark, sf), "series", "t", "vec", "default").drop("vec")
 
 
-@query("c06_segments_fixed")
+@query("c06_segments_fixed", _segments_sql(1, "1 - sim"))
 def _(spark, sf):
     return qz.segments(series(spark, sf), "series", "t", "vec", "fixed").drop("vec")
 
 
+@query("c05_segments_looser", _segments_sql(-1, "sim", 0.4))
+def _(spark, sf):
+    return qz.segments(series(spark, sf), "series", "t", "vec", "default", threshold=0.4).drop("vec")
+
+
+@query("c06_segments_fixed_looser", _segments_sql(1, "1 - sim", 0.3))
+def _(spark, sf):
+    return qz.segments(series(spark, sf), "series", "t", "vec", "fixed", threshold=0.3).drop("vec")
+
+
 @query("c07_tiling", f"SELECT series, count(*) AS frames, TRUE AS tiles FROM ({SERIES_SQL}) GROUP BY series")
 def _(spark, sf):
     s = series(spark, sf)
