@@ -269,3 +269,50 @@ def test_codebooks_beyond_the_broadcast_bound_give_the_same(spark):
     residual = lambda most: {r["id"]: (r["codes"], r["residual"]) for r in quantize.residual_codes(points, [codes, half], most=most).collect()}
     assert residual(10) == residual(60)
     assert joins.nearest_code(points.limit(0), codes, most=10).count() == 0
+
+
+def _plain_pieces(text, zh, most=80, least=60, tail=20):
+    """The pieces of a text by a walk over its characters."""
+    import regex
+
+    if "<|" in text and "|>" in text:
+        return [text]
+    x = text.strip(" ")
+    if zh:
+        x = x.replace("\n", "")
+        ascii_ = lambda i: 0 <= i < len(x) and x[i] != " " and ord(x[i]) < 128
+        x = "".join(c for i, c in enumerate(x) if c != " " or ascii_(i - 1) and ascii_(i + 1))
+        x = x.replace("²", "平方").replace("³", "立方").replace("——", " ")
+        x = "".join(c for c in x if c not in "（）【】`").replace(".", "。")
+        if x and x[-1] in "，,、":
+            x = x.rstrip("，,、") + "。"
+    marks, end = ("。？！；：、.?!;", "。") if zh else (".?!;:", ".")
+    x, pieces, open_, i = x + end if x and x[-1] not in marks else x, [], "", 0
+    while i < len(x):
+        open_, i, ends = open_ + (x[i] if open_ or x[i] not in marks else ""), i + 1, x[i] in marks
+        if ends and open_:
+            if i < len(x) and x[i] in '"”':
+                open_, i = open_ + x[i], i + 1
+            pieces, open_ = [*pieces, open_], ""
+    size = len if zh else lambda t: len([w for w in t.split(" ") if w])
+    out, open_ = [], ""
+    for p in pieces:
+        if size(open_ + p) > most and size(open_) > least:
+            out, open_ = [*out, open_], p
+        else:
+            open_ += p
+    if open_ and size(open_) < tail and out:
+        out[-1] += open_
+    elif open_:
+        out.append(open_)
+    return [p for p in out if not regex.fullmatch(r"[\p{P}\p{S}\s]*", p)]
+
+
+def test_normalised_texts_are_those_of_a_plain_version(spark):
+    rng = random.Random(4)
+    words = ["a", "be", "漢字", "數，", "²", "（x）", "end.", "so?!", 'said."', ";", "——", "、", "\n", "x:y", "", "…"]
+    texts = [" ".join(rng.choices(words, k=rng.choice((0, 1, 3, 40, 400)))) for _ in range(150)] + ["", " ", "...", "<|a|> b. c.", "no end", "漢 字，、", "，"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    rows = got.select("t", text.normalised(F.col("t")).alias("en"), text.normalised(F.col("t"), zh=True).alias("zh")).collect()
+    for r in rows:
+        assert (r["en"], r["zh"]) == (_plain_pieces(r["t"], False), _plain_pieces(r["t"], True)), r["t"]
