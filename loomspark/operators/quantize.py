@@ -47,6 +47,8 @@ def _sums(points: DataFrame, rows: tuple[np.ndarray, np.ndarray], vec: str) -> D
             np.add.at(total, near, x)
             n += np.bincount(near, minlength=len(m))
         on = np.flatnonzero(n)
+        if not len(on):
+            return  # a task without points: empty lists have no Arrow type
         yield pd.DataFrame({"code": names[on], "total": list(total[on]), "n": n[on]})
 
     return points.mapInPandas(partial, "code long, total array<double>, n long")

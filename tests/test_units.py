@@ -316,3 +316,12 @@ def test_normalised_texts_are_those_of_a_plain_version(spark):
     rows = got.select("t", text.normalised(F.col("t")).alias("en"), text.normalised(F.col("t"), zh=True).alias("zh")).collect()
     for r in rows:
         assert (r["en"], r["zh"]) == (_plain_pieces(r["t"], False), _plain_pieces(r["t"], True)), r["t"]
+
+
+def test_kmeans_step_with_tasks_without_points(spark):
+    points = spark.createDataFrame(spark.sparkContext.parallelize([(i, [float(i), 1.0]) for i in range(4)], 8), "id long, vec array<float>")
+    codes = spark.createDataFrame([(0, [0.0, 1.0]), (1, [3.0, 1.0])], "code long, vec array<double>")
+    got = {r["code"]: (r["vec"], r["n"]) for r in quantize.kmeans_step(points, codes).collect()}
+    assert got == {0: ([0.5, 1.0], 2), 1: ([2.5, 1.0], 2)}
+    assert {r["code"]: r["n"] for r in quantize.kmeans(points, "id", 2, 3).collect()} == {0: 2, 1: 2}
+    assert {r["n"] for r in quantize.kmeans_step(points.filter("id < 0"), codes).collect()} == {0}
