@@ -121,11 +121,13 @@ def collated_records(df: DataFrame, batch: str, key: str, gan: bool = False, dpo
     """Training records of batches, longest speech_feat first (place): padded token, frame and sample columns with their lengths.
 
     speech and pitch_feat are kept only if gan, reject_speech_token only if dpo; embedding is the
-    speaker's or the utterance's.
+    speaker's or the utterance's. Fills have the type of their column's values.
     """
-    whole, none = F.lit(0).cast("long"), F.lit(0.0)
-    columns = {"text_token": whole, "speech_token": whole, "speech_feat": F.array_repeat(none, F.greatest(F.size(F.get("speech_feat", F.lit(0))), F.lit(0)))}
-    columns |= {"speech": none, "pitch_feat": none} if gan else {}
+    whole, none = F.lit(0).cast("long"), lambda t: F.lit(0.0).cast(t)
+    kinds = {f.name: f.dataType.elementType for f in df.schema if isinstance(f.dataType, T.ArrayType)}
+    frame = F.array_repeat(none(kinds["speech_feat"].elementType), F.greatest(F.size(F.get("speech_feat", F.lit(0))), F.lit(0)))
+    columns = {"text_token": whole, "speech_token": whole, "speech_feat": frame}
+    columns |= {c: none(kinds[c]) for c in ("speech", "pitch_feat")} if gan else {}
     columns |= {"reject_speech_token": whole} if dpo else {}
     place = F.row_number().over(Window.partitionBy(batch).orderBy(F.size("speech_feat").desc(), key)) - 1
     rows = df.select(batch, key, place.cast("long").alias("place"), F.col("spk_embedding" if speaker else "utt_embedding").alias("embedding"), *columns)

@@ -325,3 +325,11 @@ def test_kmeans_step_with_tasks_without_points(spark):
     assert got == {0: ([0.5, 1.0], 2), 1: ([2.5, 1.0], 2)}
     assert {r["code"]: r["n"] for r in quantize.kmeans(points, "id", 2, 3).collect()} == {0: 2, 1: 2}
     assert {r["n"] for r in quantize.kmeans_step(points.filter("id < 0"), codes).collect()} == {0}
+
+
+def test_collated_records_keep_the_types_of_values(spark):
+    row = spark.sql("SELECT 1L AS batch, 2L AS vec_id, array(1L) AS text_token, array(1L) AS speech_token, array(array(0.5F)) AS speech_feat, array(0.1F) AS speech, array(0.1F) AS pitch_feat, array(1L) AS reject_speech_token, 's' AS spk_embedding, 'u' AS utt_embedding")
+    kinds = dict(batching.collated_records(row, "batch", "vec_id", gan=True, dpo=True).dtypes)
+    assert (kinds["speech_feat"], kinds["speech"], kinds["pitch_feat"]) == ("array<array<float>>", "array<float>", "array<float>")
+    wide = row.withColumn("speech_feat", F.col("speech_feat").cast("array<array<double>>"))
+    assert dict(batching.collated_records(wide, "batch", "vec_id").dtypes)["speech_feat"] == "array<array<double>>"
