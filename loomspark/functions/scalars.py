@@ -14,6 +14,11 @@ def _total(x: Column, f) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + f(v.cast("double")))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x rounded half away from zero; what is rounded to zero keeps its sign, as in IEEE arithmetic (F.round gives 0.0 for -0.0)."""
+    return F.round(F.abs(x), places) * F.signum(x)
+
+
 def unit(x: Column) -> Column:
     """A vector at length one; a zero vector stays."""
     scaled = lambda x, norm: F.transform(x, lambda v: v.cast("double") / F.when(norm > 0, norm).otherwise(1.0))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import masks, sequences
+from loomspark.functions.scalars import rounded
 from loomspark.operators import batching, joins
 from loomspark.plans import record_pipeline
 from loomspark.queries.filters import WORDS_SQL, n_words
@@ -195,7 +196,7 @@ def _(spark, sf):
 @query("w13_cross_fade", "SELECT vec_id, list_transform(range(1, 17), lambda i: round(embedding[i]::DOUBLE * (i / 17.0) + embedding[48 + i]::DOUBLE * (1 - i / 17.0), 6)) AS faded FROM embeddings")
 def _(spark, sf):
     fade = sequences.cross_fade(F.slice("embedding", 49, 16), F.slice("embedding", 1, 16), 16)
-    return table(spark, sf, "embeddings").select("vec_id", F.transform(fade, lambda x: F.round(x, 6)).alias("faded"))
+    return table(spark, sf, "embeddings").select("vec_id", F.transform(fade, lambda x: rounded(x, 6)).alias("faded"))
 
 
 @query("w14_interpolated", """WITH x AS (SELECT vec_id, embedding AS e, k, greatest(0::DOUBLE, (k + 0.5::DOUBLE) * (64::DOUBLE / 100) - 0.5::DOUBLE) AS x FROM embeddings, unnest(range(0, 100)) t(k)),

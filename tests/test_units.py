@@ -346,3 +346,21 @@ def test_nearest_codes_are_equal_to_nine_places():
     x = np.concatenate([m[::40], np.round(rng.normal(size=(1100, 3)), 1)])
     want = [int(np.round(((m - p) ** 2).sum(1), 9).argmin()) for p in x]
     assert joins.nearest_rows(x, m)[0].tolist() == want
+
+
+def test_rounding_keeps_the_sign_of_zero(spark):
+    x = F.array(*map(F.lit, (-1e-9, 1e-9, -0.0, 0.0, -2.5, 0.1234565, float("-inf"))))
+    got = one(spark, F.transform(x, lambda v: scalars.rounded(v, 6)))
+    assert list(map(str, got)) == ["-0.0", "0.0", "-0.0", "0.0", "-2.5", "0.123457", "-inf"]
+
+
+@pytest.mark.parametrize("name", ["w13_cross_fade"])
+def test_arrays_of_small_negative_values_equal_their_sql_as_text(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    x = [(i, [random.Random(64 * i + k).choice([-1e-9, 1e-9, -0.0, -0.3, 0.7]) for k in range(64)]) for i in range(20)]
+    spark.createDataFrame(x, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    text = lambda rows: sorted(map(str, map(tuple, rows)))
+    df = queries.QUERIES[name](spark, str(tmp_path))
+    assert text(df.collect()) == text(con.execute(f"select {', '.join(df.columns)} from ({queries.ORACLES[name]})").fetchall())
