@@ -156,7 +156,7 @@ def _(spark, sf):
 (SELECT vec_id, x, list_max(list_transform(x, lambda v: abs(v))) AS m FROM (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE * 4) AS x FROM embeddings))""")
 def _(spark, sf):
     x = F.transform("embedding", lambda v: v.cast("double") * 4)
-    r = lambda a: F.transform(a, lambda v: F.round(v, 6))
+    r = lambda a: F.transform(a, lambda v: sc.rounded(v, 6))
     return table(spark, sf, "embeddings").select("vec_id", r(sc.peak_normalised(x)).alias("peak"), r(sc.held(x)).alias("held"))
 
 
