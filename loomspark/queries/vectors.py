@@ -168,7 +168,7 @@ def _(spark, sf):
 
 @query("x35_channels", "SELECT vec_id, list_transform(range(1, 33), lambda i: round((embedding[i]::DOUBLE + embedding[32 + i]::DOUBLE) / 2, 7)) AS mono, 2 AS n FROM embeddings")
 def _(spark, sf):
-    m = F.transform(sc.mono(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)), lambda x: F.round(x, 7))
+    m = F.transform(sc.mono(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)), lambda x: sc.rounded(x, 7))
     return table(spark, sf, "embeddings").select("vec_id", sc.channels(m, 2)[1].alias("mono"), F.size(sc.channels(m, 2)).alias("n"))
 
 

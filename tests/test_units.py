@@ -354,7 +354,7 @@ def test_rounding_keeps_the_sign_of_zero(spark):
     assert list(map(str, got)) == ["-0.0", "0.0", "-0.0", "0.0", "-2.5", "0.123457", "-inf"]
 
 
-@pytest.mark.parametrize("name", ["w13_cross_fade", "x33_peaks"])
+@pytest.mark.parametrize("name", ["w13_cross_fade", "x33_peaks", "x35_channels"])
 def test_arrays_of_small_negative_values_equal_their_sql_as_text(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     x = [(i, [random.Random(64 * i + k).choice([-1e-9, 1e-9, -0.0, -0.3, 0.7]) for k in range(64)]) for i in range(20)]
