@@ -170,8 +170,11 @@ def packed_duration(code: Column, n: Column, codes: int = CODES) -> Column:
     return F.when(n > 0, code + (n - 1) * codes).otherwise(F.lit(-1))
 
 
-def unpacked_duration(x: Column, codes: int = CODES) -> tuple[Column, Column]:
-    return F.when(x >= 0, x % codes), F.when(x >= 0, F.floor(x / codes) + 1).otherwise(F.lit(0))
+def unpacked_duration(x: Column, codes: int = CODES, book: Column | None = None) -> tuple[Column, Column]:
+    """The code and how often it is said. An id can't tell a code of `codes` or more from a longer duration: its book (code div codes) must be kept beside."""
+    first = F.lit(0).cast("long") if book is None else book * codes
+    left = x - first
+    return F.when(x >= 0, first + left % codes), F.when(x >= 0, F.floor(left / codes) + 1).otherwise(F.lit(0))
 
 
 def regulated(values: Column, times: Column, size: Column | None = None, fill: Column | None = None) -> Column:

@@ -364,3 +364,10 @@ def test_arrays_of_small_negative_values_equal_their_sql_as_text(spark, tmp_path
     text = lambda rows: sorted(map(str, map(tuple, rows)))
     df = queries.QUERIES[name](spark, str(tmp_path))
     assert text(df.collect()) == text(con.execute(f"select {', '.join(df.columns)} from ({queries.ORACLES[name]})").fetchall())
+
+
+def test_durations_of_codes_beyond_the_codebook(spark):
+    for code, n in ((7, 3), (4095, 1), (4096, 2), (9000, 4)):
+        packed = tokens.packed_duration(F.lit(code), F.lit(n))
+        assert tuple(spark.range(1).select(*tokens.unpacked_duration(packed, book=F.lit(code // 4096))).first()) == (code, n)
+    assert tuple(spark.range(1).select(*tokens.unpacked_duration(F.lit(-1), book=F.lit(2))).first()) == (None, 0)
