@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import _powers, checkpointed, chunks, folded_words, fresh, mix
+from loomspark.llm.common import _powers, checkpointed, chunks, folded_words, fresh, mix, trimmed
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 26, 5
@@ -121,7 +121,7 @@ def _signed(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * keys.shape[1])]).astype(np.int32)), pa.array(keys[some].reshape(-1)))
             yield pa.record_batch([b.column("doc_id"), b.column("mark"), pa.array(whole.view(np.int64), mask=~some), pa.array(n), lists], ["doc_id", "mark", "node", "n", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, node long, n long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(trimmed(run), "doc_id long, mark long, node long, n long, bands array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             raw = [items[i:j].tobytes() for i, j in zip(ptr, ptr[1:])]
             yield pa.record_batch([pa.array(whole.view(np.int64)), pa.array(raw, pa.binary())], ["node", "items"])
 
-    return docs.select("text").mapInArrow(run, "node long, items binary").dropDuplicates(["node"])
+    return docs.select("text").mapInArrow(trimmed(run), "node long, items binary").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column("a"), b.column("b"), pa.array(sims, pa.float64())], ["a", "b", "similarity"])
 
     x, y = (sets.select(F.col("node").alias(k), F.col("items").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similarity double")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(trimmed(run), "a long, b long, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -232,7 +232,7 @@ def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, least: float)
             yield b.set_column(b.schema.get_field_index("items"), "items", pa.array(raw, pa.binary()))
 
     rows = rows.join(nodes.select("node", "bands"), "node").join(sets, "node")
-    rows = rows.mapInArrow(thin, rows.schema)
+    rows = rows.mapInArrow(trimmed(thin), rows.schema)
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspark.llm.common import chunks
+from loomspark.llm.common import chunks, trimmed
 from loomspark.llm.pieces import Encoder
 
 ADDED = {"ids": (pa.list_(pa.int32()), "array<int>"), "n_tokens": (pa.int64(), "long"), "round_trip": (pa.bool_(), "boolean")}
@@ -38,7 +38,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(n), pa.array(same)], names=[*b.schema.names, *ADDED])
 
-    return keep.mapInArrow(run, schema)
+    return keep.mapInArrow(trimmed(run), schema)
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", to: str = "text") -> DataFrame:
@@ -52,7 +52,7 @@ def decode(df: DataFrame, model: str, ids: str = "ids", to: str = "text") -> Dat
             texts = [None if x is None else enc.decode(np.array(x, np.int64)) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, to])
 
-    return keep.mapInArrow(run, schema)
+    return keep.mapInArrow(trimmed(run), schema)
 
 
 def token_counts(docs: DataFrame, model: str) -> DataFrame:
@@ -64,4 +64,4 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
             got = np.array(enc.count(b.column("text")), np.int64)
             yield pa.record_batch([b.column("doc_id"), pa.array(got[:, 0]), pa.array(got[:, 1])], ["doc_id", "n_tokens", "n_words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, n_words long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, n_tokens long, n_words long")

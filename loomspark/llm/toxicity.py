@@ -31,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import checkpointed, chunks, mix, words
+from loomspark.llm.common import checkpointed, chunks, mix, trimmed, words
 
 EXAMPLES = 12_000
 PREFIXES = (4, 5, 6, 7, 8)
 #: Words of which a worker remembers the selected terms; it starts anew beyond.
 MEMO = 200_000
+#: Text whose terms are listed at once, in bytes, and examples whose terms are looked up at once: lists of terms take many times the bytes of a text.
+TERMS_BYTES, PICKED = 1 << 17, 64
 NEIGHBOURS = 15
 SHRINK = 0.5
 #: A term is selected if it is this many times likelier in toxic examples and its likelihood-ratio statistic is this high.
@@ -180,14 +182,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, examples: int = EXA
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
+        for b in chunks(batches, most=TERMS_BYTES):
             found = [terms(t or "") for t in b.column("text").to_pylist()]
             yield pa.record_batch(
                 [b.column("doc_id"), b.column("toxic"), pa.array(_families(b.column("text")), pa.int64()), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))],
                 ["doc_id", "toxic", "family", "terms", "counts"],
             )
 
-    made = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text").mapInArrow(run, "doc_id long, toxic int, family long, terms array<string>, counts array<int>")
+    made = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text").mapInArrow(trimmed(run), "doc_id long, toxic int, family long, terms array<string>, counts array<int>")
     made = made.groupBy("family", "toxic").agg(F.min_by(F.struct("doc_id", "terms", "counts"), "doc_id").alias("x")).select("toxic", "x.*")
     made = checkpointed(made)
     n = {r["toxic"]: r["n"] for r in made.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -203,11 +205,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, examples: int = EXA
     wanted = spark.sparkContext.broadcast(set(idf))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(i, PICKED) for b in batches for i in range(0, b.num_rows, PICKED)):
             pairs = [[(t, c) for t, c in zip(ts, cs) if t in wanted.value] for ts, cs in zip(b.column("terms").to_pylist(), b.column("counts").to_pylist())]
             yield pa.record_batch([b.column("doc_id"), b.column("toxic"), pa.array([[t for t, _ in p] for p in pairs], pa.list_(pa.string())), pa.array([[c for _, c in p] for p in pairs], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
 
-    picked = made.mapInArrow(pick, "doc_id long, toxic int, terms array<string>, counts array<int>")
+    picked = made.mapInArrow(trimmed(pick), "doc_id long, toxic int, terms array<string>, counts array<int>")
     vectors = []
     for r in picked.filter(F.size("terms") > 0).collect():
         v = {t: (1 + math.log(c)) * idf[t] for t, c in zip(r["terms"], r["counts"])}
@@ -232,7 +234,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch([b.column("doc_id"), pa.array([g[0] for g in got], pa.float64()), pa.array(why, kind)], ["doc_id", "score", "evidence"])
         m.memo.clear()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>")
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
@@ -245,4 +247,4 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.7, text: str =
             yield b.filter(pa.array(keep, pa.bool_()))
         shared.value.memo.clear()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
